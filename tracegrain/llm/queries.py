@@ -5,11 +5,13 @@ from __future__ import annotations
 from .byte_bpe import op7_byte_bpe
 from .language_id import op6_language_id
 from .license_scan import op2_license_scan
+from .minhash_dedup import op1_minhash
 from .quality import op3_quality
 from .token_counts import op8_token_counts
 from .toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
     "op2_license_scan": op2_license_scan,
     "op3_quality": op3_quality,
     "op6_language_id": op6_language_id,
