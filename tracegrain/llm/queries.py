@@ -7,6 +7,7 @@ from .language_id import op6_language_id
 from .license_scan import op2_license_scan
 from .minhash_dedup import op1_minhash
 from .quality import op3_quality
+from .suffix_dedup import op10_suffix_dedup
 from .token_counts import op8_token_counts
 from .toxicity import op9_toxicity
 
@@ -18,5 +19,6 @@ QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE: dict[str, str] = {}
