@@ -136,7 +136,7 @@ def _block_pairs(percent: int):
     bits = most_bits()
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, t = pdf[pdf.query], pdf[~pdf.query]
+        q, t = pdf[pdf["query"]], pdf[~pdf["query"]]
         out = []
         if len(q) and len(t):
             sketch = np.array(t.sketch.tolist(), np.int64).view(np.uint64)
