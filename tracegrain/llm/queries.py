@@ -6,6 +6,7 @@ from .byte_bpe import op7_byte_bpe
 from .language_id import op6_language_id
 from .license_scan import op2_license_scan
 from .minhash_dedup import op1_minhash
+from .mixing import op4_mixing
 from .quality import op3_quality
 from .suffix_dedup import op10_suffix_dedup
 from .token_counts import op8_token_counts
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_license_scan": op2_license_scan,
     "op3_quality": op3_quality,
+    "op4_mixing": op4_mixing,
     "op6_language_id": op6_language_id,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_token_counts": op8_token_counts,
