@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op7_byte_bpe
+from .graph_dedup import op5_vector_graph
 from .language_id import op6_language_id
 from .license_scan import op2_license_scan
 from .minhash_dedup import op1_minhash
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_quality": op3_quality,
     "op4_mixing": op4_mixing,
+    "op5_vector_graph": op5_vector_graph,
     "op6_language_id": op6_language_id,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_token_counts": op8_token_counts,
