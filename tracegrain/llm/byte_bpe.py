@@ -17,6 +17,7 @@ import struct
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import Memo, map_texts, texts
 
@@ -222,6 +223,24 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     return map_texts(texts(docs, id_col, text_col), kernel, "doc_id long, ids binary, n_tokens long", lambda: codec(path, pattern))
 
 
+def encode_with_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, source, ids (packed), n_tokens, ids_sha256, decoded_sha256, in the order of the rows; nulls as in ``round_trip``."""
+
+    def kernel(batch, made):
+        out: dict = {"doc_id": batch.column("doc_id"), "source": batch.column("source"), "ids": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+        for text in batch.column("text").to_pylist():
+            packed = made.encode(text)
+            digest = hashlib.sha256()
+            for part in made.decode(packed):
+                digest.update(part.encode("utf-8"))
+            for k, v in zip(("ids", "n_tokens", "ids_sha256", "decoded_sha256"), (packed, len(packed) // 4, hashlib.sha256(packed).hexdigest(), digest.hexdigest())):
+                out[k].append(v)
+        return out
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(source_col).cast("string").alias("source"))
+    return map_texts(rows, kernel, "doc_id long, source string, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: codec(path, pattern))
+
+
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and the text that the packed ``ids`` stand for."""
 

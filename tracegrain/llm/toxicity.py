@@ -137,6 +137,24 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     return map_texts(texts(docs, id_col, text_col), kernel, "doc_id long, score double", lambda: sent.value.word_scores())
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores under ``threshold``."""
+    import pyarrow as pa
+
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        memo = sent.value.word_scores()
+        for batch in batches:
+            keep = []
+            for text in byte_texts(batch, text_col):
+                z = np.array([sum(map(memo.__getitem__, set(s.split()))) for s in sentences(text or b"")]) + BIAS
+                keep.append(bag_probability(z) < threshold)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def locate(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The offending sentences: doc_id, sentence (number from 0), start and length in bytes, probability >= ``least``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
