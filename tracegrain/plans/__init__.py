@@ -1,0 +1,6 @@
+"""Query plans: every operator bound to tables."""
+
+
+def load() -> None:
+    """Register all queries."""
+    from . import kernels  # noqa: F401
