@@ -2,7 +2,8 @@
 
 Documents with equal shingle sets are one class, and only the class's smallest id goes on. MinHash samples are
 banded for candidates and folded into a parity bitmap (an odd sketch), whose XOR population count estimates high
-similarities closely; pairs far below the threshold by it are dropped, all others are decided on full sets.
+similarities closely; pairs far below the threshold by it are dropped, all others are decided on full sets. In large
+buckets the parity bitmaps of whole sets, which bound the difference from below, come in between.
 
 No bucket's pairs are all tried: in each bucket every member is tried with one centre, drawn anew for each bucket.
 Components of the links found contract the buckets; what is left, members of one bucket in different components,
@@ -73,19 +74,38 @@ def signature(found: np.ndarray) -> tuple[list[int], list[int]]:
     return bands.view(np.int64).tolist(), np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
+def parity_bits(n: int) -> int:
+    """Bits of a set's parity bitmap: the power of two from four for each element on, 512 at least."""
+    return max(512, 1 << (4 * n - 1).bit_length())
+
+
+def parity_bitmap(found: np.ndarray) -> bytes:
+    """The odd sketch of the whole set. Its XOR with another's has at most as many bits as elements differ, so it
+    proves dissimilarity; bitmaps of different sizes compare after the larger is folded in two."""
+    bits = parity_bits(len(found))
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _folded(bitmaps: np.ndarray) -> np.ndarray:
+    half = bitmaps.shape[1] // 2
+    return bitmaps[:, :half] ^ bitmaps[:, half:]
+
+
 def signatures(rows: DataFrame, width: int) -> DataFrame:
     def kernel(batch, memo):
-        out: dict = {"n": [], "sig": [], "bands": [], "sketch": []}
+        out: dict = {"n": [], "sig": [], "bands": [], "sketch": [], "parity": []}
         for text in byte_texts(batch):
             found = shingles(text, width, memo)
             out["n"].append(len(found))
+            out["parity"].append(parity_bitmap(found))
             out["sig"].append(xxhash.xxh3_128_digest(found.tobytes()))
             bands, sketch = signature(found) if len(found) else ([], [])
             out["bands"].append(bands)
             out["sketch"].append(sketch)
         return {"doc_id": batch.column("doc_id")} | out
 
-    return map_texts(rows, kernel, "doc_id long, n long, sig binary, bands array<long>, sketch array<long>", word_memo)
+    return map_texts(rows, kernel, "doc_id long, n long, sig binary, bands array<long>, sketch array<long>, parity binary", word_memo)
 
 
 def most_bits(least: float = LEAST_ESTIMATE) -> int:
@@ -134,20 +154,42 @@ def _with_sketches(pairs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def _block_pairs(percent: int):
-    """Candidate pairs between the queries and the targets of one block; ids only where components differ."""
+    """Candidate pairs between the queries and the targets of one block; ids only where components differ.
+
+    A pair that the samples leave likely has to pass its sets' parity bitmaps too: of sets with m and n elements, at most
+    (m + n) * (100 - percent) / (100 + percent) elements differ in a link.
+    """
     bits = most_bits()
+    share = (100 - percent) / (100 + percent)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         q, t = pdf[pdf["query"]], pdf[~pdf["query"]]
         out = []
         if len(q) and len(t):
-            sketch = np.array(t.sketch.tolist(), np.int64).view(np.uint64)
-            ids, comps, sizes = t.rep.to_numpy(), t.comp.to_numpy(), t.n.to_numpy()
-            for rep, comp, n, own in zip(q.rep, q.comp, q.n, q.sketch):
+            ids, comps, sizes = t["rep"].to_numpy(), t["comp"].to_numpy(), t["n"].to_numpy()
+            sketch = np.array(t["sketch"].tolist(), np.int64).view(np.uint64)
+            parity, widths = t["parity"].to_numpy(), np.array([parity_bits(int(n)) for n in sizes])
+            levels = {}
+            for width in np.unique(widths):
+                at = np.flatnonzero(widths == width)
+                levels[int(width)] = (at, np.frombuffer(b"".join(parity[at]), np.uint64).reshape(len(at), -1))
+            for rep, comp, n, own, bitmap in zip(q["rep"], q["comp"], q["n"], q["sketch"], q["parity"]):
                 apart = np.bitwise_count(sketch ^ np.array(own, np.int64).view(np.uint64)).sum(1)
-                hit = (comps != comp) & (apart <= bits) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
-                out += [(min(rep, x), max(rep, x)) for x in ids[hit]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                likely_ = (comps != comp) & (apart <= bits) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
+                if not likely_.any():
+                    continue
+                mine = np.frombuffer(bitmap, np.uint64)[None, :]
+                for width, (at, maps) in levels.items():
+                    hit = np.flatnonzero(likely_[at])
+                    if len(hit):
+                        left, right = maps[hit], mine
+                        while left.shape[1] > right.shape[1]:
+                            left = _folded(left)
+                        while right.shape[1] > left.shape[1]:
+                            right = _folded(right)
+                        hit = at[hit[np.bitwise_count(left ^ right).sum(1) <= (sizes[at[hit]] + n) * share + 1e-9]]
+                        out += [(min(rep, x), max(rep, x)) for x in ids[hit]]
+        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
 
     return compare
 
@@ -167,13 +209,13 @@ def _left_over(members: DataFrame, comps: DataFrame, kept: DataFrame, tried: Dat
     if not large.isEmpty():
         by = large.groupBy("key", "comp").agg(F.count("*").alias("c"))
         main = staged(by.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most")), "mains")
-        rows = large.join(main, "key").join(kept.select(F.col("doc_id").alias("rep"), "n", "sketch"), "rep")
+        rows = large.join(main, "key").join(kept.select(F.col("doc_id").alias("rep"), "n", "sketch", "parity"), "rep")
         blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
         tb, qb = blocks(F.col("all")), F.greatest(F.lit(1), blocks(F.col("all") - F.col("most")))
         part = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), n).cast("int")
         targets = rows.withColumn("t", part(tb, 1)).withColumn("q", F.explode(F.sequence(F.lit(0), qb - 1))).withColumn("query", F.lit(False))
         queries = rows.where("comp != main").withColumn("q", part(qb, 2)).withColumn("t", F.explode(F.sequence(F.lit(0), tb - 1))).withColumn("query", F.lit(True))
-        both = targets.select("key", "t", "q", "query", "rep", "comp", "n", "sketch").unionByName(queries.select("key", "t", "q", "query", "rep", "comp", "n", "sketch"))
+        both = targets.select("key", "t", "q", "query", "rep", "comp", "n", "sketch", "parity").unionByName(queries.select("key", "t", "q", "query", "rep", "comp", "n", "sketch", "parity"))
         near = near.union(both.groupBy("key", "t", "q").applyInPandas(_block_pairs(percent), "a long, b long"))
     return near.distinct().join(tried, ["a", "b"], "left_anti")
 
@@ -188,7 +230,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     rows = texts(docs, id_col, text_col)
     sigs = staged(signatures(rows, width), "signatures")
     classes = staged(sigs.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep")), "classes")
-    kept = sigs.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "sketch", "bands")
+    kept = sigs.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "sketch", "parity", "bands")
     kept = staged(kept.dropDuplicates(["doc_id"]), "kept")
     keyed = kept.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("key", "rep"), "rep")).alias("least")).where("size > 1")
