@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Register all queries."""
-    from . import kernels  # noqa: F401
+    from . import arrays, kernels, strings  # noqa: F401
