@@ -20,9 +20,9 @@ from .common import staged
 from .components import connected
 
 #: Vectors of a shard that are aimed at; vectors and queries of one task at most; shards a vector is in.
-SHARD, BLOCK, QUERIES, OVERLAP = 1500, 2000, 2000, 3
+SHARD, BLOCK, QUERIES, OVERLAP = 400, 1500, 1500, 2
 #: Rows that centroids are fitted on, at most, and centroids of a label, at most.
-SAMPLE, CENTROIDS = 20_000, 256
+SAMPLE, CENTROIDS = 10_000, 1024
 #: Out-degree, width of the walk, and how much closer a neighbour must be to prune another.
 DEGREE, BEAM, ALPHA = 24, 32, 1.2
 
@@ -62,11 +62,12 @@ def centroids(rows: DataFrame, sample: int = SAMPLE) -> dict[tuple[str, int], np
     return out
 
 
-def robust_prune(data: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, pool: int = 64) -> np.ndarray:
-    """Adjacency (rows x degree, padded by the row itself) of robustly pruned nearest candidates, for all rows at once."""
+def robust_prune(data: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, pool: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Adjacency (rows x degree, padded by the row itself) of robustly pruned nearest candidates, for all rows at once;
+    and the candidates, nearest first."""
     n = len(data)
     if n == 1:
-        return np.zeros((1, 1), np.int64)
+        return np.zeros((1, 1), np.int64), np.zeros((1, 1), np.int64)
     pool = min(pool, n - 1)
     like = data @ data.T
     np.fill_diagonal(like, -2.0)
@@ -93,7 +94,7 @@ def robust_prune(data: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, p
         between = np.sqrt(np.maximum(0.0, 2 - 2 * like[chosen[:, None], near]))
         alive &= ~((alpha * between <= reach) | (near == chosen[:, None])) | ~has[:, None]
         alive[rows[has], first[has]] = False
-    return out
+    return out, near
 
 
 def united(lists: np.ndarray, degree: int) -> np.ndarray:
@@ -110,6 +111,28 @@ def united(lists: np.ndarray, degree: int) -> np.ndarray:
     return np.concatenate([lists, back], axis=1)
 
 
+def reinforced(graph: np.ndarray, near: np.ndarray, least: int = 6, slots: int = 16) -> np.ndarray:
+    """Rows that fewer than ``least`` others point at get more: their nearest candidates with free slots point at them.
+    In a dense cluster some rows would else be nobody's neighbour."""
+    n = len(graph)
+    own = np.arange(n)[:, None]
+    pointed = np.bincount(graph[graph != own], minlength=n)
+    extra, used = np.repeat(own, slots, axis=1), np.zeros(n, np.int64)
+    low = np.flatnonzero(pointed < least)
+    for k in range(near.shape[1]):
+        if not len(low):
+            break
+        order = np.argsort(near[low, k], kind="stable")
+        source, target = near[low, k][order], low[order]
+        place = used[source] + np.arange(len(source)) - np.searchsorted(source, source)
+        fits = (place < slots) & (source != target)
+        extra[source[fits], place[fits]] = target[fits]
+        np.maximum.at(used, source[fits], place[fits] + 1)
+        pointed[target[fits]] += 1
+        low = low[pointed[low] < least]
+    return np.concatenate([graph, extra], axis=1)
+
+
 def range_search(data: np.ndarray, graph: np.ndarray, queries: np.ndarray, least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) pairs of cosine >= least: greedy walks from the medoid, then expansion within the range."""
     n, m = len(data), len(queries)
@@ -162,7 +185,8 @@ def _search(least: float):
         if not len(index) or not len(ask):
             return pd.DataFrame({"vec_id": [], "links": [], "other": []}).astype("int64")
         data = np.stack(index["v"].to_numpy())
-        graph = united(robust_prune(data), DEGREE)
+        lists, near = robust_prune(data)
+        graph = reinforced(united(lists, DEGREE), near)
         q, r = range_search(data, graph, np.stack(ask["v"].to_numpy()), least)
         ids, asked = index["vec_id"].to_numpy(), ask["vec_id"].to_numpy()
         row_i, row_q = index["row"].to_numpy(), ask["row"].to_numpy()
