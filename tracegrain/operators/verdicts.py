@@ -101,7 +101,11 @@ def verdict(found: DataFrame, alias: DataFrame) -> DataFrame:
 
 def merged_tables(tables: list[DataFrame], keys: list[str], sums: list[str], lists: list[str]) -> DataFrame:
     """Score tables as one: numbers add, list items are marked by their table's number."""
-    parts = [t.select(*keys, *sums, *(F.transform(c, lambda x, i=i: F.concat(F.lit(f"{i}:"), x.cast("string"))).alias(c) for c in lists)) for i, t in enumerate(tables, 1)]
+
+    def marked(column: str, i: int) -> Column:
+        return F.transform(column, lambda x: F.concat(F.lit(f"{i}:"), x.cast("string"))).alias(column)
+
+    parts = [t.select(*keys, *sums, *(marked(c, i) for c in lists)) for i, t in enumerate(tables, 1)]
     every = reduce(DataFrame.unionByName, parts)
     return every.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums), *(F.array_sort(F.flatten(F.collect_list(c))).alias(c) for c in lists))
 

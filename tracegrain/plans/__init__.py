@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Register all queries."""
-    from . import arrays, kernels, strings, switches  # noqa: F401
+    from . import arrays, builds, kernels, strings, switches, verdicts  # noqa: F401
