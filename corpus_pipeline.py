@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracegrain.llm import byte_bpe, minhash_dedup, mixing, suffix_dedup, toxicity
 from tracegrain.llm.common import staged
+from tracegrain.shipping import ship
 
 #: Documents that score this high are rejected.
 TOXIC = 0.7
@@ -20,7 +21,7 @@ WIDTH, PERCENT = 5, 80
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under TOXIC. Labels are learned on the rows outside the held-out fold."""
-    model = toxicity.fit(toxicity.training_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.without_toxic(docs, model, TOXIC)
 
 
@@ -61,7 +62,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, map_texts, texts
+from .common import Memo, map_texts, resident, texts
 
 #: States that one worker keeps; beyond it the table is built afresh.
 STATE_LIMIT = 250_000
@@ -201,15 +201,14 @@ class Codec:
         return [*parts, decoder.finish()]
 
 
-_codecs: dict = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
     """One for each worker process: what was compiled serves its later tasks too."""
-    if (path, pattern) not in _codecs:
+
+    def make() -> Codec:
         gc.set_threshold(1_000_000, 100, 100)  # the tables are many small objects that live long
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+        return Codec(path, pattern)
+
+    return resident(("codec", path, pattern), make)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

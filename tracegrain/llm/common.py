@@ -58,6 +58,7 @@ def map_texts(df: DataFrame, kernel, schema: str, make=None) -> DataFrame:
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
+        release()
         made = make() if make else None
         for whole in batches:
             for at in range(0, whole.num_rows, ARROW_ROWS):
@@ -68,6 +69,28 @@ def map_texts(df: DataFrame, kernel, schema: str, make=None) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+_resident: dict = {}
+
+
+def resident(key, make):
+    """What a worker process keeps for its later tasks, one thing at a time; see ``release``."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    _kept[0] = True
+    return _resident[key]
+
+
+_kept = [False]
+
+
+def release() -> None:
+    """Forget what an earlier operator keeps in this worker, unless the last task used it."""
+    if not _kept[0]:
+        _resident.clear()
+    _kept[0] = False
+
+
 def byte_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 

@@ -52,7 +52,7 @@ def shingles(text: bytes, width: int, memo: Memo) -> np.ndarray:
 
 
 def word_memo() -> Memo:
-    return Memo(xxhash.xxh3_64_intdigest, 500_000)
+    return Memo(xxhash.xxh3_64_intdigest, 200_000)
 
 
 def samples(found: np.ndarray) -> np.ndarray:

@@ -12,7 +12,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, map_texts, texts
+from .common import Memo, map_texts, resident, texts
 
 #: Fixed value: how word_bpe_49k.json splits a normalised text into pre-tokens.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -60,13 +60,8 @@ class PieceCounter:
         return out
 
 
-_counters: dict[str, PieceCounter] = {}
-
-
 def counter(path: str) -> PieceCounter:
-    if path not in _counters:
-        _counters[path] = PieceCounter(path)
-    return _counters[path]
+    return resident(("counter", path), lambda: PieceCounter(path))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, byte_texts, held_out, map_texts, texts
+from .common import Memo, byte_texts, held_out, map_texts, release, texts
 
 #: Hashed feature space; the model is this many floats, whatever the input.
 DIMS = 1 << 18
@@ -56,7 +56,7 @@ class Model:
         def score(word: bytes) -> float:
             return float(weights[features(word)].sum())
 
-        return Memo(score)
+        return Memo(score, 300_000)
 
 
 def bag_probability(z: np.ndarray) -> float:
@@ -72,20 +72,21 @@ def fit(bags: list[tuple[bytes, int]], epochs: int = 12, rate: float = 0.5, leas
     weights = np.zeros(DIMS, np.float64)
     if len({y for _, y in bags}) < 2:
         return Model(weights.astype(np.float32))
-    memo = Memo(lambda w: np.array(features(w), np.int32), 2_000_000)
-    docs = []
+    memo = Memo(lambda w: np.array(features(w), np.int32), 100_000)
     seen = np.zeros(DIMS, np.int32)
+    for text, _ in bags:
+        found = [memo[w] for w in {w for s in sentences(text) for w in s.split()}]
+        if found:
+            seen[np.unique(np.concatenate(found))] += 1
+    docs = []
     for text, y in bags:
-        parts = [[memo[w] for w in set(s.split())] for s in sentences(text)]
-        parts = [p for p in parts if p]
-        if not parts:
-            continue
-        flat = [np.concatenate(p) for p in parts]
-        ids = np.concatenate(flat)
-        docs.append((ids, np.repeat(np.arange(len(flat)), [len(f) for f in flat]), len(flat), y))
-        seen[np.unique(ids)] += 1
-    rare = seen < least
-    docs = [(ids[k], at[k], n, y) for ids, at, n, y in docs for k in [~rare[ids]]]
+        parts = [np.concatenate([memo[w] for w in p]) for s in sentences(text) if (p := set(s.split()))]
+        if parts:
+            ids = np.concatenate(parts)
+            keep = seen[ids] >= least
+            at = np.repeat(np.arange(len(parts), dtype=np.int32), [len(f) for f in parts])
+            docs.append((ids[keep], at[keep], len(parts), y))
+    del memo
     square = np.full(DIMS, 1e-2)
     order = np.random.RandomState(7)
     for _ in range(epochs):
@@ -111,15 +112,30 @@ def fit(bags: list[tuple[bytes, int]], epochs: int = 12, rate: float = 0.5, leas
     return Model(weights.astype(np.float32))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None) -> list[tuple[bytes, int]]:
-    """At most ``sample[y]`` documents of each label, none of the held-out fold; ordered by a hash of the id."""
+def training_sample(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None) -> DataFrame:
+    """(doc_id, text, y): at most ``sample[y]`` documents of each label, those with the smallest hashes of the id; none of
+    the held-out fold."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("y"))
-    bags: list[tuple[bytes, int]] = []
+    ids = None
     for y, most in (sample or SAMPLE).items():
-        ids = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "y")
-        found = texts(docs).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])  # at most ``most`` ids
-        bags += [(r.text.encode("utf-8"), int(r.y)) for r in found.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
-    return bags
+        part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "y")
+        ids = part if ids is None else ids.union(part)
+    return texts(docs).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])  # as many ids as the samples have
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None) -> Model:
+    """Fit on the bounded sample in one task; the driver gets the weights only."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        release()
+        rows = [x for b in batches for x in zip(b.column("doc_id").to_pylist(), byte_texts(b), b.column("y").to_pylist())]
+        model = fit([(text, int(y)) for _, text, y in sorted(rows)])
+        yield pa.RecordBatch.from_pydict({"weights": pa.array([model.weights.tobytes()], pa.binary())})
+
+    (row,) = training_sample(docs, labels, sample).repartition(1).mapInArrow(run, "weights binary").collect() or [None]
+    return Model(np.frombuffer(row.weights, np.float32) if row else np.zeros(DIMS, np.float32))
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,6 +160,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text_co
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        release()
         memo = sent.value.word_scores()
         for batch in batches:
             keep = []
@@ -176,7 +193,7 @@ def locate(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "doc
 
 def learned(spark: SparkSession, sf_dir: str) -> Model:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return fit(training_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str, threshold: float = 0.7) -> DataFrame:
