@@ -92,7 +92,7 @@ def mixed(docs: DataFrame, target: dict[str, float] | None = None, block: int =
     table = [(s, seen.setdefault(s, 0), t, seen.__setitem__(s, seen[s] + 1))[:3] for t, s in enumerate(slots)]
     pattern = spark.createDataFrame(table or [("", 0, 0)], "_source string, _index long, _at long")
     per = spark.createDataFrame([(s, n) for s, n in seen.items()] or [("", 1)], "_source string, _per long")
-    ranges = max(16, -(-sum(sizes.values()) // RANKED))
+    ranges = max(128, -(-sum(sizes.values()) // RANKED))
     code = F.xxhash64(F.col(id_col))
     bucket = F.pmod(F.shiftright(code, 8), F.lit(ranges))
     last = [F.col("text")] if "text" in docs.columns else []
