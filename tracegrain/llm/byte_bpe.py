@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import Memo, map_texts, resident, texts
 
 #: States that one worker keeps; beyond it the table is built afresh.
-STATE_LIMIT = 250_000
+STATE_LIMIT = 160_000
 
 
 class _State:
@@ -40,14 +40,14 @@ class MergeTransducer:
             self.table[rank] = token
         self.packed = [struct.pack("<I", rank) for rank in range(len(self.table))]
         self.open = {token[:n] for token in ranks for n in range(1, len(token))}
-        self.valid = Memo(self._is_valid, 200_000)
+        self.valid = Memo(self._is_valid, 300_000)
         self.states: dict = {}
         self._reset()
 
     def _reset(self) -> None:
         for state in self.states.values():  # states refer to each other in circles
             state.next.clear()
-        self.states = {}
+        self.states, self.starts = {}, {}  # equal starts are one object
         self.root = self._state(((b"", -1),))
 
     def _state(self, live: tuple) -> _State:
@@ -67,8 +67,9 @@ class MergeTransducer:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
-    def _is_valid(self, pair: tuple[int, int]) -> bool:
-        left, right = pair
+    def _is_valid(self, pair: int) -> bool:
+        """Of the token before (one more than its rank, 0 for none) in the high bits and the token in the low 20."""
+        left, right = (pair >> 20) - 1, pair & 0xFFFFF
         if left < 0:
             return self._merge(self.table[right]) == [self.table[right]]
         return self._merge(self.table[left] + self.table[right]) == [self.table[left], self.table[right]]
@@ -79,13 +80,15 @@ class MergeTransducer:
         for seen, last in state.live:
             now = seen + bytes((byte,))
             rank = self.ranks.get(now)
-            if end < 0 and rank is not None and self.valid[last, rank]:
+            if end < 0 and rank is not None and self.valid[(last + 1) << 20 | rank]:
                 end, n = rank, len(now)
             if now in self.open:
-                live.append((now, last))
+                start = (now, last)
+                live.append(self.starts.setdefault(start, start))
         if end < 0:
             raise ValueError("the vocabulary lacks a single byte")
-        live.append((b"", end))
+        start = (b"", end)
+        live.append(self.starts.setdefault(start, start))
         found = state.next[byte] = (self._state(tuple(live)), end, n)
         return found
 
@@ -189,7 +192,7 @@ class Codec:
 
         self.split = regex.compile(pattern).findall
         self.transducer = MergeTransducer(load_ranks(path))
-        self.pieces = Memo(lambda piece: self.transducer.encode_piece(piece.encode("utf-8")), 400_000)
+        self.pieces = Memo(lambda piece: self.transducer.encode_piece(piece.encode("utf-8")), 300_000)
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))

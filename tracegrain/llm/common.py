@@ -6,6 +6,8 @@ name first, so further columns, whatever they are called, never clash.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -14,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text that reach Python at once; it bounds a worker's memory, not what is read.
-ARROW_ROWS = 1000
+#: Rows of text that a kernel gets, and that Spark sends to Python, at once; they bound memory, not what is read.
+ARROW_ROWS, BATCH_ROWS = 1000, 2000
 #: Bytes of text that a kernel works on at once.
 CHUNK_BYTES = 1 << 20
 
@@ -66,9 +68,17 @@ def map_texts(df: DataFrame, kernel, schema: str, make=None) -> DataFrame:
                 for part in [out] if isinstance(out, dict) else out:
                     yield pa.RecordBatch.from_arrays([pa.array(part[f.name], type=f.type) for f in arrow], schema=arrow)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts can be long: have Spark send fewer rows at once than its default, unless the session asks for fewer still."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "0")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 _resident: dict = {}
 
 
@@ -85,9 +95,15 @@ _kept = [False]
 
 
 def release() -> None:
-    """Forget what an earlier operator keeps in this worker, unless the last task used it."""
-    if not _kept[0]:
+    """Forget what an earlier operator keeps in this worker, unless the last task used it, and give the memory back."""
+    if not _kept[0] and _resident:
         _resident.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library frees by itself
+            pass
     _kept[0] = False
 
 

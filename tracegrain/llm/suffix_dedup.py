@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, byte_texts, map_texts, mix, release, staged
+from .common import CHUNK_BYTES, byte_texts, map_texts, mix, release, small_batches, staged
 
 LENGTH, GRAM = 400, 96
 #: Anchor hashes at more places than this are dealt out in so many spans of offsets.
@@ -404,6 +404,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     parts = max(8, -(-total // SUFFIXES))
     texts_ = rows.select("doc_id", "uid", "text").join(hits, ["doc_id", "uid"])
     texts_ = staged(texts_.select("doc_id", "uid", "text", F.col("x.place").alias("places"), F.col("x.gram").alias("grams"), F.col("x.hot").alias("hot")), "suffix-texts")
+    small_batches(docs.sparkSession)
     runs = staged(texts_.mapInArrow(_make_runs(parts, length, gram), _RUNS), "runs")
     merged = runs.where("part is not null").select("part", "head", "rest", "instances").groupBy("part").applyInPandas(_merge_part(length, gram), "doc_id long, uid long, lo int, hi int")
     found = staged(merged.union(runs.where("part is null").select("doc_id", "uid", "lo", "hi")), "spans")

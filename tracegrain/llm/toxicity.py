@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, byte_texts, held_out, map_texts, release, texts
+from .common import Memo, byte_texts, held_out, map_texts, release, small_batches, texts
 
 #: Hashed feature space; the model is this many floats, whatever the input.
 DIMS = 1 << 18
@@ -169,6 +169,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text_co
                 keep.append(bag_probability(z) < threshold)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
