@@ -144,3 +144,13 @@ def test_random_chains_are_maximal():
         kept = W.maximal_chains(chains)
         assert all(any(set(c) <= set(k) for k in kept) for c in chains)
         assert not any(a != b and set(a) <= set(b) for a in kept for b in kept)
+
+
+def test_overlaps_of_short_and_long_chains(spark):
+    rng = random.Random(6)
+    chains = [[str(rng.randrange(25)) for _ in range(rng.choice([3, 5, 9, 14, 20]))] for _ in range(40)]
+    df = spark.createDataFrame([(str(i), c) for i, c in enumerate(chains)], "id string, chain array<string>")
+    for least in (1, 3, 4):
+        got = {(r.s_id, r.b_id): r.overlap for r in W.chain_overlaps(df, df, least).collect()}
+        want = {(str(i), str(j)): n for i, a in enumerate(chains) for j, b in enumerate(chains) if (n := len(set(a) & set(b))) >= least}
+        assert got == want

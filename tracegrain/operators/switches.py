@@ -84,11 +84,42 @@ def long_chains(chains: DataFrame, chain: str = "chain") -> DataFrame:
     return chains.where(F.size(chain) >= 3)
 
 
-def chain_overlaps(source: DataFrame, binary: DataFrame) -> DataFrame:
-    """s_id, b_id, overlap, percent of the longer, for chains with a common step: distinct steps meet by an equi-join."""
-    s = source.select(F.col("id").alias("s_id"), F.size("chain").alias("s_n"), F.explode(F.array_distinct("chain")).alias("step"))
-    b = binary.select(F.col("id").alias("b_id"), F.size("chain").alias("b_n"), F.explode(F.array_distinct("chain")).alias("step"))
-    both = s.join(b, "step").groupBy("s_id", "b_id", "s_n", "b_n").agg(F.count("*").alias("overlap"))
+#: Chains up to this many distinct steps meet by combinations of three of them.
+SHORT = 12
+
+
+def _triples(steps: Column) -> Column:
+    """All combinations of three of a sorted array."""
+    n = F.size(steps)
+    at = lambda low, high: F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+    one = F.lit(1)
+    return F.flatten(F.transform(at(one, n - 2), lambda i: F.flatten(F.transform(at(i + 1, n - 1), lambda j: F.transform(at(j + 1, n), lambda k: F.array(steps[i - 1], steps[j - 1], steps[k - 1]))))))
+
+
+def chain_overlaps(source: DataFrame, binary: DataFrame, least: int = 3) -> DataFrame:
+    """s_id, b_id, overlap, percent of the longer, for chains with ``least`` steps in common.
+
+    With three and more, short chains meet by combinations of three of their distinct steps, which few pairs share by
+    chance; a pair with a long chain, or any pair with ``least`` under three, meets by single steps. No pair is lost.
+    """
+    sides = []
+    for rows, x in ((source, "s"), (binary, "b")):
+        sides.append(rows.select(F.col("id").alias(f"{x}_id"), F.size("chain").alias(f"{x}_n"), F.array_sort(F.array_distinct("chain")).alias(f"{x}_steps")))
+    s, b = sides
+    single = lambda rows, x: rows.select(f"{x}_id", f"{x}_n", F.explode(f"{x}_steps").alias("key"))
+
+    def counted(left: DataFrame, right: DataFrame) -> DataFrame:
+        return single(left, "s").join(single(right, "b"), "key").groupBy("s_id", "b_id", "s_n", "b_n").agg(F.count("*").alias("overlap"))
+
+    if least < 3:
+        both = counted(s, b).where(F.col("overlap") >= least)
+    else:
+        is_short = lambda x: F.size(f"{x}_steps") <= SHORT
+        keyed = [rows.where(is_short(x)).select(f"{x}_id", F.explode(_triples(F.col(f"{x}_steps"))).alias("key")) for rows, x in ((s, "s"), (b, "b"))]
+        pairs = keyed[0].join(keyed[1], "key").select("s_id", "b_id").distinct()
+        short = pairs.join(s, "s_id").join(b, "b_id").select("s_id", "b_id", "s_n", "b_n", F.size(F.array_intersect("s_steps", "b_steps")).cast("long").alias("overlap"))
+        long = counted(s.where(~is_short("s")), b).unionByName(counted(s.where(is_short("s")), b.where(~is_short("b"))))
+        both = short.unionByName(long).where(F.col("overlap") >= least)
     return both.select("s_id", "b_id", "overlap", (F.col("overlap") / F.greatest("s_n", "b_n") * 100).alias("percent"))
 
 
