@@ -211,7 +211,11 @@ def codec(path: str, pattern: str) -> Codec:
         gc.set_threshold(1_000_000, 100, 100)  # the tables are many small objects that live long
         return Codec(path, pattern)
 
-    return resident(("codec", path, pattern), make)
+    return resident(codec_key(path, pattern), make)
+
+
+def codec_key(path: str, pattern: str) -> tuple:
+    return "codec", path, pattern
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,7 +226,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         packed = [made.encode(t) for t in batch.column("text").to_pylist()]
         return {"doc_id": batch.column("doc_id"), "ids": packed, "n_tokens": [len(p) // 4 for p in packed]}
 
-    return map_texts(texts(docs, id_col, text_col), kernel, "doc_id long, ids binary, n_tokens long", lambda: codec(path, pattern))
+    return map_texts(texts(docs, id_col, text_col), kernel, "doc_id long, ids binary, n_tokens long", lambda: codec(path, pattern), codec_key(path, pattern))
 
 
 def encode_with_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -240,7 +244,7 @@ def encode_with_digests(docs: DataFrame, path: str, pattern: str, id_col: str =
         return out
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(source_col).cast("string").alias("source"))
-    return map_texts(rows, kernel, "doc_id long, source string, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: codec(path, pattern))
+    return map_texts(rows, kernel, "doc_id long, source string, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: codec(path, pattern), codec_key(path, pattern))
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -249,7 +253,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def kernel(batch, made):
         return {"doc_id": batch.column("doc_id"), "text": ["".join(made.decode(p or b"")) for p in batch.column("ids").to_pylist()]}
 
-    return map_texts(encoded.select("doc_id", "ids"), kernel, "doc_id long, text string", lambda: codec(path, pattern))
+    return map_texts(encoded.select("doc_id", "ids"), kernel, "doc_id long, text string", lambda: codec(path, pattern), codec_key(path, pattern))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,7 +275,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         return out
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_texts(texts(docs, id_col, text_col), kernel, schema, lambda: codec(path, pattern))
+    return map_texts(texts(docs, id_col, text_col), kernel, schema, lambda: codec(path, pattern), codec_key(path, pattern))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

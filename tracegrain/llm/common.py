@@ -49,8 +49,9 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def map_texts(df: DataFrame, kernel, schema: str, make=None) -> DataFrame:
-    """``kernel`` over Arrow batches of at most ARROW_ROWS rows; ``make()`` gives what it needs, once a task.
+def map_texts(df: DataFrame, kernel, schema: str, make=None, keep=None) -> DataFrame:
+    """``kernel`` over Arrow batches of at most ARROW_ROWS rows; ``make()`` gives what it needs, once a task. ``keep`` is the
+    key of what the task takes from its worker, see ``resident``.
 
     ``kernel(batch, made)`` returns one pyarrow RecordBatch or an iterable of them.
     """
@@ -60,7 +61,7 @@ def map_texts(df: DataFrame, kernel, schema: str, make=None) -> DataFrame:
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
-        release()
+        release(keep)
         made = make() if make else None
         for whole in batches:
             for at in range(0, whole.num_rows, ARROW_ROWS):
@@ -85,26 +86,25 @@ _resident: dict = {}
 def resident(key, make):
     """What a worker process keeps for its later tasks, one thing at a time; see ``release``."""
     if key not in _resident:
-        _resident.clear()
+        release()
         _resident[key] = make()
-    _kept[0] = True
     return _resident[key]
 
 
-_kept = [False]
+def release(keep=None) -> None:
+    """Forget what earlier tasks left in this worker, but for ``keep``, and give the memory back."""
+    if any(key != keep for key in _resident):
+        _resident.clear()
+        trim()
 
 
-def release() -> None:
-    """Forget what an earlier operator keeps in this worker, unless the last task used it, and give the memory back."""
-    if not _kept[0] and _resident:
-        _resident.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library frees by itself
-            pass
-    _kept[0] = False
+def trim() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library frees by itself
+        pass
 
 
 def byte_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, byte_texts, map_texts, mix, release, small_batches, staged
+from .common import CHUNK_BYTES, byte_texts, map_texts, mix, release, small_batches, staged, trim
 
 LENGTH, GRAM = 400, 96
 #: Anchor hashes at more places than this are dealt out in so many spans of offsets.
@@ -306,6 +306,7 @@ def _make_runs(parts: int, length: int, gram: int):
         kinds = {"part": pa.int64(), "run": pa.string(), "head": pa.binary(), "rest": pa.binary(), "instances": pa.binary(), "doc_id": pa.int64(), "uid": pa.int64(), "lo": pa.int32(), "hi": pa.int32()}
         for out in run(batches):
             yield pa.RecordBatch.from_pydict({k: pa.array(out[k], t) for k, t in kinds.items()})
+        trim()
 
     return to_batches
 

@@ -71,7 +71,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
         got = batch.column("text").to_pylist()
         return {"doc_id": batch.column("doc_id"), "n_bytes": [len(t.encode("utf-8")) for t in got], "n_tokens": made.count(got)}
 
-    out = map_texts(texts(docs, id_col, text_col), kernel, "doc_id long, n_bytes long, n_tokens long", lambda: counter(path))
+    out = map_texts(texts(docs, id_col, text_col), kernel, "doc_id long, n_bytes long, n_tokens long", lambda: counter(path), ("counter", path))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

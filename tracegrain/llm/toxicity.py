@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, byte_texts, held_out, map_texts, release, small_batches, texts
+from .common import Memo, byte_texts, held_out, map_texts, release, small_batches, texts, trim
 
 #: Hashed feature space; the model is this many floats, whatever the input.
 DIMS = 1 << 18
@@ -132,6 +132,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = No
         release()
         rows = [x for b in batches for x in zip(b.column("doc_id").to_pylist(), byte_texts(b), b.column("y").to_pylist())]
         model = fit([(text, int(y)) for _, text, y in sorted(rows)])
+        del rows
+        trim()
         yield pa.RecordBatch.from_pydict({"weights": pa.array([model.weights.tobytes()], pa.binary())})
 
     (row,) = training_sample(docs, labels, sample).repartition(1).mapInArrow(run, "weights binary").collect() or [None]
