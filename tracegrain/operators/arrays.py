@@ -40,15 +40,21 @@ def seeds(text: Column, step: int, n: int = SEED) -> Column:
 def contained(needles: DataFrame, haystacks: DataFrame, keys: list[str], byte_aligned: bool, shortest: int, same: tuple[str, ...] = ()) -> DataFrame:
     """(``same``, ``keys``, needle) where ``needle`` stands in ``hex``, the haystack of ``keys``.
 
-    The first SEED characters of a needle, or as many as the shortest needle has, meet the haystacks' substrings of that
+    The first characters of a needle, as many of a few levels up to SEED as it has, meet the haystacks' substrings of that
     length by an equi-join; each haystack with candidates is then read once, beside the list of them. Neither the
     haystacks nor pairs without a common seed go through the join. ``byte_aligned`` counts even places only.
     """
     step = 2 if byte_aligned else 1
-    n = min(SEED, shortest)
-    left = needles.select(*same, "needle", F.substring("needle", 1, n).alias("_seed")).distinct()
-    right = haystacks.select(*same, *keys, F.explode(seeds(F.col("hex"), step, n)).alias("_seed"))
-    asked = left.join(right, [*same, "_seed"]).groupBy(*same, *keys).agg(F.collect_set("needle").alias("_asked"))
+    size = F.length("needle")
+    levels = sorted({shortest, max(shortest, 10), max(shortest, SEED)})
+    asked = None
+    for n, following in zip(levels, [*levels[1:], None]):
+        fits = (size >= n) if following is None else (size >= n) & (size < following)
+        left = needles.where(fits).select(*same, "needle", F.substring("needle", 1, n).alias("_seed")).distinct()
+        right = haystacks.select(*same, *keys, F.explode(seeds(F.col("hex"), step, n)).alias("_seed"))
+        part = left.join(right, [*same, "_seed"]).select(*same, *keys, "needle")
+        asked = part if asked is None else asked.unionByName(part)
+    asked = asked.groupBy(*same, *keys).agg(F.collect_list("needle").alias("_asked"))
     whole = (lambda x: F.unhex("hex").contains(F.unhex(x))) if byte_aligned else (lambda x: F.col("hex").contains(x))
     return haystacks.join(asked, [*same, *keys]).select(*same, *keys, F.explode(F.filter("_asked", whole)).alias("needle"))
 
