@@ -1,4 +1,4 @@
-"""The queries of the corpus operators, by name; ORACLE has DuckDB SQL where SQL can express one."""
+"""The queries of the corpus operators, by name, and ORACLE, DuckDB SQL where SQL can express one."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from .language_id import op6_language_id
 from .license_scan import op2_license_scan
 from .minhash_dedup import op1_minhash
 from .mixing import op4_mixing
+from .oracles import ORACLE
 from .quality import op3_quality
 from .suffix_dedup import op10_suffix_dedup
 from .token_counts import op8_token_counts
@@ -25,4 +26,5 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLE: dict[str, str] = {}
+
+__all__ = ["ORACLE", "QUERIES"]
