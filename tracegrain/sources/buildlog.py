@@ -161,7 +161,7 @@ def is_source(path: Column) -> Column:
 def parsed_commands(cmds: DataFrame) -> DataFrame:
     """file, output, dependency, is_elf, needed of compiler, libtool, ar and ld commands (with cwd).
 
-    A compiler's output is an object if it is told so or has one source only; without `-o` it is the first input's name with
+    A compiler's output is an object if it has one source only and no linker flags; without `-o` it is the first input's name with
     .o. Archives, linkers and libraries with a soname are needed outputs. Commands without inputs give nothing.
     """
     at = F.array_position(F.transform("words", lambda t: _is(t, COMPILERS)), True)
@@ -175,14 +175,13 @@ def parsed_commands(cmds: DataFrame) -> DataFrame:
     outputs = _fold(F.col("w"), "string", lambda take, t: (~take & (t == "-o"), F.when(take, t)))
     cc = cc.select("file", "line_no", "part", "cwd", "link", "w", F.transform(inputs, lambda t: absolute_path(t, F.col("cwd"), True)).alias("dependency"), F.try_element_at(outputs, F.lit(-1)).alias("o")).where(F.size("dependency") > 0)
     wl = F.exists("w", lambda t: t.startswith("-Wl"))
-    told = F.exists("w", lambda t: t.isin("-c", "-S", "-E"))
     first = F.element_at("dependency", 1)
     output = F.when(F.col("o").isNotNull(), absolute_path(F.col("o"), F.col("cwd"), True)).otherwise(absolute_path(F.concat(F.substring_index(F.substring_index(first, "/", -1), ".", 1), F.lit(".o")), F.col("cwd")))
     single = is_source(first) & (F.size("dependency") == 1)
     cc = cc.withColumn("output", output).select(
         "file", "line_no", "part", "output", "dependency", (F.when(wl, F.lit(True)).otherwise(~single)).alias("is_elf"),
-        (F.exists("w", lambda t: t.startswith("-Wl") & t.contains("-soname")) | (F.col("link") & F.col("output").endswith(".a"))).alias("needed"), told.alias("told"),
-    ).drop("told")
+        (F.exists("w", lambda t: t.startswith("-Wl") & t.contains("-soname")) | (F.col("link") & F.col("output").endswith(".a"))).alias("needed"),
+    )
     paths = lambda words: F.transform(words, lambda t: absolute_path(t, F.col("cwd")))
     ar = cmds.where((F.col("kind") == "ar") & (F.size("words") > 2) & ~F.element_at("words", 2).contains("x"))
     ar = ar.select("file", "line_no", "part", absolute_path(F.element_at("words", 3), F.col("cwd")).alias("output"), F.array_distinct(paths(F.slice("words", 4, 1_000_000))).alias("dependency"), F.lit(True).alias("is_elf"), F.lit(True).alias("needed"))
