@@ -173,4 +173,6 @@ def test_mixture_holds_every_row_once(spark, odd):
     assert len({(r._slot, r._place) for r in got}) == len(got)
     share = Counter(r._source for r in got if r._slot < 200)
     assert abs(share["big"] / (share["big"] + share["small"]) - 2**0.5 / (1 + 2**0.5)) < 0.02
+    clash = odd.withColumns({"_slot": F.lit("x"), "_bucket": F.lit("mine"), "_row": F.lit(1)})
+    assert {(r._bucket, r._row) for r in mixing.mixed(clash).collect()} == {("mine", 1)}
     assert mixing.mixed(odd).count() == odd.count() and mixing.mixed(odd.limit(0)).count() == 0

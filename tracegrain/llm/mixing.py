@@ -18,6 +18,8 @@ from .common import staged
 
 #: Slots of a period; also the most sources that can have a slot in each.
 SLOTS = 1000
+#: What ``mixed`` adds.
+COLUMNS = ("_source", "_block", "_slot", "_place")
 #: Documents of a block, and documents that one ranking task gets on average.
 BLOCK, RANKED = 8, 20_000
 
@@ -80,8 +82,8 @@ def tempered(sizes: dict[str, int], power: float = 0.5) -> dict[str, float]:
 def mixed(docs: DataFrame, target: dict[str, float] | None = None, block: int = BLOCK, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with _source, _block (number in its source), _slot, and _place: its place in the mixture is by (_slot, _place).
 
-    Within its source a document's rank follows a hash of its id (ties: id, then text where there is one). A null source
-    is a source of its own, named ''. Sources without a target get the smallest target given. Ranking is by hash
+    Within its source a document's rank follows a hash of its id (ties: id, then a hash of the text where there is one). A null source
+    is a source of its own, named ''. Columns of ``docs`` with one of the four names are replaced. Sources without a target get the smallest target given. Ranking is by hash
     ranges of a source, so that a large one is many groups.
     """
     sizes = source_sizes(docs, source_col)
@@ -95,17 +97,20 @@ def mixed(docs: DataFrame, target: dict[str, float] | None = None, block: int =
     ranges = max(128, -(-sum(sizes.values()) // RANKED))
     code = F.xxhash64(F.col(id_col))
     bucket = F.pmod(F.shiftright(code, 8), F.lit(ranges))
-    last = [F.col("text")] if "text" in docs.columns else []
-    rows = docs.withColumns({"_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "_bucket": bucket})
+    name = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
+    last = F.col("text").cast("string") if "text" in docs.columns else F.lit("")
+    # the document itself travels as one column, so that its columns cannot clash with these
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), name.alias("_source"), bucket.alias("_bucket"), code.alias("_code"), F.col(id_col).alias("_id"), F.xxhash64(last).alias("_last"))
     # the ranges' sizes, and how many rows of the source stand before each: sources x ranges small rows
-    counts = staged(docs.select(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source"), bucket.alias("_bucket")).groupBy("_source", "_bucket").agg(F.count("*").alias("_n")), "ranges")
+    counts = staged(docs.select(name.alias("_source"), bucket.alias("_bucket")).groupBy("_source", "_bucket").agg(F.count("*").alias("_n")), "ranges")
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("_n")).drop("_n")
-    within = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy(code, F.col(id_col), *last)) - 1
+    within = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_code", "_id", "_last")) - 1
     ranked = rows.withColumn("_within", within).join(before, ["_source", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_within"))
     ranked = ranked.withColumn("_block", F.floor(F.col("_rank") / block)).join(F.broadcast(per), "_source")
     ranked = ranked.withColumn("_index", F.col("_block") % F.col("_per")).join(F.broadcast(pattern), ["_source", "_index"])
     slot = F.floor(F.col("_block") / F.col("_per")) * len(slots) + F.col("_at")
-    return ranked.select(*docs.columns, "_source", "_block", slot.alias("_slot"), (F.col("_rank") % block).cast("int").alias("_place"))
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in COLUMNS]
+    return ranked.select(*kept, "_source", "_block", slot.alias("_slot"), (F.col("_rank") % block).cast("int").alias("_place"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
