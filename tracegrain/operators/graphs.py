@@ -39,3 +39,24 @@ def sources_of_outputs(commands: DataFrame) -> DataFrame:
     elf = commands.where("is_elf").select("output")
     own = all_.join(leaf.withColumnRenamed("object", "dependency"), "dependency").join(elf, "output", "left_semi")
     return own.groupBy("output").agg(F.array_sort(F.collect_set("file")).alias("sources"))
+
+
+def inferred_objects(missing: DataFrame, files: DataFrame) -> DataFrame:
+    """path, source: objects without a command and the source they come from, by the same path with a source's suffix
+    (also without `/.libs`), else by a name that only one file below has."""
+    stem = F.regexp_replace("path", r"\.l?o$", "")
+    objects = missing.where(F.col("path").rlike(r"\.l?o$")).select("path", F.explode(F.array_distinct(F.array(stem, F.regexp_replace(stem, r"/\.libs/", "/")))).alias("stem"))
+    sources = files.where(F.col("path").rlike(r"\.(c|cpp|cc|cxx)$")).select(F.col("path").alias("source"), F.regexp_replace("path", r"\.(c|cpp|cc|cxx)$", "").alias("stem"))
+    exact = objects.join(sources, "stem").groupBy("path").agg(F.min("source").alias("source"))
+    name = F.substring_index("stem", "/", -1)
+    left = objects.join(exact, "path", "left_anti").select("path", name.alias("name")).distinct()
+    near = left.join(sources.select("source", name.alias("name")), "name").where(F.col("source").startswith(F.regexp_replace("path", r"[^/]*$", "")))
+    single = near.groupBy("path").agg(F.count("*").alias("n"), F.min("source").alias("source")).where("n = 1").select("path", "source")
+    return exact.unionByName(single)
+
+
+def needed_outputs(commands: DataFrame, resolved: DataFrame) -> DataFrame:
+    """file, output, is_resolved: the outputs that were marked as needed; all binaries where a log marks none."""
+    marked = commands.groupBy("file").agg(F.bool_or("needed").alias("any"))
+    rows = commands.join(marked, "file").where(F.when(F.col("any"), F.col("needed")).otherwise(F.col("is_elf"))).select("file", "output").distinct()
+    return rows.join(resolved.select("output", F.lit(True).alias("r")).distinct(), "output", "left").select("file", "output", F.coalesce("r", F.lit(False)).alias("is_resolved"))

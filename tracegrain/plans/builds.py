@@ -147,3 +147,20 @@ def path_normalize(spark, d):
 def symbol_table_parse(spark, d):
     line = F.expr("""CASE WHEN p_partkey % 100 = 4 THEN 'DYNAMIC SYMBOL TABLE:' WHEN p_partkey % 3 = 0 THEN concat('0000 l  .text ', p_name) WHEN p_partkey % 7 = 0 THEN concat('0000 g .hidden .text ', p_name) ELSE concat('0000 g F .text ', replace(p_name, ' ', '_')) END""")
     return L.symbol_table(B.table(spark, d, "part").select(F.expr("concat('obj', p_partkey div 100)").alias("file"), F.col("p_partkey").alias("line_no"), line.alias("line")))
+
+
+@query("needed_outputs", """WITH c AS (SELECT 'log' || (p_partkey % 50) AS file, 'o' || p_partkey AS output, p_partkey % 3 <> 0 AS is_elf, (p_partkey % 50) % 2 = 0 AND p_size % 5 = 0 AS needed FROM part), a AS (SELECT file, bool_or(needed) AS any_ FROM c GROUP BY file)
+  SELECT DISTINCT file, output, CAST(substr(output, 2) AS BIGINT) % 7 = 0 AS is_resolved FROM c JOIN a USING (file) WHERE CASE WHEN any_ THEN needed ELSE is_elf END""")
+def needed_outputs(spark, d):
+    part = B.table(spark, d, "part")
+    commands = part.selectExpr("concat('log', p_partkey % 50) AS file", "concat('o', p_partkey) AS output", "p_partkey % 3 <> 0 AS is_elf", "(p_partkey % 50) % 2 = 0 AND p_size % 5 = 0 AS needed")
+    return G.needed_outputs(commands, part.where("p_partkey % 7 = 0").selectExpr("concat('o', p_partkey) AS output"))
+
+
+@query("inferred_objects", """SELECT '/r/d' || (p_partkey % 9) || CASE WHEN p_partkey % 4 = 1 THEN '/.libs' ELSE '' END || '/f' || p_partkey || '.o' AS path,
+  CASE WHEN p_partkey % 4 = 2 THEN '/r/d' || (p_partkey % 9) || '/sub/f' || p_partkey || '.cc' ELSE '/r/d' || (p_partkey % 9) || '/f' || p_partkey || '.c' END AS source FROM part WHERE p_partkey % 4 <> 3""")
+def inferred_objects(spark, d):
+    part = B.table(spark, d, "part")
+    missing = part.selectExpr("concat('/r/d', p_partkey % 9, CASE WHEN p_partkey % 4 = 1 THEN '/.libs' ELSE '' END, '/f', p_partkey, '.o') AS path")
+    files = part.where("p_partkey % 4 <> 3").selectExpr("CASE WHEN p_partkey % 4 = 2 THEN concat('/r/d', p_partkey % 9, '/sub/f', p_partkey, '.cc') ELSE concat('/r/d', p_partkey % 9, '/f', p_partkey, '.c') END AS path")
+    return G.inferred_objects(missing, files)

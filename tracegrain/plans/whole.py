@@ -57,3 +57,23 @@ def match_families(spark, d):
     libraries = {"export": B.source_symbols(spark, d).withColumn("dyn", F.lit("all")), "string": strings.select("lib", "dyn", "value"), "switch": switches}
     found = match(libraries, {"export": B.binary_symbols(spark, d), "string": B.binary_strings(spark, d), "switch": binary})
     return found.select("bin_file", "library", "dyn", "feature", "matched", *_r("similarity", "score"))
+
+
+@query("literal_array", """WITH t AS (SELECT p_partkey, p_size AS s FROM part) SELECT p_partkey, array_to_string(CASE p_partkey % 3 WHEN 0 THEN [s, s + 1, s * 16] WHEN 1 THEN [s] ELSE [255, s] END, ',') AS numbers FROM t""")
+def literal_array(spark, d):
+    text = F.expr("CASE p_partkey % 3 WHEN 0 THEN concat('{', p_size, ', ', p_size + 1, 'u, 0x', hex(p_size * 16), 'L}') WHEN 1 THEN concat('{ name, ', p_size, ' }') ELSE concat('{0FFh,', p_size, ',}') END")
+    return B.table(spark, d, "part").select("p_partkey", F.array_join(T.literal_array(text).cast("array<string>"), ",").alias("numbers"))
+
+
+@query("first_items", f"WITH {B.SQL_SWITCHES} SELECT key, array_to_string([b[1] for b in case_value], ',') AS firsts FROM sw")
+def first_items(spark, d):
+    return B._switches(spark, d).select("key", F.array_join(T.first_items(F.col("case_value")).cast("array<string>"), ",").alias("firsts"))
+
+
+@query("files_to_analyse", """WITH t AS (SELECT p_brand AS project, '/s/f' || p_partkey || CASE WHEN p_brand = 'Brand#3' OR p_size % 2 = 0 THEN '.h' ELSE '.c' END AS path FROM part), w AS (SELECT DISTINCT p_brand AS project, p_type AS dyn, '/s/f' || p_partkey || '.c' AS path FROM part WHERE p_brand IN ('Brand#1', 'Brand#2'))
+  SELECT * FROM w UNION ALL SELECT project, 'fake_dynamic', path FROM t WHERE project NOT IN ('Brand#1', 'Brand#2') AND (ends_with(path, '.c') OR project = 'Brand#3')""")
+def files_to_analyse(spark, d):
+    part = B.table(spark, d, "part")
+    tree = part.selectExpr("p_brand AS project", "concat('/s/f', p_partkey, CASE WHEN p_brand = 'Brand#3' OR p_size % 2 = 0 THEN '.h' ELSE '.c' END) AS path")
+    wanted = part.where("p_brand IN ('Brand#1', 'Brand#2')").selectExpr("p_brand AS project", "p_type AS dyn", "concat('/s/f', p_partkey, '.c') AS path").distinct()
+    return T.files_to_analyse(wanted, tree)

@@ -12,8 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .features import HEADER_SUFFIXES, SOURCE_SUFFIXES
+
 #: Suffixes of the files of each kind.
-SUFFIXES = {"source": ("c", "cpp", "cc", "cxx"), "header": ("h", "hpp"), "executable": ("exe", "dll", "lib"), "local": ("dll", "so", "exe")}
+SUFFIXES = {"source": SOURCE_SUFFIXES, "header": HEADER_SUFFIXES, "executable": ("exe", "dll", "lib"), "local": ("dll", "so", "exe")}
 SEGMENTS = (".rdata", ".data")
 
 

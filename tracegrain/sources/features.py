@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.encoding import whole_number
+
+#: Suffixes of sources and of headers.
+SOURCE_SUFFIXES, HEADER_SUFFIXES = ("c", "cpp", "cc", "cxx"), ("h", "hpp")
 #: The tables that a family of comparison needs on either side.
 SOURCE_TABLES = {
     "export": ("export", "func_name"), "string": ("string",), "string_array": ("string_array",), "const_enum_array": ("enum_array",),
@@ -85,3 +89,25 @@ def read_index(spark: SparkSession, path: str, trie_no: int = 0) -> DataFrame:
 def write_passed_by(rows: DataFrame, path: str) -> None:
     """Distinct (arr, pj, dyn, ver)."""
     rows.select("arr", "pj", "dyn", "ver").distinct().write.mode("overwrite").parquet(path)
+
+
+def literal_array(text: Column) -> Column:
+    """The whole numbers of an initialiser like `{1, 0x2, 3u}`, without those that are none."""
+    inner = F.regexp_replace(text, r"^\s*\{|\}\s*$", "")
+    values = F.transform(F.filter(F.split(inner, ",", -1), lambda t: F.trim(t) != ""), lambda t: whole_number(F.trim(t)))
+    return F.filter(values, lambda v: v.isNotNull())
+
+
+def first_items(arrays: Column) -> Column:
+    """The first element of each item."""
+    return F.transform(arrays, lambda x: F.try_element_at(x, F.lit(1)))
+
+
+def files_to_analyse(wanted: DataFrame, tree: DataFrame) -> DataFrame:
+    """project, dyn, path: the files that a build named; a project it names none for has all its sources, and one without
+    sources all its headers, as one component `fake_dynamic`. ``wanted``: project, dyn, path; ``tree``: project, path."""
+    kind = F.when(F.lower("path").rlike(rf"\.({'|'.join(SOURCE_SUFFIXES)})$"), 1).when(F.lower("path").rlike(rf"\.({'|'.join(HEADER_SUFFIXES)})$"), 2)
+    rest = tree.select("project", "path", kind.alias("kind")).where("kind IS NOT NULL").join(wanted.select("project").distinct(), "project", "left_anti")
+    best = rest.groupBy("project").agg(F.min("kind").alias("kind"))
+    fallback = rest.join(best, ["project", "kind"]).select("project", F.lit("fake_dynamic").alias("dyn"), "path")
+    return wanted.select("project", "dyn", "path").unionByName(fallback)
