@@ -24,6 +24,12 @@ from .common import Memo, map_texts, resident, texts
 #: States that one worker keeps; beyond it the table is built afresh.
 STATE_LIMIT = 160_000
 
+#: Bytes at the beginning of a piece whose way through the states is remembered as a whole.
+HEAD = 5
+
+_BYTE = [bytes((b,)) for b in range(256)]
+_NEVER = 1 << 60
+
 
 class _State:
     __slots__ = ("live", "next")
@@ -47,7 +53,7 @@ class MergeTransducer:
     def _reset(self) -> None:
         for state in self.states.values():  # states refer to each other in circles
             state.next.clear()
-        self.states, self.starts = {}, {}  # equal starts are one object
+        self.states, self.starts, self.heads = {}, {}, {}  # equal starts are one object
         self.root = self._state(((b"", -1),))
 
     def _state(self, live: tuple) -> _State:
@@ -56,39 +62,53 @@ class MergeTransducer:
             found = self.states[live] = _State(live)
         return found
 
-    def _merge(self, piece: bytes) -> list[bytes]:
-        """The merges themselves, for the short strings that validity is asked of."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
+    def _apart(self, piece: bytes, at: int) -> bool:
+        """Whether the merges of ``piece`` end in two tokens that part at ``at``; 0 asks for one token instead."""
         ranks = self.ranks
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 60))
-            if parts[best] + parts[best + 1] not in ranks:
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        costs = [ranks.get(piece[i : i + 2], _NEVER) for i in range(len(piece) - 1)]
+        left = at  # parts before the border
+        while costs:
+            least = min(costs)
+            if least == _NEVER:
                 break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return parts
+            i = costs.index(least)
+            if i == left - 1:
+                return False
+            if i < left:
+                left -= 1
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del costs[i]
+            if i:
+                costs[i - 1] = ranks.get(parts[i - 1] + parts[i], _NEVER)
+            if i < len(costs):
+                costs[i] = ranks.get(parts[i] + parts[i + 1], _NEVER)
+        return len(parts) == (2 if at else 1)
 
     def _is_valid(self, pair: int) -> bool:
         """Of the token before (one more than its rank, 0 for none) in the high bits and the token in the low 20."""
-        left, right = (pair >> 20) - 1, pair & 0xFFFFF
-        if left < 0:
-            return self._merge(self.table[right]) == [self.table[right]]
-        return self._merge(self.table[left] + self.table[right]) == [self.table[left], self.table[right]]
+        left, right = pair >> 20, self.table[pair & 0xFFFFF]
+        if not left:
+            return self._apart(right, 0)
+        return self._apart(self.table[left - 1] + right, len(self.table[left - 1]))
 
     def _grow(self, state: _State, byte: int) -> tuple[_State, int, int]:
         """The next state, the last token of the prefix that ends here, and its length."""
         live, end, n = [], -1, 0
+        ranks, open_, starts, valid, last_byte = self.ranks, self.open, self.starts, self.valid, _BYTE[byte]
         for seen, last in state.live:
-            now = seen + bytes((byte,))
-            rank = self.ranks.get(now)
-            if end < 0 and rank is not None and self.valid[(last + 1) << 20 | rank]:
-                end, n = rank, len(now)
-            if now in self.open:
+            now = seen + last_byte
+            if end < 0 and now in ranks:
+                rank = ranks[now]
+                if valid[(last + 1) << 20 | rank]:
+                    end, n = rank, len(now)
+            if now in open_:
                 start = (now, last)
-                live.append(self.starts.setdefault(start, start))
+                live.append(starts.setdefault(start, start))
         if end < 0:
             raise ValueError("the vocabulary lacks a single byte")
         start = (b"", end)
-        live.append(self.starts.setdefault(start, start))
+        live.append(starts.setdefault(start, start))
         found = state.next[byte] = (self._state(tuple(live)), end, n)
         return found
 
@@ -132,7 +152,21 @@ class MergeTransducer:
             if len(self.states) > self.state_limit:
                 self._reset()
             state, steps, grow = self.root, [], self._grow
-            for byte in piece:
+            if len(piece) > HEAD:  # many pieces begin alike
+                head = piece[:HEAD]
+                known = self.heads.get(head)
+                if known is None:
+                    for byte in head:
+                        step = state.next.get(byte) or grow(state, byte)
+                        state = step[0]
+                        steps.append(step)
+                    self.heads[head] = (state, steps.copy())
+                else:
+                    state, steps = known[0], known[1].copy()
+                rest = piece[HEAD:]
+            else:
+                rest = piece
+            for byte in rest:
                 step = state.next.get(byte) or grow(state, byte)
                 state = step[0]
                 steps.append(step)

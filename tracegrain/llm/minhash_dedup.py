@@ -28,7 +28,7 @@ BANDS, ROWS = 36, 5
 #: Bits of an odd sketch, and the estimate below which a pair is dropped: six deviations under 0.8.
 BITS, LEAST_ESTIMATE = 512, 0.5
 #: Buckets up to this size are compared by a join, larger ones in blocks of the second size.
-SMALL, BLOCK = 64, 2048
+SMALL, BLOCK = 16, 2048
 
 _K = BANDS * ROWS
 _STATE = np.random.RandomState(20240607)
