@@ -225,9 +225,13 @@ def compare_operand(instruction: Column) -> Column:
     )
 
 
+#: Conditional jumps by class: 2 on at most or above, 1 on below or at least, 0 on equal or not.
+JUMPS = {2: ("jbe", "jna", "jle", "jng", "ja", "jnbe", "jg", "jnle"), 1: ("jae", "jnb", "jge", "jnl", "jb", "jnae", "jl", "jnge"), 0: ("jz", "je", "jnz", "jne")}
+
+
 def jump_class(jump: Column) -> Column:
-    """2 for jumps on at most or above, 1 for below or at least, 0 for equal or not, else null."""
-    return F.when(jump.isin("jle", "jg", "jbe", "ja", "jnle", "jng", "jna", "jnbe"), 2).when(jump.isin("jl", "jge", "jb", "jae", "jnl", "jnge", "jnb", "jnae"), 1).when(jump.isin("jz", "jnz", "je", "jne"), 0)
+    """The class of a conditional jump; null for other instructions."""
+    return F.coalesce(*(F.when(jump.isin(*names), k) for k, names in JUMPS.items()))
 
 
 def maximal_chains(chains: list[tuple]) -> list[tuple]:

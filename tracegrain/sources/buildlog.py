@@ -18,6 +18,7 @@ STANDARDS = {
     "c++11": ("c++11", "c++0x"), "gnu++11": ("gnu++11", "gnu++0x"), "c++14": ("c++14", "c++1y"), "gnu++14": ("gnu++14", "gnu++1y"),
     "c++17": ("c++17", "c++1z"), "gnu++17": ("gnu++17", "gnu++1z"),
 }
+#: Names of files that stand in a source root, in lower case.
 ROOT_FILES = ("install", "readme", "readme.md", "makefile", "configure", "config", "copying", "cmakelist.txt", "changelog")
 
 
