@@ -71,7 +71,7 @@ def first_items(spark, d):
 
 
 @query("files_to_analyse", """WITH t AS (SELECT p_brand AS project, '/s/f' || p_partkey || CASE WHEN p_brand = 'Brand#3' OR p_size % 2 = 0 THEN '.h' ELSE '.c' END AS path FROM part), w AS (SELECT DISTINCT p_brand AS project, p_type AS dyn, '/s/f' || p_partkey || '.c' AS path FROM part WHERE p_brand IN ('Brand#1', 'Brand#2'))
-  SELECT * FROM w UNION ALL SELECT project, 'fake_dynamic', path FROM t WHERE project NOT IN ('Brand#1', 'Brand#2') AND (ends_with(path, '.c') OR project = 'Brand#3')""")
+  SELECT * FROM w UNION ALL SELECT project, 'fake_dynamic', path FROM t WHERE project NOT IN ('Brand#1', 'Brand#2') AND (ends_with(path, '.c') OR project NOT IN (SELECT project FROM t WHERE ends_with(path, '.c')))""")
 def files_to_analyse(spark, d):
     part = B.table(spark, d, "part")
     tree = part.selectExpr("p_brand AS project", "concat('/s/f', p_partkey, CASE WHEN p_brand = 'Brand#3' OR p_size % 2 = 0 THEN '.h' ELSE '.c' END) AS path")
