@@ -17,6 +17,8 @@ from tracegrain.shipping import ship
 TOXIC = 0.7
 #: Words of a shingle, and the similarity in percent from which documents are near-duplicates.
 WIDTH, PERCENT = 5, 80
+#: What the last stage says of a document's place in the mixture.
+MIXED = ("block", "slot", "place")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +46,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and the ids of every text."""
+    """doc_id, source, n_tokens and the ids of every text, with its block, slot and place in the mixture, in that order.
+
+    A table that is written and read again comes in no order, so the mixture is ranked again, from the same rows to the same places.
+    """
     import public_tokenizers
 
-    return byte_bpe.encode_with_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rows = mixing.mixed(docs).withColumnsRenamed({f"_{c}": c for c in MIXED}).orderBy("slot", "place")
+    return byte_bpe.encode_with_digests(rows, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=MIXED)
 
 
 STAGES = [
@@ -65,4 +71,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    return docs.orderBy("slot", "place")

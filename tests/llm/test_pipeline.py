@@ -40,3 +40,21 @@ def test_toxic_documents_go(spark, monkeypatch):
 def test_run(spark, name):
     out = getattr(C, name)(spark, SF)
     assert out.count() > 0
+
+
+def test_the_mixture_outlives_the_tables_between_stages(spark, tmp_path, monkeypatch):
+    sizes = {"a": 4000, "b": 1000, "c": 250}
+    rows = [(i, s, f"text {i} of {s}") for i, s in enumerate(x for x, n in sizes.items() for _ in range(n))]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(16).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(C, "STAGES", [x for x in C.STAGES if x[0] in ("mixing", "bpe")])
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the sort writes several files
+    try:
+        got = [r.source for r in C.run(spark, f"file://{tmp_path}").select("source").collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(got) == len(rows)
+    whole = C.mixing.whole_weights(C.mixing.tempered(sizes))
+    for n in (80, 400, 1600):  # before the smallest source has run out, a block beside its share at most, and a begun block
+        for s, w in whole.items():
+            assert abs(got[:n].count(s) - n * w / C.mixing.SLOTS) < 2 * C.mixing.BLOCK

@@ -263,8 +263,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     return map_texts(texts(docs, id_col, text_col), kernel, "doc_id long, ids binary, n_tokens long", lambda: codec(path, pattern), codec_key(path, pattern))
 
 
-def encode_with_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, ids (packed), n_tokens, ids_sha256, decoded_sha256, in the order of the rows; nulls as in ``round_trip``."""
+def encode_with_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, ids (packed), n_tokens, ids_sha256, decoded_sha256, and the columns ``keep``, in the order of the rows; nulls as in ``round_trip``."""
 
     def kernel(batch, made):
         out: dict = {"doc_id": batch.column("doc_id"), "source": batch.column("source"), "ids": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
@@ -275,10 +275,11 @@ def encode_with_digests(docs: DataFrame, path: str, pattern: str, id_col: str =
                 digest.update(part.encode("utf-8"))
             for k, v in zip(("ids", "n_tokens", "ids_sha256", "decoded_sha256"), (packed, len(packed) // 4, hashlib.sha256(packed).hexdigest(), digest.hexdigest())):
                 out[k].append(v)
-        return out
+        return out | {c: batch.column(c) for c in keep}
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(source_col).cast("string").alias("source"))
-    return map_texts(rows, kernel, "doc_id long, source string, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: codec(path, pattern), codec_key(path, pattern))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(source_col).cast("string").alias("source"), *keep)
+    kept = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return map_texts(rows, kernel, "doc_id long, source string, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string" + kept, lambda: codec(path, pattern), codec_key(path, pattern))
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
