@@ -89,6 +89,14 @@ def test_licence_notices_are_found_by_position(spark):
     assert got[1] == ("mit", 1.0) and got[2] == ("", 0.0) and got[3] == ("cc-by-nc", 1.0) and got[4][0] == "mit"
 
 
+def test_every_notice_of_a_file_is_found(spark):
+    body = {x: t[0] for x, t in license_scan.TEMPLATES.items()}
+    groups = [(a, b) for a in body for b in body if a < b] + [tuple(body)]
+    df = spark.createDataFrame([(i, " ".join(body[x] for x in g)) for i, g in enumerate(groups)], "doc_id long, text string")
+    got = {r.doc_id: set(r.labels.split(",")) for r in license_scan.scan(df).collect()}
+    assert all(got[i] >= set(g) for i, g in enumerate(groups))
+
+
 def test_quality_equals_brute_force(spark, docs, odd):
     for df in (docs, odd):
         want = Counter()

@@ -1,17 +1,15 @@
-"""Licence scans: base phrases, and whole notices found through a positional index of rare words.
+"""Licence scans: base phrases, and whole notices found through a positional index of licence words.
 
-Templates are indexed by word and position. A text's licence words of highest IDF (document frequencies over the
-whole corpus) look up the postings; each posting votes for where its template would begin. Alignments with
+Templates are indexed by word and position. Every licence word of a text looks up its postings (their number is a
+constant, so no choice by rarity is needed); each posting votes for where its template would begin. Alignments with
 enough votes are kept if the template's key phrases stand in the text near the places the alignment names.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter, defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import byte_texts, map_texts, texts
 
@@ -27,7 +25,7 @@ TEMPLATES = {
     "cc-by": ("this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
     "mpl": ("this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
 }
-#: Words of a text that are looked up, rarest first; and the share of a template's votes an alignment needs.
+#: Votes that a template is expected to get at most, and the share of them an alignment needs.
 LOOKUPS, VOTES = 12, 0.3
 #: By how many words a key phrase may stand off the place its alignment names.
 SLACK = 3
@@ -81,12 +79,9 @@ def base_places(found: list[bytes], index: Index, common: set[bytes]) -> list[tu
     return out
 
 
-def align(found: list[bytes], index: Index, common: set[bytes], idf: dict[bytes, float]) -> dict[str, tuple[float, int]]:
+def align(found: list[bytes], index: Index, common: set[bytes]) -> dict[str, tuple[float, int]]:
     """label -> (share of the template's words in place, start) of its best verified alignment."""
-    rare = sorted((w for w in common if w in index.postings), key=lambda w: (-idf.get(w, 0.0), w))[:LOOKUPS]
-    if not rare:
-        return {}
-    chosen, votes = set(rare), Counter()
+    chosen, votes = common & index.postings.keys(), Counter()
     for at, word in enumerate(found):
         if word in chosen:
             for t, place in index.postings[word]:
@@ -105,31 +100,14 @@ def align(found: list[bytes], index: Index, common: set[bytes], idf: dict[bytes,
     return out
 
 
-def document_frequencies(docs: DataFrame, index: Index) -> tuple[dict[bytes, int], int]:
-    """In how many texts of the corpus each licence word stands, and the number of texts. At most the vocabulary's size."""
-
-    def kernel(batch, made):
-        got = Counter()
-        rows = byte_texts(batch)
-        for text in rows:
-            got.update(index.vocabulary.intersection(words(text)))
-        got[b""] = len(rows)
-        return {"word": [w.decode() for w in got], "n": list(got.values())}
-
-    sums = {r.word.encode(): r.n for r in map_texts(docs, kernel, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    return sums, sums.pop(b"", 0)
-
-
 def scan(docs: DataFrame, index: Index | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (`label:start` of each base
-    place and alignment). Null text: no words. Two passes without a shuffle of texts.
+    place and alignment). Null text: no words. One pass without a shuffle.
 
     The score is the best share of a template's words found in place; a base phrase counts as at least a half.
     """
     index = index or Index()
     rows = texts(docs, id_col, text_col)
-    seen, total = document_frequencies(rows, index)
-    idf = {w: math.log((total + 1) / (seen.get(w, 0) + 1)) for w in index.vocabulary}
 
     def kernel(batch, made):
         out: dict = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")}
@@ -137,7 +115,7 @@ def scan(docs: DataFrame, index: Index | None = None, id_col: str = "doc_id", te
             found = words(text)
             common = index.vocabulary.intersection(found)
             base = base_places(found, index, set(common)) if common else []
-            more = align(found, index, set(common), idf) if common else {}
+            more = align(found, index, set(common)) if common else {}
             labels = {label for _, label in base}
             at = [p for p, _ in base]
             values = (
