@@ -154,3 +154,9 @@ def test_overlaps_of_short_and_long_chains(spark):
         got = {(r.s_id, r.b_id): r.overlap for r in W.chain_overlaps(df, df, least).collect()}
         want = {(str(i), str(j)): n for i, a in enumerate(chains) for j, b in enumerate(chains) if (n := len(set(a) & set(b))) >= least}
         assert got == want
+
+
+def test_every_function_has_its_chains(spark):
+    from tracegrain.plans.switches import cfg_chains
+
+    assert {r.function % 10 for r in cfg_chains(spark, "/root/testdata/sf0.001").select("function").distinct().collect()} == set(range(10))
