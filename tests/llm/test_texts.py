@@ -146,7 +146,23 @@ def test_toxicity_on_held_out_rows(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = toxicity.op9_toxicity(spark, "/root/testdata/sf0.1").join(labels, "doc_id").where("held_out").collect()
     hit = sum(r.predicted and r.toxic for r in got)
-    assert hit / sum(r.predicted for r in got) > 0.9 and hit / sum(r.toxic for r in got) > 0.65
+    print("toxic found", hit, "of", sum(r.toxic for r in got), "predicted", sum(r.predicted for r in got), "of", len(got))
+    assert hit / sum(r.predicted for r in got) > 0.9 and hit / sum(r.toxic for r in got) > 0.75
+
+
+def test_length_makes_nothing_toxic(spark):
+    """Blank lines, repeated and distinct clean sentences, and ten megabytes of them stay clean under a model that knows toxic
+    words; one toxic sentence among them is found."""
+    model = toxicity.learned(spark, "/root/testdata/sf0.01")
+    memo = model.word_scores()
+    distinct = b". ".join(b"value number%d of line%d" % (i * 7919, i) for i in range(30000))
+    for text in (b"\n" * 30000, b"..." * 10000, b"Nice day. " * 30000, b"a. " * 30000, distinct, (distinct + b". ") * 10, b"", b" "):
+        assert toxicity.document_score(text, memo) < 0.05
+    rows = [(1, "\n" * 30000), (2, None), (3, "Nice day. " * 30000), (4, distinct.decode() + ". you worthless scum, pathetic idiot. bye")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score_documents(df, model).collect()}
+    assert max(got[1], got[2], got[3]) < 0.05 and got[4] >= 0.7
+    assert sorted(r.doc_id for r in toxicity.without_toxic(df, model).collect()) == [1, 2, 3]
 
 
 def test_toxic_sentences_are_located(spark, odd):

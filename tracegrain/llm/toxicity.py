@@ -3,6 +3,10 @@
 A sentence's probability is a logistic function of its words' features (the word and its prefixes, hashed);
 the document's is their noisy-or, 1 - prod(1 - p). Gradients of the document's likelihood reach the sentences
 through the noisy-or, so the offending ones are found although none was ever labelled.
+
+A document is the set of its sentences that hold a word: what is repeated is no further evidence. In scoring, only
+sentences of FLOOR and more enter the noisy-or, else sheer length would make a clean text toxic; without any, the
+score is the largest sentence's.
 """
 
 from __future__ import annotations
@@ -18,8 +22,9 @@ from .common import Memo, byte_texts, held_out, map_texts, release, small_batche
 
 #: Hashed feature space; the model is this many floats, whatever the input.
 DIMS = 1 << 18
-#: A sentence without evidence: small enough that thousands of them leave a document clean.
-BIAS = -10.0
+#: Logit of a sentence without evidence, the probability from which a sentence counts in a document's score, and how
+#: much more a toxic document weighs in training than another.
+BIAS, FLOOR, WEIGHT = -8.0, 0.1, 3.0
 #: Documents of each label that the model is fitted on at most (the smallest hashes of doc_id).
 SAMPLE = {1: 2000, 0: 3000}
 
@@ -40,8 +45,8 @@ def sentences(text: bytes) -> list[bytes]:
 
 
 def features(word: bytes) -> list[int]:
-    """Hashed features: the word, and its prefixes of 3 to 6 bytes."""
-    keys = [b"w" + word, *(b"p" + word[:n] for n in range(3, 7) if len(word) >= n)]
+    """Hashed features: the word, and its prefixes of 3 to 8 bytes."""
+    keys = [b"w" + word, *(b"p" + word[:n] for n in range(3, 9) if len(word) >= n)]
     return [xxhash.xxh3_64_intdigest(k) % DIMS for k in keys]
 
 
@@ -64,6 +69,20 @@ def bag_probability(z: np.ndarray) -> float:
     return float(-np.expm1(-np.logaddexp(0.0, z).sum()))
 
 
+def instances(text: bytes) -> list[set[bytes]]:
+    """The words of each distinct sentence that has any."""
+    return [p for s in dict.fromkeys(sentences(text)) if (p := set(s.split()))]
+
+
+def document_score(text: bytes, memo: Memo) -> float:
+    """Noisy-or of the sentences that are FLOOR likely and more, or the largest of the others; without a word as low as
+    a sentence without evidence. It does not grow with the number of clean sentences."""
+    get = memo.__getitem__
+    z = np.array([sum(map(get, words)) for words in instances(text)] or [0.0]) + BIAS
+    strong = z[z >= np.log(FLOOR / (1.0 - FLOOR))]
+    return min(1.0, bag_probability(strong if len(strong) else z.max(keepdims=True)))
+
+
 def fit(bags: list[tuple[bytes, int]], epochs: int = 12, rate: float = 0.5, least: int = 3, decay: float = 1e-4) -> Model:
     """Adagrad on the documents' log-likelihood under noisy-or. Features in fewer than ``least`` documents are left out.
 
@@ -75,12 +94,12 @@ def fit(bags: list[tuple[bytes, int]], epochs: int = 12, rate: float = 0.5, leas
     memo = Memo(lambda w: np.array(features(w), np.int32), 100_000)
     seen = np.zeros(DIMS, np.int32)
     for text, _ in bags:
-        found = [memo[w] for w in {w for s in sentences(text) for w in s.split()}]
+        found = [memo[w] for w in set().union(*instances(text))]
         if found:
             seen[np.unique(np.concatenate(found))] += 1
     docs = []
     for text, y in bags:
-        parts = [np.concatenate([memo[w] for w in p]) for s in sentences(text) if (p := set(s.split()))]
+        parts = [np.concatenate([memo[w] for w in p]) for p in instances(text)]
         if parts:
             ids = np.concatenate(parts)
             keep = seen[ids] >= least
@@ -99,7 +118,7 @@ def fit(bags: list[tuple[bytes, int]], epochs: int = 12, rate: float = 0.5, leas
                 p = 1.0 / (1.0 + np.exp(-np.clip(z, -50, 50)))
                 if y:
                     whole = max(bag_probability(z), 1e-9)
-                    slope = -(1.0 - whole) / whole * p
+                    slope = -WEIGHT * (1.0 - whole) / whole * p
                 else:
                     slope = p
                 grads.append(slope[at])
@@ -145,12 +164,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     sent = docs.sparkSession.sparkContext.broadcast(model)  # DIMS floats, whatever the input
 
     def kernel(batch, memo):
-        scores = []
-        get = memo.__getitem__
-        for text in byte_texts(batch):
-            z = np.array([sum(map(get, set(s.split()))) for s in sentences(text)]) + BIAS
-            scores.append(min(1.0, max(0.0, bag_probability(z))))
-        return {"doc_id": batch.column("doc_id"), "score": scores}
+        return {"doc_id": batch.column("doc_id"), "score": [document_score(text, memo) for text in byte_texts(batch)]}
 
     return map_texts(texts(docs, id_col, text_col), kernel, "doc_id long, score double", lambda: sent.value.word_scores())
 
@@ -165,10 +179,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text_co
         release()
         memo = sent.value.word_scores()
         for batch in batches:
-            keep = []
-            for text in byte_texts(batch, text_col):
-                z = np.array([sum(map(memo.__getitem__, set(s.split()))) for s in sentences(text or b"")]) + BIAS
-                keep.append(bag_probability(z) < threshold)
+            keep = [document_score(text or b"", memo) < threshold for text in byte_texts(batch, text_col)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     small_batches(docs.sparkSession)
