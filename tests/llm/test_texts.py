@@ -97,31 +97,64 @@ def test_every_notice_of_a_file_is_found(spark):
     assert all(got[i] >= set(g) for i, g in enumerate(groups))
 
 
+def quality_by_brute_force(rows, limit):
+    """Expected rows for (doc_id, text, host)."""
+    word, holders, lines = re.compile(r"[^\x20\x09-\x0D]+"), {}, []
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    for doc_id, text, host in rows:
+        own = Counter()
+        for line in (text or "").split("\n"):
+            if w := word.findall(line.translate(low)):
+                own[re.sub("[0-9]+", "0", " ".join(w))] += len(w)
+        lines.append(own)
+        for key in own:
+            holders.setdefault((host or "", key), set()).add((None, text) if doc_id is None else doc_id)
+    want = Counter()
+    for (doc_id, text, host), own in zip(rows, lines):
+        text = text or ""
+        w = word.findall(text)
+        windows = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        cover = {i + k for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for k in range(3)}
+        seen, dup = set(), 0
+        for line in text.split("\n"):
+            if word.search(line):
+                dup += line in seen
+                seen.add(line)
+        failed = len(w) < 50 or 100 * len(cover) > 50 * len(w)
+        gone = sum(n for key, n in own.items() if len(holders[host or "", key]) > limit)
+        want[doc_id, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(cover), failed, not failed and len(w) - gone >= quality.LEFT * len(w), gone] += 1
+    return want
+
+
 def test_quality_equals_brute_force(spark, docs, odd):
-    for df in (docs, odd):
-        want = Counter()
-        for r in df.select("doc_id", "text").collect():
-            text = r.text or ""
-            w = re.findall(r"[^\x20\x09-\x0D]+", text)
-            windows = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
-            cover = {i + k for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for k in range(3)}
-            seen, dup = set(), 0
-            for line in text.split("\n"):
-                if re.search(r"[^\x20\x09-\x0D]", line):
-                    dup += line in seen
-                    seen.add(line)
-            want[r.doc_id, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(cover), len(w) < 50 or 100 * len(cover) > 50 * len(w)] += 1
-        assert Counter(tuple(r)[:7] for r in quality.assess(df).collect()) == want
-
-
-def test_frequent_lines_deplete_documents(spark):
+    for df in (docs, odd, odd.limit(0)):
+        want = quality_by_brute_force([tuple(r) for r in df.select("doc_id", "text", "source").collect()], quality.LIMIT)
+        assert Counter(map(tuple, quality.assess(df).collect())) == want
+
+
+def test_frequent_lines_by_documents_not_rows(spark):
+    """Production limit: repeated rows are one document, rows without an id are told apart by text, hosts count apart."""
+    body = [" ".join(f"w{'ab'[i % 2]}{'x' * i}{'y' * k}" for k in range(40)) for i in range(40)]
+    head = "Header  {}\n" + " ".join(f"menu{k}" for k in range(60))
+    rows = [(i, f"{head.format(i)}\n{body[i]}", "big") for i in range(quality.LIMIT + 1)]
+    rows += [(3, rows[3][1], "big")] * 2 + [(4, f"{head.format(7)}\n{body[9]} more", "big"), (None, rows[5][1], None), (None, rows[5][1], None)]
+    rows += [(100 + i, f"{head.format(i)}\n{body[i]}", "small") for i in range(quality.LIMIT)] + [(100, f"{head.format(0)}\n{body[0]}", "small")] * 5
+    rows += [(200 + i % 3, f"{head.format(i)}\n{body[i]}", None) for i in range(20)] + [(None, f"{head.format(i)}\n{body[i]}", "anonymous") for i in range(quality.LIMIT + 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"host": F.lit("x"), "row": F.lit(1), "doc": F.lit(2), "key": F.lit(3)}).repartition(4)
+    got = quality.assess(df).collect()
+    assert Counter(map(tuple, got)) == quality_by_brute_force(rows, quality.LIMIT)
+    gone = {r.doc_id: (r.kept, r.n_removed_words) for r in got if r.doc_id is not None}
+    assert gone[0] == (False, 62) and gone[3] == (False, 62) and gone[100] == (True, 0) and gone[200][0]
+
+
+def test_frequent_lines_leave_the_texts(spark):
     body = " ".join(f"word{i}" for i in range(60))
-    rows = [(i, f"Header  {i}\n{body}\nown line {'x' * (i + 1)}", "h") for i in range(10)] + [(50, f"{body}\n{body.upper()}", "other"), (51, body + " unique" * 0 + "\n" + " ".join(f"q{i}z" for i in range(300)), "h")]
+    rows = [(i, f"Header  {i}\n{body}\nown line {'x' * (i + 1)}", "h") for i in range(10)] + [(50, f"{body}\n{body.upper()}", "other"), (51, body + "\n" + " ".join(f"q{i}z" for i in range(300)), "h")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r.doc_id: (r.kept, r.n_removed_words) for r in quality.assess(df, share=0.5, least=3).collect()}
+    got = {r.doc_id: (r.kept, r.n_removed_words) for r in quality.assess(df, limit=3).collect()}
     assert all(got[i] == (False, 62) for i in range(10))
     assert got[50][1] == 0 and got[51] == (True, 60)
-    frequent = quality.frequent_lines(quality.line_rows(df), df, share=0.5, least=3)
+    frequent = quality.frequent_lines(quality.line_rows(df), 3)
     assert {r.doc_id: r.text for r in quality.clean_lines(df, frequent).collect()}[0] == "own line x"
 
 

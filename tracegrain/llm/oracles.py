@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from .quality import LEFT, LINE_LEAST, LINE_SHARE
+from .quality import LEFT, LIMIT
 
 _LOWER = f"translate({{0}}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 _WORDS = r"[x for x in regexp_split_to_array({0}, '[\x20\x09-\x0D]+') if x <> '']"
@@ -30,8 +30,7 @@ l AS (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d),
 lw AS (SELECT doc_id, host, line, {_WORDS.format(_LOWER.format('line'))} AS w FROM l),
 dl AS (SELECT doc_id, sum(k - 1) AS n FROM (SELECT doc_id, line, count(*) AS k FROM lw WHERE len(w) > 0 GROUP BY ALL) GROUP BY doc_id),
 nl AS (SELECT doc_id, host, regexp_replace(array_to_string(w, ' '), '[0-9]+', '0', 'g') AS key, len(w) AS words FROM lw WHERE len(w) > 0),
-hs AS (SELECT host, count(*) AS docs FROM d GROUP BY host),
-fr AS (SELECT host, key FROM (SELECT host, key, count(DISTINCT doc_id) AS n FROM nl GROUP BY ALL) JOIN hs USING (host) WHERE n > {LINE_LEAST} AND n > docs * {LINE_SHARE}),
+fr AS (SELECT host, key FROM nl GROUP BY ALL HAVING count(DISTINCT doc_id) > {LIMIT}),
 rm AS (SELECT doc_id, sum(words) AS n FROM nl JOIN fr USING (host, key) GROUP BY doc_id),
 a AS (SELECT w.doc_id, len(w) AS n_words, coalesce(list_sum([length(x) for x in w]), 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dl.n, 0) AS n_dup_lines,
   coalesce(rw.n, 0) AS n_repeat_words, coalesce(rm.n, 0) AS n_removed_words FROM w LEFT JOIN dl USING (doc_id) LEFT JOIN rw USING (doc_id) LEFT JOIN rm USING (doc_id))
