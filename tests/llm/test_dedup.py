@@ -102,21 +102,34 @@ def test_components_of_a_path(spark):
     assert {r.id: r.component for r in components.connected(links).collect()} == {i: 0 for i in range(51)} | {100: 100, 101: 100}
 
 
-def removed_by_brute_force(rows, length):
+def covered(texts, length):
+    """For each text whether each byte is in a string of ``length`` that also starts anywhere else."""
     counts, hashes = Counter(), []
-    for _, t in rows:
+    for t in texts:
         h = [t[i : i + length] for i in range(len(t) - length + 1)]
         hashes.append(h)
         counts.update(h)
     out = []
-    for (i, t), h in zip(rows, hashes):
+    for t, h in zip(texts, hashes):
         cover = [False] * len(t)
         for k, x in enumerate(h):
             if counts[x] > 1:
                 cover[k : k + length] = [True] * length
-        runs = sum(c and not (k and cover[k - 1]) for k, c in enumerate(cover))
+        out.append(cover)
+    return out
+
+
+def runs_of(cover):
+    edges = [0, *(k for k in range(1, len(cover)) if cover[k] != cover[k - 1]), len(cover)]
+    return [(lo, hi) for lo, hi in zip(edges, edges[1:]) if hi > lo and cover[lo]]
+
+
+def removed_by_brute_force(rows, length, passage=200, words=50):
+    out = []
+    for (i, t), cover, short in zip(rows, covered([t for _, t in rows], length), covered([t for _, t in rows], passage)):
         rest = bytes(b for b, c in zip(t, cover) if not c)
-        out.append((i, len(t), len(t) - len(rest), runs, hashlib.sha256(rest).hexdigest()))
+        shared = sum(hi - lo for lo, hi in runs_of(short) if hi - lo >= 400 or len(t[lo:hi].split()) >= words)
+        out.append((i, len(t), len(t) - len(rest), len(runs_of(cover)), hashlib.sha256(rest).hexdigest(), shared))
     return sorted(out, key=str)
 
 
@@ -134,15 +147,40 @@ def passage_rows(seed=5):
     return rows + extra
 
 
-@pytest.mark.parametrize("hot", [2000, 5])
-def test_suffixes_equal_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot,hotter", [(2000, 40_000), (5, 40_000), (2, 5)])
+def test_suffixes_equal_brute_force(spark, monkeypatch, hot, hotter):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "HOTTER", hotter)
     rows = passage_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"uid": F.lit(3), "spans": F.lit("x")}).repartition(5)
-    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(df).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage) for r in suffix_dedup.removed(df).collect()), key=str)
     assert got == removed_by_brute_force([(i, (t or "").encode()) for i, t in rows], 400)
 
 
+def test_suffixes_of_the_test_tables(spark):
+    """All texts of the smallest table, among them the passages that its documents share."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted((tuple(r) for r in suffix_dedup.op10_suffix_dedup(spark, "/root/testdata/sf0.001").collect()), key=str)
+    assert got == removed_by_brute_force([(i, (t or "").encode()) for i, t in rows], 400)
+    assert any(r[2] for r in got) and any(r[5] for r in got)
+
+
+def test_passages_of_over_fifty_words_go_although_shorter_than_400_bytes(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    passage = " ".join(word() for _ in range(55))
+    line = " ".join(word() for _ in range(42)) + " " + "x" * 20
+    assert 250 < len(passage) < 400 and 200 < len(line) < 400
+    rows = [(i, " ".join(word() for _ in range(40)) + f" {passage if i < 20 else line} " + " ".join(word() for _ in range(40))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"__id": F.lit(7), "__uid": F.lit("u"), "__rest": F.lit("r"), "row": F.lit("w"), "rest": F.lit("s")})
+    out = {r.doc_id: r for r in suffix_dedup.without_repeats(df, suffix_dedup.PASSAGE, suffix_dedup.WORDS).collect()}
+    assert all(passage not in out[i].text and len(out[i].text) >= len(rows[i][1]) - len(passage) - 40 for i in range(20))
+    assert all(out[i].text == rows[i][1] for i in range(20, 40))  # repeated, but no passage
+    assert {(r["__id"], r["__uid"], r["__rest"], r["row"], r["rest"]) for r in out.values()} == {(7, "u", "r", "w", "s")}
+    got = {r.doc_id: (r.n_removed, r.n_passage > 0) for r in suffix_dedup.removed(df).collect()}
+    assert got == {i: (0, i < 20) for i in range(40)}
+
+
 def test_suffix_texts_and_columns(spark):
     rows = [(i, (t or "") or None, "s") for i, t in passage_rows()]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -150,7 +188,7 @@ def test_suffix_texts_and_columns(spark):
     assert out.columns == df.columns and out.count() == df.count()
     sizes = {r.doc_id: r.n_bytes - r.n_removed for r in suffix_dedup.removed(df).collect() if r.doc_id is not None and r.doc_id < 1000}
     assert {r.doc_id: len(r.text.encode()) for r in out.collect() if r.doc_id is not None and r.doc_id < 1000} == sizes
-    assert suffix_dedup.removed(df.limit(0)).count() == 0
+    assert suffix_dedup.removed(df.limit(0)).count() == 0 and suffix_dedup.without_repeats(df.limit(0)).count() == 0
 
 
 def test_loser_tree_merges_and_knows_common_prefixes():

@@ -2,7 +2,8 @@
 
 A byte goes if a string of ``length`` bytes that covers it also starts anywhere else. Each such string holds an
 anchor: the place of the smallest hash among its GRAM-byte strings, so equal strings have it at the same place,
-and it is enough to sort the suffixes that start at anchors, with the bytes to their left as what follows.
+and it is enough to sort the suffixes that start at anchors, with the bytes to their left as what follows. Several
+lengths share the anchors of the shortest, which every longer string begins with.
 
 1. Anchors of every text, by rolling hashes and sliding minima; those whose hash occurs once are done.
 2. The suffixes of the others are sorted in each task and exchanged as front-coded runs: every key is the length it
@@ -11,7 +12,8 @@ and it is enough to sort the suffixes that start at anchors, with the bytes to t
    prefix that is known, so no known prefix is compared again. It gives each key the length it shares with its
    neighbours, which bounds the strings around its anchor that can occur twice; these are looked up by hash.
 
-Anchor hashes of more than HOT places are dealt out further, by the bytes that a span of offsets has in common.
+Anchor hashes of more than HOT places are dealt out further, by the bytes that a span of offsets has in common; those of
+more than HOTTER by each whole string around them, so that what meets is equal, and one key a run.
 Strings are told apart by sums of 64 random bits for each place and byte.
 """
 
@@ -24,15 +26,19 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, byte_texts, map_texts, mix, release, small_batches, staged, trim
+from .common import CHUNK_BYTES, byte_texts, map_texts, mix, release, small_batches, staged, trim, unstaged
 
-LENGTH, GRAM = 400, 96
-#: Anchor hashes at more places than this are dealt out in so many spans of offsets.
-HOT, SPANS = 2000, 8
+#: Bytes of a string that counts as repeated, and bytes that an anchor's hash is of.
+LENGTH, GRAM = 400, 64
+#: Bytes of the strings that make up passages, and the words from which a run of them is a passage, whatever its bytes.
+PASSAGE, WORDS = 200, 50
+#: Anchor hashes at more places than this are dealt out in so many spans of offsets; beyond the third, by whole strings.
+HOT, SPANS, HOTTER = 2000, 8, 40_000
 #: Suffixes that a merge task gets, on average.
 SUFFIXES = 20_000
 #: Ends the bytes to the right in a key. UTF-8 never holds it.
@@ -203,12 +209,11 @@ def _prefix_sums(parts: list[bytes], side: str, width: int) -> tuple[np.ndarray,
     return sums, sizes
 
 
-def repeated_offsets(group: np.ndarray, lefts: list[bytes], rights: list[bytes], low: np.ndarray, high: np.ndarray, reach: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each key the smallest and largest offset of its anchor in a string that another key of its group has too
-    (-1: none). Offsets from ``low`` to ``high`` count; ``reach`` is what its right side shares with a neighbour."""
-    widest = int(high.max()) if len(high) else 0
-    hl, nl = _prefix_sums(lefts, "l", max(1, widest))
-    hr, nr = _prefix_sums(rights, "r", length)
+def repeated_offsets(group: np.ndarray, sums: tuple, low: np.ndarray, high: np.ndarray, reach: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each key the smallest and largest offset of its anchor in a string of ``length`` that another key of its group has
+    too (-1: none). Offsets from ``low`` to ``high`` count; ``sums`` are the prefix sums of both sides, and ``reach`` is what
+    its right side shares with a neighbour."""
+    (hl, nl), (hr, nr) = sums
     first = np.maximum(low, length - np.minimum(nr, reach))
     last = np.minimum(high, nl)
     count = np.maximum(0, last - first + 1)
@@ -231,79 +236,97 @@ def repeated_offsets(group: np.ndarray, lefts: list[bytes], rights: list[bytes],
 
 #: doc_id, uid, place, whether the key occurs twice in its run
 _INSTANCE = "<qqi?"
+#: First byte of a key that is one whole string of one length around its anchor; 0 is that of a key with all offsets,
+#: others are the number of a span of offsets from 1.
+_WHOLE = 255
+_RUNS = "part long, run string, head binary, rest binary, instances binary, doc_id long, uid long, kind int, lo int, hi int"
+_SPANS = "doc_id long, uid long, kind int, lo int, hi int"
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal unions of overlapping spans, in order."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
 
 
-def _make_runs(parts: int, length: int, gram: int):
-    """Per task: sorted runs of the suffixes at the repeated anchors, a front-coded segment for each part."""
-    reach = length - gram
+def _make_runs(parts: int, lengths: tuple[int, ...], gram: int):
+    """Per task: sorted runs of the suffixes at the repeated anchors, a front-coded segment for each part, and the spans
+    of keys that a run holds twice. ``head`` is empty in rows of spans."""
+    short, long = min(lengths), max(lengths)
+    reach = short - gram
 
     def run(batches):
         keys: dict[int, dict[bytes, list]] = {}
-        held = 0
-        spans: dict = {k: [] for k in ("doc_id", "uid", "lo", "hi")}
+        spans: dict[tuple, list] = {}
+        held = many = 0
 
         def flush():
-            nonlocal held
+            nonlocal held, many
             name = uuid.uuid4().hex
-            out: dict = {k: [] for k in ("part", "run", "head", "rest", "instances")}
+            out: dict = {k: [] for k in ("part", "run", "head", "rest", "instances", "doc_id", "uid", "kind", "lo", "hi")}
             for part, found in keys.items():
                 ordered = sorted(found)
-                instances = []
-                for key in ordered:
-                    doc_id, uid, place, n, nl, nr = found[key]
-                    instances.append(struct.pack(_INSTANCE, doc_id, uid, place, n > 1))
+                instances = [struct.pack(_INSTANCE, *found[key][:3], found[key][3] > 1) for key in ordered]
                 head, rest = encode_run(ordered)
-                for k, v in zip(out, (part, name, head, zlib.compress(rest, 1), b"".join(instances))):
+                for k, v in zip(out, (part, name, head, zlib.compress(rest, 1), b"".join(instances), 0, 0, -1, 0, 0)):
                     out[k].append(v)
+            for (doc_id, uid, kind), found in spans.items():
+                for lo, hi in _joined(found):
+                    for k, v in zip(out, ((uid ^ lo) % parts, name, b"", b"", b"", doc_id, uid, kind, lo, hi)):
+                        out[k].append(v)
             keys.clear()
-            held = 0
-            none = {k: [None] * len(spans["lo"]) for k in out}
-            result = {k: out[k] + none[k] for k in out} | {k: [None] * len(out["part"]) + spans[k] for k in spans}
-            for v in spans.values():
-                v.clear()
-            return result
-
-        def keep(part: int, key: bytes, doc_id: int, uid: int, place: int, nl: int, nr: int) -> int:
+            spans.clear()
+            held = many = 0
+            return out
+
+        def keep(part: int, key: bytes, doc_id: int, uid: int, place: int, nl: int, nr: int, kinds) -> int:
+            nonlocal many
             found = keys.setdefault(part, {})
             known = found.get(key)
             if known is None:
-                found[key] = [doc_id, uid, place, 1, nl, nr]
+                found[key] = [doc_id, uid, place, 1]
                 return len(key)
-            whole = nl + nr >= length
-            for d, u, p in [(known[0], known[1], known[2])] * (known[3] == 1) + [(doc_id, uid, place)]:
-                if whole:
-                    for k, v in zip(spans, (d, u, p - nl, p + nr)):
-                        spans[k].append(v)
+            for d, u, p in [tuple(known[:3])] * (known[3] == 1) + [(doc_id, uid, place)]:
+                for kind in kinds:
+                    if nl + nr >= lengths[kind]:
+                        spans.setdefault((d, u, kind), []).append((p - nl, p + nr))
+                        many += 1
             known[3] += 1
             return 0
 
-        import pyarrow as pa
-
+        every = range(len(lengths))
         for batch in batches:
             rows = pa.RecordBatch.from_arrays(batch.columns, schema=batch.schema)
             for doc_id, uid, text, places, grams, hot in zip(*(rows.column(k).to_pylist() for k in ("doc_id", "uid", "text", "places", "grams", "hot"))):
                 data = text.encode("utf-8")
                 for place, code, much in zip(places, grams, hot):
-                    right, left = data[place : place + length], data[max(0, place - reach) : place][::-1]
-                    if not much:
-                        held += keep(code % parts, b"\0" + right + _END + left, doc_id, uid, place, len(left), len(right))
-                        continue
-                    for span in range(SPANS):
-                        lo, hi = span * (reach + 1) // SPANS, (span + 1) * (reach + 1) // SPANS - 1
-                        if len(left) >= lo and len(right) >= length - hi:
-                            r, l_ = right[: length - lo], left[:hi]
-                            part = xxhash.xxh3_64_intdigest(r[: length - hi] + _END + l_[:lo]) % parts
-                            held += keep(part, bytes((span + 1,)) + r + _END + l_, doc_id, uid, place, len(l_), len(r))
-                if held > 60_000_000 or len(spans["lo"]) > 200_000:
-                    yield flush()
+                    right, left = data[place : place + long], data[max(0, place - reach) : place][::-1]
+                    if much == 0:
+                        held += keep(code % parts, b"\0" + right + _END + left, doc_id, uid, place, len(left), len(right), every)
+                    elif much == 1:
+                        for span in range(SPANS):
+                            lo, hi = span * (reach + 1) // SPANS, (span + 1) * (reach + 1) // SPANS - 1
+                            if len(left) >= lo and len(right) >= short - hi:
+                                r, l_ = right[: long - lo], left[:hi]
+                                part = xxhash.xxh3_64_intdigest(r[: short - hi] + _END + l_[:lo]) % parts
+                                held += keep(part, bytes((span + 1,)) + r + _END + l_, doc_id, uid, place, len(l_), len(r), every)
+                    else:
+                        for kind in every:
+                            for n in range(max(0, lengths[kind] - len(right)), min(reach, len(left)) + 1):
+                                key = bytes((_WHOLE, kind)) + right[: lengths[kind] - n] + _END + left[:n]
+                                held += keep(xxhash.xxh3_64_intdigest(key) % parts, key, doc_id, uid, place, n, lengths[kind] - n, (kind,))
+                    if held > 60_000_000 or many > 400_000:
+                        yield flush()
         yield flush()
 
     def to_batches(batches):
-        import pyarrow as pa
-
         release()
-
-        kinds = {"part": pa.int64(), "run": pa.string(), "head": pa.binary(), "rest": pa.binary(), "instances": pa.binary(), "doc_id": pa.int64(), "uid": pa.int64(), "lo": pa.int32(), "hi": pa.int32()}
+        kinds = {"part": pa.int64(), "run": pa.string(), "head": pa.binary(), "rest": pa.binary(), "instances": pa.binary(), "doc_id": pa.int64(), "uid": pa.int64(), "kind": pa.int32(), "lo": pa.int32(), "hi": pa.int32()}
         for out in run(batches):
             yield pa.RecordBatch.from_pydict({k: pa.array(out[k], t) for k, t in kinds.items()})
         trim()
@@ -311,13 +334,13 @@ def _make_runs(parts: int, length: int, gram: int):
     return to_batches
 
 
-_RUNS = "part long, run string, head binary, rest binary, instances binary, doc_id long, uid long, lo int, hi int"
-
-
-def _merge_part(length: int, gram: int):
-    reach = length - gram
+def _merge_part(lengths: tuple[int, ...], gram: int):
+    short, long = min(lengths), max(lengths)
+    reach = short - gram
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        is_run = pdf["kind"] < 0
+        ready, pdf = pdf.loc[~is_run, ["doc_id", "uid", "kind", "lo", "hi"]], pdf[is_run]
         out: list[tuple] = []
         runs = [decode_run(h, zlib.decompress(r)) for h, r in zip(pdf["head"], pdf["rest"])]
         where = [struct.iter_unpack(_INSTANCE, x) for x in pdf["instances"]]
@@ -325,7 +348,7 @@ def _merge_part(length: int, gram: int):
         waiting: list[list[list]] = []
 
         def split(key: bytes) -> tuple[bytes, bytes]:
-            right, _, left = key[1:].partition(_END)
+            right, _, left = key[2 if key[0] == _WHOLE else 1 :].partition(_END)
             return right, left
 
         def settle():
@@ -338,10 +361,12 @@ def _merge_part(length: int, gram: int):
             spans = np.array([x[0][0] for x in flat])
             low = np.where(spans == 0, 0, (spans - 1) * (reach + 1) // SPANS)
             high = np.where(spans == 0, reach, spans * (reach + 1) // SPANS - 1)
-            least, most = repeated_offsets(ids, [p[1] for p in parts], [p[0] for p in parts], low, high, near, length)
-            for x, a, b in zip(flat, least.tolist(), most.tolist()):
-                if b >= 0:
-                    out.extend((d, u, p - b, p + length - a) for d, u, p, _ in x[2])
+            sums = _prefix_sums([p[1] for p in parts], "l", max(1, int(high.max()))), _prefix_sums([p[0] for p in parts], "r", long)
+            for kind, length in enumerate(lengths):
+                least, most = repeated_offsets(ids, sums, low, high, near, length)
+                for x, a, b in zip(flat, least.tolist(), most.tolist()):
+                    if b >= 0:
+                        out.extend((d, u, kind, p - b, p + length - a) for d, u, p, _ in x[2])
             waiting.clear()
 
         def close():
@@ -352,8 +377,9 @@ def _merge_part(length: int, gram: int):
             for x in group:
                 if x[3]:
                     right, left = split(x[0])
-                    if len(left) + len(right) >= length:
-                        out.extend((d, u, p - len(left), p + len(right)) for d, u, p, _ in x[2])
+                    for kind, length in enumerate(lengths):
+                        if len(left) + len(right) >= length and (x[0][0] != _WHOLE or x[0][1] == kind):
+                            out.extend((d, u, kind, p - len(left), p + len(right)) for d, u, p, _ in x[2])
             group.clear()
 
         for same, key, run in merge_runs(runs):
@@ -362,13 +388,13 @@ def _merge_part(length: int, gram: int):
                 group[-1][2].append(instance)
                 group[-1][3] = True
                 continue
-            least = 1 + (gram if key[0] == 0 else length - key[0] * (reach + 1) // SPANS + 1)
-            if group and same < least:
+            least = len(key) if key[0] == _WHOLE else 1 + (gram if key[0] == 0 else short - key[0] * (reach + 1) // SPANS + 1)
+            if group and (same < least or key[0] == _WHOLE):
                 close()
             group.append([key, same if group else 0, [instance], instance[3]])
         close()
         settle()
-        return pd.DataFrame(out, columns=["doc_id", "uid", "lo", "hi"])
+        return pd.concat([ready, pd.DataFrame(out, columns=["doc_id", "uid", "kind", "lo", "hi"]).astype(ready.dtypes)], ignore_index=True)
 
     return merge
 
@@ -379,18 +405,19 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.coalesce("id", F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64("id", "text").alias("uid"), "text", F.col("id").isNull().alias("no_id"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """All rows as (doc_id, uid, no_id, n_bytes, sha), and, for texts with repeats, (doc_id, uid, text, spans).
+def repeated_spans(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,), gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All rows as (doc_id, uid, no_id, n_bytes, sha), and, for texts with repeats, (doc_id, uid, text, spans); the spans
+    have the number of their length in ``lengths``.
 
     uid is a hash of id and text; rows that are repeated share it, and are each other's repeats.
     """
-    if not gram < length <= LENGTH:
-        raise ValueError(f"gram < length <= {LENGTH}")
+    if not 0 < gram < min(lengths) or max(lengths) > LENGTH:
+        raise ValueError(f"gram < lengths <= {LENGTH}")
     rows = _keyed(docs, id_col, text_col)
 
     def find(batch, made):
         parts = byte_texts(batch)
-        found = anchors(parts, length, gram)
+        found = anchors(parts, min(lengths), gram)
         return {k: batch.column(k) for k in ("doc_id", "uid", "no_id")} | {
             "n_bytes": list(map(len, parts)), "sha": [hashlib.sha256(p).hexdigest() for p in parts],
             "places": [x.tolist() for x, _ in found], "grams": [x.tolist() for _, x in found],
@@ -399,17 +426,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     every = staged(map_texts(rows, find, "doc_id long, uid long, no_id boolean, n_bytes long, sha string, places array<int>, grams array<long>"), "anchors")
     repeated = staged(every.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "grams")
     flat = every.select("doc_id", "uid", F.explode(F.arrays_zip("places", "grams")).alias("x")).select("doc_id", "uid", F.col("x.places").alias("place"), F.col("x.grams").alias("gram"))
-    hits = flat.join(repeated, "gram").select("doc_id", "uid", F.struct("place", "gram", (F.col("n") > HOT).alias("hot")).alias("x"))
+    much = F.when(F.col("n") > HOTTER, 2).when(F.col("n") > HOT, 1).otherwise(0)
+    hits = flat.join(repeated, "gram").select("doc_id", "uid", F.struct("place", "gram", much.alias("hot")).alias("x"))
     hits = staged(hits.groupBy("doc_id", "uid").agg(F.array_sort(F.collect_list("x")).alias("x")), "hits")
     total = hits.agg(F.sum(F.size("x"))).first()[0] or 0
+    unstaged(repeated)
     parts = max(8, -(-total // SUFFIXES))
     texts_ = rows.select("doc_id", "uid", "text").join(hits, ["doc_id", "uid"])
     texts_ = staged(texts_.select("doc_id", "uid", "text", F.col("x.place").alias("places"), F.col("x.gram").alias("grams"), F.col("x.hot").alias("hot")), "suffix-texts")
+    unstaged(hits)
     small_batches(docs.sparkSession)
-    runs = staged(texts_.mapInArrow(_make_runs(parts, length, gram), _RUNS), "runs")
-    merged = runs.where("part is not null").select("part", "head", "rest", "instances").groupBy("part").applyInPandas(_merge_part(length, gram), "doc_id long, uid long, lo int, hi int")
-    found = staged(merged.union(runs.where("part is null").select("doc_id", "uid", "lo", "hi")), "spans")
-    spans = found.groupBy("doc_id", "uid").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
+    runs = texts_.mapInArrow(_make_runs(parts, lengths, gram), _RUNS)
+    found = staged(runs.groupBy("part").applyInPandas(_merge_part(lengths, gram), _SPANS), "spans")
+    spans = found.groupBy("doc_id", "uid").agg(F.array_sort(F.collect_set(F.struct("kind", "lo", "hi"))).alias("spans"))
     return every.select("doc_id", "uid", "no_id", "n_bytes", "sha"), texts_.select("doc_id", "uid", "text").dropDuplicates(["doc_id", "uid"]).join(spans, ["doc_id", "uid"])
 
 
@@ -426,39 +455,52 @@ def cut(data: bytes, spans: list) -> tuple[bytes, int]:
     return b"".join(kept), runs
 
 
-def removed(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256. Null text: no bytes. A null id stays null."""
-    every, found = repeated_spans(docs, length, id_col=id_col, text_col=text_col)
+def passages(data: bytes, spans: list[tuple[int, int]], words: int, length: int = LENGTH) -> list[tuple[int, int]]:
+    """The maximal runs of ``spans`` that hold ``words`` words, or ``length`` bytes where a script has no spaces."""
+    return [(lo, hi) for lo, hi in _joined(spans) if hi - lo >= length or len(data[lo:hi].split()) >= words]
+
+
+def _of_kind(spans: list[dict], kind: int) -> list[tuple[int, int]]:
+    return [(s["lo"], s["hi"]) for s in spans if s["kind"] == kind]
+
+
+def removed(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and n_passage, the bytes of the passages that also occur elsewhere:
+    runs of repeated strings of ``passage`` bytes that hold ``words`` words. Null text: no bytes. A null id stays null."""
+    every, found = repeated_spans(docs, (length, passage), id_col=id_col, text_col=text_col)
 
     def kernel(batch, made):
-        out: dict = {"n_removed": [], "n_spans": [], "kept_sha256": []}
+        out: dict = {"n_removed": [], "n_spans": [], "kept_sha256": [], "n_passage": []}
         for data, spans in zip(byte_texts(batch), batch.column("spans").to_pylist()):
-            rest, n = cut(data, [(s["lo"], s["hi"]) for s in spans])
-            for k, v in zip(out, (len(data) - len(rest), n, hashlib.sha256(rest).hexdigest())):
+            rest, n = cut(data, _of_kind(spans, 0))
+            shared = sum(hi - lo for lo, hi in passages(data, _of_kind(spans, 1), words, length))
+            for k, v in zip(out, (len(data) - len(rest), n, hashlib.sha256(rest).hexdigest(), shared)):
                 out[k].append(v)
         return {"doc_id": batch.column("doc_id"), "uid": batch.column("uid")} | out
 
-    done = map_texts(found, kernel, "doc_id long, uid long, n_removed long, n_spans long, kept_sha256 string")
+    done = map_texts(found, kernel, "doc_id long, uid long, n_removed long, n_spans long, kept_sha256 string, n_passage long")
     zero = F.lit(0).cast("long")
     return every.join(done, ["doc_id", "uid"], "left").select(
-        F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"),
-        F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
+        F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
+        F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("n_passage", zero).alias("n_passage"),
     )
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeats taken out of its texts; characters cut in half go too. Nothing else changes."""
-    _, found = repeated_spans(docs, length, id_col=id_col, text_col=text_col)
+def without_repeats(docs: DataFrame, length: int = LENGTH, words: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the repeats taken out of its texts; characters cut in half go too. Nothing else changes: null texts without
+    repeats stay null, columns may have any names. With ``words``, only runs of so many words, or of LENGTH bytes, go."""
+    _, found = repeated_spans(docs, (length,), id_col=id_col, text_col=text_col)
 
     def kernel(batch, made):
-        rest = [cut(data, [(s["lo"], s["hi"]) for s in spans])[0].decode("utf-8", "ignore") for data, spans in zip(byte_texts(batch), batch.column("spans").to_pylist())]
-        return {"__id": batch.column("doc_id"), "__uid": batch.column("uid"), "__rest": rest}
-
-    done = map_texts(found, kernel, "__id long, __uid long, __rest string")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "__uid": F.xxhash64(F.col(id_col).cast("long"), text)})
-    out = keyed.join(done, ["__id", "__uid"], "left")
-    return out.select(*(F.coalesce("__rest", F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+        rest = [cut(data, passages(data, _of_kind(spans, 0), words))[0].decode("utf-8", "ignore") for data, spans in zip(byte_texts(batch), batch.column("spans").to_pylist())]
+        return {"doc_id": batch.column("doc_id"), "uid": batch.column("uid"), "rest": rest}
+
+    done = map_texts(found, kernel, "doc_id long, uid long, rest string")
+    text, whole = F.coalesce(F.col(text_col), F.lit("")), F.struct(*(F.col(c) for c in docs.columns))
+    # the document itself travels as one column, so that its columns cannot clash with these
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("uid"), whole.alias("row"))
+    out = keyed.join(done, ["doc_id", "uid"], "left")
+    return out.select(*((F.coalesce("rest", F.col(f"row.`{c}`")) if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
