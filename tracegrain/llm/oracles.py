@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 
 from .quality import LEFT, LIMIT
+from .suffix_dedup import LENGTH, PASSAGE, WORDS
 
 _LOWER = f"translate({{0}}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 _WORDS = r"[x for x in regexp_split_to_array({0}, '[\x20\x09-\x0D]+') if x <> '']"
@@ -46,4 +47,26 @@ n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, coalesce(any_value(n), 0) AS n_links, min(c) AS component_id, vec_id = min(c) AS kept FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN r ON r.id = vec_id GROUP BY vec_id
 """
 
-ORACLE = {"op1_minhash": OP1, "op3_quality": OP3, "op5_vector_graph": OP5}
+_WHITE = "('09', '0A', '0B', '0C', '0D', '20')"
+
+
+def _runs(length: int, name: str) -> str:
+    """Maximal runs (doc_id, lo, hi) of strings of ``length`` bytes that start at two places and more."""
+    return f"""{name}w AS (SELECT doc_id, i, hash(array_slice(b, i, i + {length - 1})) AS h FROM (SELECT doc_id, b, unnest(range(1, n - {length} + 2)) AS i FROM d)),
+{name}s AS (SELECT doc_id, i FROM {name}w WHERE h IN (SELECT h FROM {name}w GROUP BY h HAVING count(*) > 1)),
+{name}e AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > {length}, true) AS first FROM {name}s),
+{name} AS (SELECT doc_id, min(i) - 1 AS lo, max(i) - 1 + {length} AS hi FROM (SELECT *, sum(first::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM {name}e) GROUP BY doc_id, k)"""
+
+
+OP10 = f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents), {_runs(LENGTH, 'r')}, {_runs(PASSAGE, 'q')},
+k AS (SELECT doc_id, lo, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since FROM (SELECT doc_id, lo, hi FROM r UNION ALL SELECT doc_id, n, n FROM d)),
+t AS (SELECT doc_id, string_agg(substr(hex(b), 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo, since) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed FROM r GROUP BY doc_id),
+x AS (SELECT doc_id, hi - lo AS size, hex(array_slice(b, lo + 1, hi)) AS h FROM q JOIN d USING (doc_id)),
+p AS (SELECT doc_id, sum(size) AS n_passage FROM x WHERE size >= {LENGTH} OR len([1 for i in range(1, size + 1) if substr(h, 2 * i - 1, 2) NOT IN {_WHITE} AND (i = 1 OR substr(h, 2 * i - 3, 2) IN {_WHITE})]) >= {WORDS} GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256, CAST(coalesce(n_passage, 0) AS BIGINT) AS n_passage
+FROM d JOIN t USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN p USING (doc_id)
+"""
+
+ORACLE = {"op10_suffix_dedup": OP10, "op1_minhash": OP1, "op3_quality": OP3, "op5_vector_graph": OP5}
