@@ -210,15 +210,57 @@ def test_toxic_sentences_are_located(spark, odd):
     assert all(r.score < 0.01 for r in toxicity.score_documents(odd, empty).collect())
 
 
+def earliest_deadlines(weights):
+    """The schedule by trying all sources in each slot."""
+    slots, given, out = sum(weights.values()), dict.fromkeys(weights, 0), []
+    for t in range(slots):
+        released = [s for s, w in weights.items() if given[s] < w and given[s] * slots // w <= t]
+        due = lambda s: ((-(-(given[s] + 1) * slots // weights[s])), (given[s] + 1) * slots % weights[s] == 0, -weights[s], s)
+        out.append(min(released, key=due))
+        given[out[-1]] += 1
+    return out
+
+
 def test_pfair_keeps_every_source_within_a_block():
     rng = np.random.RandomState(3)
-    for n in (1, 2, 9, 40):
+    for n in (1, 2, 9, 40, 700):
         weights = mixing.whole_weights({f"s{i}": float(x) for i, x in enumerate(rng.rand(n) ** 3 + 1e-6)})
+        slots = sum(weights.values())
+        assert slots == max(mixing.SLOTS, 2 * n) and min(weights.values()) >= 1
         given = Counter()
         for t, s in enumerate(mixing.period(weights), 1):
             given[s] += 1
-            assert all(abs(given[k] - w * t / mixing.SLOTS) < 1 for k, w in weights.items())
+            if n < 100:
+                assert all(abs(given[k] - w * t / slots) < 1 for k, w in weights.items())
         assert given == weights
+        if n < 100:
+            assert mixing.period(weights) == earliest_deadlines(weights)
+    assert mixing.whole_weights({"a": 0.0, "b": 1.0}) == {"a": 1, "b": 999} and sum(mixing.whole_weights({"a": 0.0, "b": 0.0, "c": 0.0}).values()) == 1000
+
+
+def test_mixture_equals_brute_force(spark, docs):
+    """Ranks, blocks, slots and places of all documents, with given targets."""
+    rows = [(r.doc_id, r.source) for r in docs.select("doc_id", "source").collect()] + [(10**6, None), (None, "src1"), (7, "src1")]
+    sizes = Counter(s or "" for _, s in rows)
+    for target in (None, {"src1": 5.0, "src2": 1.0}):
+        weights = mixing.whole_weights(mixing.tempered(sizes) if target is None else {s: target.get(s, 1.0) for s in sizes})
+        slots = earliest_deadlines(weights)
+        at = {s: [t for t, x in enumerate(slots) if x == s] for s in weights}
+        want = Counter()
+        for s, w in weights.items():
+            own = sorted((hashlib.md5((str(i) if i is not None else "").encode()).hexdigest(), i) for i, x in rows if (x or "") == s)
+            for rank, (_, i) in enumerate(own):
+                block = rank // mixing.BLOCK
+                want[i, s, block, block // w * len(slots) + at[s][block % w], rank % mixing.BLOCK] += 1
+        out = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string"), target)
+        assert Counter(tuple(r) for r in out.select("doc_id", "_source", "_block", "_slot", "_place").collect()) == want
+
+
+def test_mixture_of_more_sources_than_slots(spark):
+    rows = [(i, f"host{i % 1500}") for i in range(6000)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string"), block=2).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows) and len({(r._slot, r._place) for r in got}) == 6000
+    assert len({r._source for r in got if r._slot < 3000}) == 1500
 
 
 def test_mixture_holds_every_row_once(spark, odd):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 
+from .mixing import BLOCK, EACH, SLOTS
 from .quality import LEFT, LIMIT
 from .suffix_dedup import LENGTH, PASSAGE, WORDS
 
@@ -69,4 +70,20 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGI
 FROM d JOIN t USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN p USING (doc_id)
 """
 
-ORACLE = {"op10_suffix_dedup": OP10, "op1_minhash": OP1, "op3_quality": OP3, "op5_vector_graph": OP5}
+OP4 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS s FROM documents), z AS (SELECT s, sqrt(count(*)) AS x FROM d GROUP BY s),
+h AS (SELECT s, x / (SELECT sum(x) FROM z) * greatest({SLOTS}, {EACH} * (SELECT count(*) FROM z)) AS share FROM z),
+f AS (SELECT s, greatest(1, CAST(floor(share) AS BIGINT)) AS w, row_number() OVER (ORDER BY floor(share) - share, s) AS k FROM h),
+w AS (SELECT s, w + CASE WHEN k <= greatest({SLOTS}, {EACH} * (SELECT count(*) FROM f)) - (SELECT sum(w) FROM f) THEN 1 ELSE 0 END AS w FROM f),
+a AS (SELECT list(s ORDER BY s) AS names, list(w ORDER BY s) AS w, CAST(sum(w) AS BIGINT) AS slots, count(*) AS n FROM w),
+e(t, g, i) AS (SELECT CAST(-1 AS BIGINT), [CAST(0 AS BIGINT) for x in w], CAST(0 AS BIGINT) FROM a UNION ALL
+  SELECT t + 1, [CASE WHEN k = b THEN g[k] + 1 ELSE g[k] END for k in range(1, n + 1)], b FROM (SELECT t, g, n,
+    list_sort([{{'due': ((g[k] + 1) * slots + w[k] - 1) // w[k], 'over': CASE WHEN (g[k] + 1) * slots % w[k] = 0 THEN 1 ELSE 0 END, 'light': -w[k], 'k': k}} for k in range(1, n + 1) if g[k] < w[k] AND g[k] * slots // w[k] <= t + 1])[1].k AS b
+    FROM e, a WHERE t + 1 < slots)),
+p AS (SELECT names[i] AS s, t AS slot, row_number() OVER (PARTITION BY i ORDER BY t) - 1 AS j FROM e, a WHERE t >= 0),
+r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY s ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS rank FROM d)
+SELECT r.doc_id, o.source, rank // {BLOCK} AS block, rank // {BLOCK} // w.w * (SELECT slots FROM a) + p.slot AS slot, CAST(rank % {BLOCK} AS INT) AS place
+FROM r JOIN w USING (s) JOIN p ON p.s = r.s AND p.j = rank // {BLOCK} % w.w JOIN documents o ON o.doc_id = r.doc_id
+"""
+
+ORACLE = {"op4_mixing": OP4, "op10_suffix_dedup": OP10, "op1_minhash": OP1, "op3_quality": OP3, "op5_vector_graph": OP5}
