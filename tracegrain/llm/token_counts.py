@@ -1,21 +1,31 @@
 """Token counts without token ids.
 
-Pieces are counted once for each distinct pre-token of a batch, and the counts meet the documents' pre-token
-frequencies in the task that holds both: a shuffle by pre-token would move more than the texts themselves.
+1. Each task splits its texts into pre-tokens and writes, for every chunk of texts, one row a distinct pre-token: the
+   documents that hold it and how often (three bytes a document).
+2. The distinct pre-tokens of all chunks are a table; a pre-token's pieces are counted once, wherever it occurs.
+3. Counts are joined to the frequencies by pre-token and group of chunks, so that a pre-token of every chunk is no single
+   group, and summed by chunk. No id is ever made of a document's text.
 """
 
 from __future__ import annotations
 
 import os
-from collections import Counter
+from collections import defaultdict
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, map_texts, resident, texts
+from .common import ARROW_ROWS, map_texts, release, resident, small_batches, staged, texts, trim
 
 #: Fixed value: how word_bpe_49k.json splits a normalised text into pre-tokens.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters of a chunk's texts that are aimed at, its documents at most, and chunks of a group.
+CHUNK, CHUNK_ROWS, GROUP = 8 << 20, 60_000, 4096
+#: Times that one entry of a frequency list can count; a more frequent one has several.
+_MOST = 255
 
 
 class PieceCounter:
@@ -32,46 +42,126 @@ class PieceCounter:
         self.normalize = self.tokenizer.normalizer.normalize_str
         self.pieces = regex.compile(WORD_PATTERN).findall
         self.special = regex.compile("|".join(map(regex.escape, added)))
-        self.known = Memo(lambda piece: len(self.tokenizer.encode(piece, add_special_tokens=False)))
 
-    def frequencies(self, text: str) -> tuple[Counter, int]:
-        """Pre-token frequencies, and how many special strings stand in the text (a token each, split off first)."""
+    def pre_tokens(self, text: str) -> tuple[list[str], int]:
+        """The pre-tokens, and how many special strings stand in the text (a token each, split off first)."""
         parts = self.special.split(text)
-        found = Counter()
-        for part in parts:
-            found.update(self.pieces(self.normalize(part)))
+        found = self.pieces(self.normalize(parts[0]))
+        for part in parts[1:]:
+            found += self.pieces(self.normalize(part))
         return found, len(parts) - 1
 
-    def count(self, texts_: list[str]) -> list[int]:
-        freq = [self.frequencies(t) for t in texts_]
-        known = self.known
-        new = [p for p in {p for f, _ in freq for p in f} if p not in known]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for piece, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                n = len(got)
-                if len(known) < known.limit:
-                    known[piece] = n
-                else:
-                    known.old[piece] = n
-        out = [special + sum(n * known[p] for p, n in f.items()) for f, special in freq]
-        if len(known.old) > 2 * known.limit:
-            known.old = {}
-        return out
+    def count(self, pieces: list[str]) -> list[int]:
+        return [len(x) for x in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
 
 
 def counter(path: str) -> PieceCounter:
     return resident(("counter", path), lambda: PieceCounter(path))
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit). Null text: zero bytes and tokens; one pass, no shuffle."""
+class Chunk:
+    """Pre-token frequencies of some documents."""
+
+    def __init__(self):
+        self.index: defaultdict = defaultdict()
+        self.index.default_factory = self.index.__len__
+        self.found, self.ids, self.sizes, self.special, self.chars = [], [], [], [], 0
+
+    def add(self, doc_id: int | None, text: str, made: PieceCounter) -> None:
+        pieces, special = made.pre_tokens(text)
+        ids = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        self.found.append((ids << 16) | len(self.ids))
+        self.ids.append(0 if doc_id is None else doc_id)  # pandas would make floats of ids beside a null
+        self.sizes.append(len(text.encode("utf-8")))
+        self.special.append(-1 - special if doc_id is None else special)
+        self.chars += len(text)
+
+    def rows(self, name: int) -> dict:
+        """A row for each pre-token, and one, without a pre-token, for the documents."""
+        code, times = np.unique(np.concatenate(self.found), return_counts=True)
+        more = -(-times // _MOST)
+        if len(more) and more.max() > 1:
+            code, rest = np.repeat(code, more), np.repeat(times, more)
+            rest -= _MOST * (np.arange(len(code)) - np.repeat(np.cumsum(more) - more, more))
+            times = np.minimum(rest, _MOST)
+        at, times = (code & 0xFFFF).astype("<u2").tobytes(), times.astype(np.uint8).tobytes()
+        edge = np.searchsorted(code >> 16, np.arange(len(self.index) + 1)).tolist()
+        n = len(self.index)
+        return {
+            "chunk": [name] * (n + 1), "piece": [*self.index, None],
+            "at": [*(at[2 * a : 2 * b] for a, b in zip(edge, edge[1:])), None], "times": [*(times[a:b] for a, b in zip(edge, edge[1:])), None],
+            "ids": [None] * n + [self.ids], "sizes": [None] * n + [self.sizes], "special": [None] * n + [self.special],
+        }
+
+
+_ROWS = "chunk long, piece string, at binary, times binary, ids array<long>, sizes array<long>, special array<long>"
+
+
+def frequencies(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of chunks: (chunk, piece, at, times), and (chunk, ids, sizes, special) with a null piece; ``special`` is minus one
+    and less where the id is null."""
+    kinds = {"chunk": pa.int64(), "piece": pa.string(), "at": pa.binary(), "times": pa.binary(), "ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64()), "special": pa.list_(pa.int64())}
+
+    def run(batches):
+        release(("counter", path))
+        made, chunk = counter(path), Chunk()
+
+        def done():
+            name = int.from_bytes(os.urandom(8), "little", signed=True)  # the table is written before it is read twice
+            rows = chunk.rows(name)
+            return pa.RecordBatch.from_pydict({k: pa.array(rows[k], t) for k, t in kinds.items()})
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, ARROW_ROWS):
+                part = batch.slice(at, ARROW_ROWS)
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                    chunk.add(doc_id, text, made)
+                    if chunk.chars >= CHUNK or len(chunk.ids) >= CHUNK_ROWS:
+                        yield done()
+                        chunk = Chunk()
+        if chunk.ids:
+            yield done()
+        del chunk
+        trim()
+
+    small_batches(docs.sparkSession)
+    return texts(docs, id_col, text_col).mapInArrow(run, _ROWS)
+
+
+def piece_counts(pieces: DataFrame, path: str) -> DataFrame:
+    """(piece, n) for distinct ``pieces``: the tokens of each."""
 
     def kernel(batch, made):
-        got = batch.column("text").to_pylist()
-        return {"doc_id": batch.column("doc_id"), "n_bytes": [len(t.encode("utf-8")) for t in got], "n_tokens": made.count(got)}
+        return {"piece": batch.column("piece"), "n": made.count(batch.column("piece").to_pylist())}
+
+    return map_texts(pieces, kernel, "piece string, n long", lambda: counter(path), ("counter", path))
+
 
-    out = map_texts(texts(docs, id_col, text_col), kernel, "doc_id long, n_bytes long, n_tokens long", lambda: counter(path), ("counter", path))
+def _sums(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The documents of one chunk with their tokens."""
+    head = pdf[pdf["ids"].notna()].iloc[0]
+    pieces = pdf[pdf["ids"].isna()]
+    special = np.array(head["special"], np.int64)
+    total = np.where(special < 0, -1 - special, special)
+    times = np.frombuffer(b"".join(pieces["times"]), np.uint8).astype(np.int64)
+    at = np.frombuffer(b"".join(pieces["at"]), "<u2")
+    np.add.at(total, at, times * np.repeat(pieces["n"].to_numpy(np.int64), pieces["times"].map(len).to_numpy(np.int64)))
+    return pd.DataFrame({"doc_id": pd.Series(np.array(head["ids"], np.int64), dtype="Int64").mask(special < 0), "n_bytes": np.array(head["sizes"], np.int64), "n_tokens": total})
+
+
+def count_tokens(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit); a row for each row, a null id stays null. Null text: zero
+    bytes and tokens."""
+    rows = staged(frequencies(docs, path, id_col, text_col), "frequencies")
+    groups = max(1, -(-rows.where("piece IS NULL").count() // GROUP))
+    pieces = rows.where("piece IS NOT NULL").select("chunk", F.pmod(F.xxhash64("chunk"), F.lit(groups)).alias("part"), "piece", "at", "times")
+    each = staged(pieces.select("piece", "part").distinct(), "pieces")
+    once = staged(piece_counts(each.select("piece").distinct(), path), "piece-counts")
+    counts = each.join(once, "piece")
+    none = {c: F.lit(None).cast(t).alias(c) for c, t in (("at", "binary"), ("times", "binary"), ("n", "long"), ("ids", "array<long>"), ("sizes", "array<long>"), ("special", "array<long>"))}
+    found = pieces.join(counts, ["piece", "part"]).select("chunk", "at", "times", "n", *(none[c] for c in ("ids", "sizes", "special")))
+    heads = rows.where("piece IS NULL").select("chunk", *(none[c] for c in ("at", "times", "n")), "ids", "sizes", "special")
+    out = found.unionByName(heads).groupBy("chunk").applyInPandas(_sums, "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
