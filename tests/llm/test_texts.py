@@ -86,20 +86,55 @@ def test_licence_base_equals_brute_force(spark, docs, odd):
         assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got)
 
 
+def notices():
+    return [(label, text) for label, text, _ in license_scan.TEMPLATES]
+
+
+def labels_by_brute_force(found, index):
+    """label -> best share over all templates and all starts."""
+    best = {}
+    for t, body in enumerate(index.words):
+        rare = [(w, p) for w, posts in index.postings.items() for k, p in posts if k == t]
+        for start in range(-len(body), len(found)):
+            votes = sum(0 <= start + p < len(found) and found[start + p] == w for w, p in rare)
+            if votes and votes >= index.needed[t] and (share := license_scan.share_at(found, t, start, index)):
+                best[index.labels[t]] = max(share, best.get(index.labels[t], 0.0))
+    return best
+
+
+def test_licence_labels_equal_brute_force(spark, docs):
+    index = license_scan.Index()
+    rng = np.random.RandomState(5)
+    rows = [r.text for r in docs.select("text").collect() if r.text and len(r.text.split()) < 150]
+    for label, text in notices():
+        w = text.split()
+        rows += [text, " ".join(reversed(w)), "Copyright 2020\n" + " ".join(x if rng.rand() > 0.2 else "other" for x in w) + " end", " ".join(w[: len(w) // 2])]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for r in license_scan.scan(df).collect():
+        want = labels_by_brute_force(license_scan.words(rows[r.doc_id].encode()), index)
+        base = set(filter(None, r.base_labels.split(",")))
+        assert set(filter(None, r.labels.split(","))) == base | set(want)
+        assert r.score == max([0.5 if base else 0.0, *want.values()])
+    assert license_scan.scan(df.limit(0)).count() == 0
+
+
 def test_licence_notices_are_found_by_position(spark):
-    body = license_scan.TEMPLATES["mit"][0]
+    body = notices()[0][1]
     broken = " ".join(reversed(body.split()))
     df = spark.createDataFrame([(1, f"x y z {body.upper()} more"), (2, broken), (3, "This work is licensed under CC-BY-NC 4.0."), (4, body.replace("copy", "copies"))], "doc_id long, text string")
-    got = {r.doc_id: (r.labels, round(r.score, 2)) for r in license_scan.scan(df).collect()}
+    got = {r.doc_id: (r.labels, round(r.score, 2)) for r in license_scan.scan(df.withColumns({"labels": F.lit("clash"), "found": F.lit(1)})).collect()}
     assert got[1] == ("mit", 1.0) and got[2] == ("", 0.0) and got[3] == ("cc-by-nc", 1.0) and got[4][0] == "mit"
 
 
 def test_every_notice_of_a_file_is_found(spark):
-    body = {x: t[0] for x, t in license_scan.TEMPLATES.items()}
-    groups = [(a, b) for a in body for b in body if a < b] + [tuple(body)]
-    df = spark.createDataFrame([(i, " ".join(body[x] for x in g)) for i, g in enumerate(groups)], "doc_id long, text string")
+    every = notices()
+    groups = [(a, b) for i, a in enumerate(every) for b in every[i + 1 :]] + [tuple(every)]
+    df = spark.createDataFrame([(i, "\n".join(text for _, text in g)) for i, g in enumerate(groups)], "doc_id long, text string")
     got = {r.doc_id: set(r.labels.split(",")) for r in license_scan.scan(df).collect()}
-    assert all(got[i] >= set(g) for i, g in enumerate(groups))
+    assert all(got[i] >= {label for label, _ in g} for i, g in enumerate(groups))
+    alone = spark.createDataFrame(list(enumerate(text for _, text in every)), "doc_id long, text string")
+    for r in license_scan.scan(alone).collect():
+        assert every[r.doc_id][0] in r.labels.split(",") and r.score == 1.0
 
 
 def quality_by_brute_force(rows, limit):
