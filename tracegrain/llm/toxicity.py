@@ -93,41 +93,36 @@ def fit(bags: list[tuple[bytes, int]], epochs: int = 12, rate: float = 0.5, leas
         return Model(weights.astype(np.float32))
     memo = Memo(lambda w: np.array(features(w), np.int32), 100_000)
     seen = np.zeros(DIMS, np.int32)
-    for text, _ in bags:
-        found = [memo[w] for w in set().union(*instances(text))]
-        if found:
-            seen[np.unique(np.concatenate(found))] += 1
     docs = []
     for text, y in bags:
-        parts = [np.concatenate([memo[w] for w in p]) for p in instances(text)]
-        if parts:
+        if parts := [np.concatenate([memo[w] for w in p]) for p in instances(text)]:
             ids = np.concatenate(parts)
-            keep = seen[ids] >= least
-            at = np.repeat(np.arange(len(parts), dtype=np.int32), [len(f) for f in parts])
-            docs.append((ids[keep], at[keep], len(parts), y))
+            seen[np.unique(ids)] += 1
+            docs.append((ids, np.repeat(np.arange(len(parts), dtype=np.int32), list(map(len, parts))), len(parts), y))
     del memo
-    square = np.full(DIMS, 1e-2)
+    used = np.flatnonzero(seen >= least)  # training knows these features only, by their places here
+    place = np.full(DIMS, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    docs = [(place[ids][keep], at[keep], n, y) for ids, at, n, y in docs for keep in [place[ids] >= 0]]
+    own, square = np.zeros(len(used)), np.full(len(used), 1e-2)
     order = np.random.RandomState(7)
     for _ in range(epochs):
         turn = order.permutation(len(docs))
         for start in range(0, len(turn), 32):
-            grads, where = [], []
-            for k in turn[start : start + 32]:
-                ids, at, n, y = docs[k]
-                z = BIAS + np.bincount(at, weights[ids], n)
-                p = 1.0 / (1.0 + np.exp(-np.clip(z, -50, 50)))
-                if y:
-                    whole = max(bag_probability(z), 1e-9)
-                    slope = -WEIGHT * (1.0 - whole) / whole * p
-                else:
-                    slope = p
-                grads.append(slope[at])
-                where.append(ids)
-            ids = np.concatenate(where)
-            hit, back = np.unique(ids, return_inverse=True)
-            grad = np.bincount(back, np.concatenate(grads), len(hit)) + decay * weights[hit]
+            batch = [docs[k] for k in turn[start : start + 32]]
+            sizes = np.array([n for _, _, n, _ in batch])
+            begin = np.cumsum(sizes) - sizes
+            ids = np.concatenate([x for x, _, _, _ in batch])
+            at = np.concatenate([x + k for (_, x, _, _), k in zip(batch, begin)])
+            z = BIAS + np.bincount(at, own[ids], sizes.sum())
+            whole = -np.expm1(-np.add.reduceat(np.logaddexp(0.0, z), begin))
+            slope = np.where([y for _, _, _, y in batch], -WEIGHT * (1.0 - whole) / np.maximum(whole, 1e-9), 1.0)
+            p = np.repeat(slope, sizes) / (1.0 + np.exp(-np.clip(z, -50, 50)))
+            hit = np.bincount(ids, minlength=len(used)) > 0
+            grad = np.bincount(ids, p[at], len(used))[hit] + decay * own[hit]
             square[hit] += grad * grad
-            weights[hit] -= rate * grad / np.sqrt(square[hit])
+            own[hit] -= rate * grad / np.sqrt(square[hit])
+    weights[used] = own
     return Model(weights.astype(np.float32))
 
 
