@@ -232,14 +232,30 @@ def test_vectors_equal_all_pairs(spark):
     assert graph_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
-def test_vectors_in_shards_and_blocks(spark, monkeypatch):
-    for name, value in {"SHARD": 20, "BLOCK": 15, "QUERIES": 15}.items():
+@pytest.mark.parametrize("sizes", [{"SHARD": 20, "LIMIT": 30, "BLOCK": 15, "QUERIES": 15}, {"SHARD": 10, "LIMIT": 15, "CENTROIDS": 3, "DEALT": 20, "SAMPLE": 40}])
+def test_vectors_in_shards_and_blocks(spark, monkeypatch, sizes):
+    """Cells split over one level or several, dealt in several tasks, searched in several blocks."""
+    for name, value in sizes.items():
         monkeypatch.setattr(graph_dedup, name, value)
     df = spark.createDataFrame(vectors(2), "vec_id long, embedding array<float>, label int")
     found, there = graph_dedup.audit(df, graph_dedup.near_duplicate_vectors(df), every=1)
     assert found <= there and found >= 0.9 * there
 
 
+def test_vectors_that_no_centroid_tells_apart(spark, monkeypatch):
+    """A hot vector in many copies is one class; a dense group of different ones stays whole and is searched in blocks."""
+    for name, value in {"SHARD": 20, "LIMIT": 30, "BLOCK": 25, "QUERIES": 25}.items():
+        monkeypatch.setattr(graph_dedup, name, value)
+    rng = np.random.RandomState(4)
+    base = rng.randn(8)
+    rows = [(i, base.tolist(), 1) for i in range(500)] + [(1000 + i, (base + 1e-3 * rng.randn(8)).tolist(), 1) for i in range(120)] + [(5000 + i, rng.randn(8).tolist(), 2) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in graph_dedup.near_duplicate_vectors(df).collect()}
+    assert all(got[i][0] == 619 and got[i][1] == 0 for i in range(500))
+    assert sum(got[1000 + i][0] for i in range(120)) >= 0.9 * 120 * 619 and all(got[1000 + i][1] == 0 for i in range(120))
+    assert all(got[5000 + i][0] <= 4 for i in range(5))
+
+
 def test_repeated_vector_rows(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (None, [1.0, 0.0], 1)], "vec_id long, embedding array<float>, label int")
     got = sorted(((r.vec_id, r.component_id, r.kept) for r in graph_dedup.near_duplicate_vectors(df).collect()), key=str)
