@@ -56,12 +56,12 @@ def test_streaming_keeps_characters_whole_and_lookahead_bounded():
     assert decoder.feed([0]) + decoder.feed([1]) + decoder.finish() == "��"
 
 
-@pytest.mark.parametrize("chunk,group", [(8 << 20, 4096), (20_000, 2)])
+@pytest.mark.parametrize("chunk,group", [(8 << 20, 64), (20_000, 2)])
 def test_token_counts_equal_the_library(spark, docs, odd, monkeypatch, chunk, group):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(token_counts, "CHUNK", chunk)
-    monkeypatch.setattr(token_counts, "GROUP", group)
+    monkeypatch.setattr(token_counts, "PARTITIONS", group)
     odd = odd.union(spark.createDataFrame([(2**62 + 1, "la " * 70_000 + "<|endoftext|>", "s", 0, "x", 1), (None, "no<|endoftext|>id", "s", 0, "x", 1)], odd.schema))
 
     path = P.path("word_bpe_49k.json")

@@ -1,15 +1,17 @@
 """Token counts without token ids.
 
-1. Each task splits its texts into pre-tokens and writes, for every chunk of texts, one row a distinct pre-token: the
-   documents that hold it and how often (three bytes a document).
-2. The distinct pre-tokens of all chunks are a table; a pre-token's pieces are counted once, wherever it occurs.
-3. Counts are joined to the frequencies by pre-token and group of chunks, so that a pre-token of every chunk is no single
-   group, and summed by chunk. No id is ever made of a document's text.
+1. Each task splits its texts into pre-tokens. For every chunk of texts it makes BUCKETS rows, by a hash of the pre-token:
+   the distinct pre-tokens, and for each the documents that hold it and how often.
+2. A bucket of all chunks is one task: a pre-token's pieces are counted there once, for all documents that hold it, joined to
+   their frequencies, and summed by document. Buckets are those of PARTITIONS input partitions, so that a pre-token of every
+   text is no single group; it is counted again only after that many gigabytes.
+3. The buckets' sums are added by chunk. No id is ever made of a document's text.
 """
 
 from __future__ import annotations
 
 import os
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -18,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, map_texts, release, resident, small_batches, staged, texts, trim
+from .common import ARROW_ROWS, release, resident, small_batches, texts, trim
 
 #: Fixed value: how word_bpe_49k.json splits a normalised text into pre-tokens.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Characters of a chunk's texts that are aimed at, its documents at most, and chunks of a group.
-CHUNK, CHUNK_ROWS, GROUP = 8 << 20, 60_000, 4096
+#: Characters of a chunk's texts that are aimed at, and its documents at most.
+CHUNK, CHUNK_ROWS = 8 << 20, 60_000
+#: Buckets of pre-tokens, and input partitions whose buckets are one task.
+BUCKETS, PARTITIONS = 128, 64
 #: Times that one entry of a frequency list can count; a more frequent one has several.
 _MOST = 255
 
@@ -76,49 +80,68 @@ class Chunk:
         self.special.append(-1 - special if doc_id is None else special)
         self.chars += len(text)
 
-    def rows(self, name: int) -> dict:
-        """A row for each pre-token, and one, without a pre-token, for the documents."""
-        code, times = np.unique(np.concatenate(self.found), return_counts=True)
+    def rows(self, name: int, group: int) -> dict:
+        """A row for each bucket with a pre-token, and one, of a bucket under 0, for the documents."""
+        pieces = sorted(self.index)
+        bucket = np.fromiter((zlib.crc32(p.encode("utf-8")) % BUCKETS for p in pieces), np.int64, len(pieces))
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(pieces), np.int64)
+        place[np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))[order]] = np.arange(len(pieces))
+        found = np.concatenate(self.found)
+        code, times = np.unique((place[found >> 16] << 16) | (found & 0xFFFF), return_counts=True)
         more = -(-times // _MOST)
         if len(more) and more.max() > 1:
             code, rest = np.repeat(code, more), np.repeat(times, more)
             rest -= _MOST * (np.arange(len(code)) - np.repeat(np.cumsum(more) - more, more))
             times = np.minimum(rest, _MOST)
-        at, times = (code & 0xFFFF).astype("<u2").tobytes(), times.astype(np.uint8).tobytes()
-        edge = np.searchsorted(code >> 16, np.arange(len(self.index) + 1)).tolist()
-        n = len(self.index)
-        return {
-            "chunk": [name] * (n + 1), "piece": [*self.index, None],
-            "at": [*(at[2 * a : 2 * b] for a, b in zip(edge, edge[1:])), None], "times": [*(times[a:b] for a, b in zip(edge, edge[1:])), None],
-            "ids": [None] * n + [self.ids], "sizes": [None] * n + [self.sizes], "special": [None] * n + [self.special],
-        }
-
-
-_ROWS = "chunk long, piece string, at binary, times binary, ids array<long>, sizes array<long>, special array<long>"
+        piece, at = code >> 16, code & 0xFFFF
+        entries = np.bincount(piece, minlength=len(pieces))
+        step = np.diff(at, prepend=0)  # documents of a pre-token by their distances
+        begin = (np.cumsum(entries) - entries)[entries > 0]
+        step[begin] = at[begin]
+        edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+        starts = np.searchsorted(piece, edges)
+        out: dict = {"grp": [group], "bucket": [-1 - name % 64], "chunk": [name], "docs": [len(self.ids)], "pieces": [b""], "entries": [b""], "at": [b""], "times": [b""]}
+        names = [pieces[i] for i in order]
+        for k in np.flatnonzero(np.diff(edges)):
+            lo, hi, a, b = edges[k], edges[k + 1], starts[k], starts[k + 1]
+            parts = ("\n".join(names[lo:hi]).encode("utf-8"), entries[lo:hi].astype("<u4").tobytes(), step[a:b].astype("<u2").tobytes(), times[a:b].astype(np.uint8).tobytes())
+            for key, value in zip(out, (group, int(k), name, len(self.ids), *(zlib.compress(x, 1) for x in parts))):
+                out[key].append(value)
+        none = [None] * (len(out["chunk"]) - 1)
+        return out | {"ids": [self.ids, *none], "sizes": [self.sizes, *none], "special": [self.special, *none]}
+
+
+_ROWS = "grp long, bucket int, chunk long, docs int, pieces binary, entries binary, at binary, times binary, ids array<long>, sizes array<long>, special array<long>"
+_SUMS = "chunk long, sums binary, ids array<long>, sizes array<long>, special array<long>"
 
 
 def frequencies(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of chunks: (chunk, piece, at, times), and (chunk, ids, sizes, special) with a null piece; ``special`` is minus one
-    and less where the id is null."""
-    kinds = {"chunk": pa.int64(), "piece": pa.string(), "at": pa.binary(), "times": pa.binary(), "ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64()), "special": pa.list_(pa.int64())}
+    """Rows of chunks: a bucket's pre-tokens (``pieces``) with their entries, or the documents (buckets under 0); ``special`` is
+    minus one and less where the id is null."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(_ROWS))
 
     def run(batches):
+        from pyspark import TaskContext
+
         release(("counter", path))
-        made, chunk = counter(path), Chunk()
+        made, chunk, part, n = counter(path), Chunk(), TaskContext.get().partitionId(), 0
 
         def done():
-            name = int.from_bytes(os.urandom(8), "little", signed=True)  # the table is written before it is read twice
-            rows = chunk.rows(name)
-            return pa.RecordBatch.from_pydict({k: pa.array(rows[k], t) for k, t in kinds.items()})
+            rows = chunk.rows(part << 32 | n, part // PARTITIONS)
+            return pa.RecordBatch.from_arrays([pa.array(rows[f.name], type=f.type) for f in arrow], schema=arrow)
 
         for batch in batches:
             for at in range(0, batch.num_rows, ARROW_ROWS):
-                part = batch.slice(at, ARROW_ROWS)
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                some = batch.slice(at, ARROW_ROWS)
+                for doc_id, text in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist()):
                     chunk.add(doc_id, text, made)
                     if chunk.chars >= CHUNK or len(chunk.ids) >= CHUNK_ROWS:
                         yield done()
-                        chunk = Chunk()
+                        chunk, n = Chunk(), n + 1
         if chunk.ids:
             yield done()
         del chunk
@@ -128,40 +151,46 @@ def frequencies(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     return texts(docs, id_col, text_col).mapInArrow(run, _ROWS)
 
 
-def piece_counts(pieces: DataFrame, path: str) -> DataFrame:
-    """(piece, n) for distinct ``pieces``: the tokens of each."""
+def _joined(path: str):
+    """The rows of one bucket: each distinct pre-token is counted once, and its count meets its entries in all chunks."""
 
-    def kernel(batch, made):
-        return {"piece": batch.column("piece"), "n": made.count(batch.column("piece").to_pylist())}
-
-    return map_texts(pieces, kernel, "piece string, n long", lambda: counter(path), ("counter", path))
-
-
-def _sums(pdf: pd.DataFrame) -> pd.DataFrame:
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        if int(pdf["bucket"].iloc[0]) < 0:
+            return pd.DataFrame({"chunk": pdf["chunk"], "sums": b"", "ids": pdf["ids"], "sizes": pdf["sizes"], "special": pdf["special"]})
+        release(("counter", path))
+        index: defaultdict = defaultdict()
+        index.default_factory = index.__len__
+        ids = [np.array([index[p] for p in zlib.decompress(x).decode("utf-8").split("\n")], np.int64) for x in pdf["pieces"]]
+        distinct, made = list(index), counter(path)
+        counts = np.array([n for at in range(0, len(distinct), 10_000) for n in made.count(distinct[at : at + 10_000])], np.int64)
+        sums = []
+        for own, docs, *parts in zip(ids, pdf["docs"], pdf["entries"], pdf["at"], pdf["times"]):
+            entries, step, times = (np.frombuffer(zlib.decompress(x), t).astype(np.int64) for x, t in zip(parts, ("<u4", "<u2", np.uint8)))
+            total = np.cumsum(step)
+            begin = np.cumsum(entries) - entries
+            at = total - np.repeat(total[begin] - step[begin], entries)
+            sums.append(zlib.compress(np.bincount(at, times * np.repeat(counts[own], entries), docs).astype("<u4").tobytes(), 1))
+        return pd.DataFrame({"chunk": pdf["chunk"], "sums": sums, "ids": None, "sizes": None, "special": None})
+
+    return join
+
+
+def _added(pdf: pd.DataFrame) -> pd.DataFrame:
     """The documents of one chunk with their tokens."""
     head = pdf[pdf["ids"].notna()].iloc[0]
-    pieces = pdf[pdf["ids"].isna()]
     special = np.array(head["special"], np.int64)
     total = np.where(special < 0, -1 - special, special)
-    times = np.frombuffer(b"".join(pieces["times"]), np.uint8).astype(np.int64)
-    at = np.frombuffer(b"".join(pieces["at"]), "<u2")
-    np.add.at(total, at, times * np.repeat(pieces["n"].to_numpy(np.int64), pieces["times"].map(len).to_numpy(np.int64)))
+    for x in pdf.loc[pdf["ids"].isna(), "sums"]:
+        total += np.frombuffer(zlib.decompress(x), "<u4")
     return pd.DataFrame({"doc_id": pd.Series(np.array(head["ids"], np.int64), dtype="Int64").mask(special < 0), "n_bytes": np.array(head["sizes"], np.int64), "n_tokens": total})
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit); a row for each row, a null id stays null. Null text: zero
-    bytes and tokens."""
-    rows = staged(frequencies(docs, path, id_col, text_col), "frequencies")
-    groups = max(1, -(-rows.where("piece IS NULL").count() // GROUP))
-    pieces = rows.where("piece IS NOT NULL").select("chunk", F.pmod(F.xxhash64("chunk"), F.lit(groups)).alias("part"), "piece", "at", "times")
-    each = staged(pieces.select("piece", "part").distinct(), "pieces")
-    once = staged(piece_counts(each.select("piece").distinct(), path), "piece-counts")
-    counts = each.join(once, "piece")
-    none = {c: F.lit(None).cast(t).alias(c) for c, t in (("at", "binary"), ("times", "binary"), ("n", "long"), ("ids", "array<long>"), ("sizes", "array<long>"), ("special", "array<long>"))}
-    found = pieces.join(counts, ["piece", "part"]).select("chunk", "at", "times", "n", *(none[c] for c in ("ids", "sizes", "special")))
-    heads = rows.where("piece IS NULL").select("chunk", *(none[c] for c in ("at", "times", "n")), "ids", "sizes", "special")
-    out = found.unionByName(heads).groupBy("chunk").applyInPandas(_sums, "doc_id long, n_bytes long, n_tokens long")
+    bytes and tokens. A text's pre-tokens may add up to 2 ** 32 tokens a bucket."""
+    rows = frequencies(docs, path, id_col, text_col)
+    sums = rows.groupBy("grp", "bucket").applyInPandas(_joined(path), _SUMS)
+    out = sums.groupBy("chunk").applyInPandas(_added, "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
