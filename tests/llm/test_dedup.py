@@ -124,7 +124,7 @@ def runs_of(cover):
     return [(lo, hi) for lo, hi in zip(edges, edges[1:]) if hi > lo and cover[lo]]
 
 
-def removed_by_brute_force(rows, length, passage=200, words=50):
+def removed_by_brute_force(rows, length, passage=suffix_dedup.PASSAGE, words=suffix_dedup.WORDS):
     out = []
     for (i, t), cover, short in zip(rows, covered([t for _, t in rows], length), covered([t for _, t in rows], passage)):
         rest = bytes(b for b, c in zip(t, cover) if not c)
@@ -169,8 +169,8 @@ def test_passages_of_over_fifty_words_go_although_shorter_than_400_bytes(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
     passage = " ".join(word() for _ in range(55))
-    line = " ".join(word() for _ in range(42)) + " " + "x" * 20
-    assert 250 < len(passage) < 400 and 200 < len(line) < 400
+    line = " ".join(word() for _ in range(42)) + " " + "x" * 60
+    assert suffix_dedup.PASSAGE < len(passage) < 400 and suffix_dedup.PASSAGE < len(line) < 400
     rows = [(i, " ".join(word() for _ in range(40)) + f" {passage if i < 20 else line} " + " ".join(word() for _ in range(40))) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"__id": F.lit(7), "__uid": F.lit("u"), "__rest": F.lit("r"), "row": F.lit("w"), "rest": F.lit("s")})
     out = {r.doc_id: r for r in suffix_dedup.without_repeats(df, suffix_dedup.PASSAGE, suffix_dedup.WORDS).collect()}
