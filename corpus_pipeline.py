@@ -37,7 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 words, or 400 bytes, and more that occur anywhere else; n_chars follows the text.
 
-    Passages are made of repeated strings of 200 bytes, which 50 words of prose are longer than.
+    Passages are made of repeated strings of 256 bytes, which 50 words of prose are longer than.
     """
     out = suffix_dedup.without_repeats(docs, suffix_dedup.PASSAGE, suffix_dedup.WORDS)
     return out.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
