@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import encoding as E
 from ..functions import lexical as L
+from ..staging import staged
 from .strings import score_totals, with_scores
 
-#: Hex digits of a needle by which it is looked up in haystacks before the whole is compared.
-SEED = 16
-#: Hex digits of the shortest needle: three numbers of a byte.
-SHORTEST = 6
+#: Digits of a needle by which it is looked up in haystacks: the most of these that it has. The least is that of three
+#: numbers of a byte.
+SEEDS = (6, 10, 16, 32, 64)
+#: Bytes of a haystack's block, without the overlap, and needles that are sent to every task at most.
+BLOCK, SENT = 1 << 15, 1_000_000
 
 
 def distinct_arrays(arrays: DataFrame, key: str, seq: str) -> DataFrame:
@@ -30,39 +34,55 @@ def needle_table(distinct: DataFrame, key: str, wide: bool = False) -> DataFrame
     return rows.select(key, "arr", "count", "score", E.needle(F.col("arr"), F.col("width")).alias("needle"))
 
 
-def seeds(text: Column, step: int, n: int = SEED) -> Column:
-    """All substrings of ``n`` characters at every ``step``-th place, distinct."""
-    last = F.length(text) - n
-    places = F.when(last >= 0, F.sequence(F.lit(1), F.greatest(last, F.lit(0)) + 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(n))))
+def _seed(data: Column, at, n: int) -> Column:
+    """Hash of ``n`` bytes from a place on."""
+    return F.xxhash64(F.lit(n), F.substring(data, at, F.lit(n)))
+
+
+def _seeds(data: Column, n: int) -> Column:
+    """The hashes at every place of a block, in order."""
+    last = F.least(F.length(data) - n + 1, F.lit(BLOCK))
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda at: _seed(data, at, n)))
+
+
+def blocks(haystacks: DataFrame, keys: list[str], data: Column, longest: int) -> DataFrame:
+    """``keys``, _block, _part: each haystack's bytes in overlapping parts, so that a needle of ``longest`` bytes at most stands
+    whole in the part where it begins."""
+    rows = haystacks.select(*keys, data.alias("_all"))
+    rows = rows.select(*keys, "_all", F.explode(F.sequence(F.lit(0), F.greatest(F.length("_all") - 1, F.lit(0)), F.lit(BLOCK))).alias("_block"))
+    return rows.select(*keys, "_block", F.substring("_all", F.col("_block") + 1, F.lit(BLOCK + longest - 1)).alias("_part"))
 
 
-def contained(needles: DataFrame, haystacks: DataFrame, keys: list[str], byte_aligned: bool, shortest: int, same: tuple[str, ...] = ()) -> DataFrame:
+def contained(needles: DataFrame, haystacks: DataFrame, keys: list[str], byte_aligned: bool, same: tuple[str, ...] = ()) -> DataFrame:
     """(``same``, ``keys``, needle) where ``needle`` stands in ``hex``, the haystack of ``keys``.
 
-    The first characters of a needle, as many of a few levels up to SEED as it has, meet the haystacks' substrings of that
-    length by an equi-join; each haystack with candidates is then read once, beside the list of them. Neither the
-    haystacks nor pairs without a common seed go through the join. ``byte_aligned`` counts even places only.
+    Haystacks are cut into overlapping blocks. The hash of a needle's first digits, as many of SEEDS as it has, meets the
+    hashes at all places of the blocks by an equi-join (needles are sent to every task if a count shows that they are
+    few); where they meet, the bytes from that place on are compared. No haystack, and no list of places or needles, is
+    ever one row. ``byte_aligned`` counts even places only: both sides are then compared as bytes, else as digits.
     """
-    step = 2 if byte_aligned else 1
-    size = F.length("needle")
-    levels = sorted({shortest, max(shortest, 10), max(shortest, SEED)})
-    asked = None
-    for n, following in zip(levels, [*levels[1:], None]):
-        fits = (size >= n) if following is None else (size >= n) & (size < following)
-        left = needles.where(fits).select(*same, "needle", F.substring("needle", 1, n).alias("_seed")).distinct()
-        right = haystacks.select(*same, *keys, F.explode(seeds(F.col("hex"), step, n)).alias("_seed"))
-        part = left.join(right, [*same, "_seed"]).select(*same, *keys, "needle")
-        asked = part if asked is None else asked.unionByName(part)
-    asked = asked.groupBy(*same, *keys).agg(F.collect_list("needle").alias("_asked"))
-    whole = (lambda x: F.unhex("hex").contains(F.unhex(x))) if byte_aligned else (lambda x: F.col("hex").contains(x))
-    return haystacks.join(asked, [*same, *keys]).select(*same, *keys, F.explode(F.filter("_asked", whole)).alias("needle"))
+    raw = (lambda c: F.unhex(c)) if byte_aligned else (lambda c: F.encode(c, "US-ASCII"))
+    sizes = [n // 2 for n in SEEDS] if byte_aligned else list(SEEDS)
+    bytes_, size = F.col("_bytes"), F.length("_bytes")
+    asked = needles.select(*same, "needle").distinct().withColumn("_bytes", raw("needle")).where(size >= sizes[0])
+    level = F.coalesce(*(F.when(size >= n, F.lit(n)) for n in reversed(sizes)))
+    own = F.coalesce(*(F.when(size >= n, _seed(bytes_, F.lit(1), n)) for n in reversed(sizes)))
+    asked = staged(asked.select(*same, "needle", "_bytes", level.alias("_level"), own.alias("_seed")), "needles")
+    few = asked.agg(F.collect_set("_level").alias("levels"), F.max(size).alias("longest"), F.count("*").alias("n")).first()
+    parts = staged(blocks(haystacks, [*same, *keys], raw("hex"), few.longest or sizes[0]), "blocks")
+    places = [parts.select(*same, *keys, "_block", F.posexplode(_seeds(F.col("_part"), n)).alias("_at", "_seed")) for n in sorted(few.levels)]
+    if not places:
+        return parts.where(F.lit(False)).select(*same, *keys, F.lit("").alias("needle"))
+    asked = asked.drop("_level")
+    hits = reduce(DataFrame.unionByName, places).join(F.broadcast(asked) if few.n <= SENT else asked, [*same, "_seed"])
+    there = F.substring("_part", F.col("_at") + 1, size) == bytes_
+    return hits.join(parts, [*same, *keys, "_block"]).where(there).select(*same, *keys, "needle").distinct()
 
 
 def without_subsumed(needles: DataFrame, key: str) -> DataFrame:
     """Needles that no strictly longer needle of the same ``key`` contains."""
     every = needles.select(key, "needle").distinct()
-    inside = contained(every, every.select(key, F.col("needle").alias("hex"), F.col("needle").alias("_long")), ["_long"], False, SHORTEST, (key,))
+    inside = contained(every, every.select(key, F.col("needle").alias("hex"), F.col("needle").alias("_long")), ["_long"], False, (key,))
     gone = inside.where(F.length("needle") < F.length("_long")).select(key, "needle").distinct()
     return needles.join(gone, [key, "needle"], "left_anti")
 
@@ -76,7 +96,7 @@ def match_arrays(needles: DataFrame, binaries: DataFrame, key: str, byte_aligned
     score = L.occurrence_score(F.col("count"), F.size("arr"), F.col("score"), use_score)
     arrays = needles.select(key, "arr", score.alias("points")).distinct()
     totals = arrays.groupBy(key).agg(F.sum("points").alias("total"))
-    found = contained(needles.select("needle"), binaries.select("bin_file", "hex"), ["bin_file"], byte_aligned, SHORTEST)
+    found = contained(needles.select("needle"), binaries.select("bin_file", "hex"), ["bin_file"], byte_aligned)
     hits = needles.select(key, "arr", "needle").join(found, "needle").select(key, "arr", "bin_file").distinct()
     found = hits.join(arrays, [key, "arr"]).groupBy(key, "bin_file").agg(F.sum("points").alias("success"))
     rows = found.join(totals, key).withColumn("similarity", F.try_divide("success", "total"))
@@ -102,7 +122,7 @@ def search_index(index: DataFrame, segments: DataFrame) -> DataFrame:
     """bin_file, seg, arr: arrays of the index whose bytes, in any width, stand in a segment's (byte aligned)."""
     arrays = index.select("arr").distinct()
     needles = arrays.select("arr", F.explode(E.needles(F.col("arr"))).alias("needle"))
-    found = contained(needles.select("needle"), segments.select("bin_file", "seg", "hex"), ["bin_file", "seg"], True, 2 * E.LEAST_LENGTH)
+    found = contained(needles.select("needle"), segments.select("bin_file", "seg", "hex"), ["bin_file", "seg"], True)
     return found.join(needles, "needle").select("bin_file", "seg", "arr").distinct()
 
 

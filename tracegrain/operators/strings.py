@@ -66,13 +66,14 @@ def with_scores(postings: DataFrame, projects: DataFrame, key: str, weight) -> D
     """Distinct postings (``key``, pj, dyn, ver) with pj_score and ver_score: weight times log10 of how rare the key is
     among projects, and among the project's versions. Keys of projects without versions go.
 
-    One shuffle by key gives both counts: a key's postings are a few projects' components.
+    Versions are gathered by key and component, projects are counted by key and joined back, so that a key of every project
+    is many rows.
     """
     counts = version_counts(projects)
     total = counts.agg(F.count("*").alias("projects"))  # one row
     rows = postings.select(key, "pj", "dyn", "ver").groupBy(key, "pj", "dyn").agg(F.collect_set("ver").alias("vers"))
-    rows = rows.groupBy(key).agg(F.collect_list(F.struct("pj", "dyn", "vers")).alias("rel"))
-    rows = rows.withColumns({"weight": weight(F.col(key)), "rel_projs": F.size(F.array_distinct(F.transform("rel", lambda r: r["pj"])))}).select(key, "weight", "rel_projs", F.inline("rel"))
+    rel = rows.select(key, "pj").distinct().groupBy(key).agg(F.count("*").alias("rel_projs"))
+    rows = rows.join(rel, key).withColumn("weight", weight(F.col(key)))
     rows = rows.join(counts, "pj").join(F.broadcast(total))
     scored = rows.select(
         key, "pj", "dyn", "weight", L.idf_score(F.col("weight"), F.col("projects"), F.col("rel_projs")).alias("pj_score"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import encoding as E
 from ..operators import arrays as A
+from ..staging import staged
 from . import bindings as B
 from .kernels import sql_continuous, sql_packed
 from .registry import query
@@ -15,13 +16,13 @@ _NEEDLE = f"array_to_string([{sql_packed('x', 'w')} for x in arr], '')"
 
 
 def _sources(spark, d):
-    """lib, arr, element_type, score, seq: arrays of the orders of one customer in seven, half with a type"""
+    """lib, arr, element_type, score, seq: arrays of all orders, half with a type"""
     rows = B.order_arrays(spark, d)
     kind = F.when(F.col("o_orderkey") % 2 == 0, F.lit("unsigned char"))
-    return rows.where("o_custkey % 7 = 0").select(F.concat_ws("-", "pj", "dyn").alias("lib"), "arr", kind.alias("element_type"), F.lit(1.0).alias("score"), F.col("o_orderkey").alias("seq"))
+    return rows.select(F.concat_ws("-", "pj", "dyn").alias("lib"), "arr", kind.alias("element_type"), F.lit(1.0).alias("score"), F.col("o_orderkey").alias("seq"))
 
 
-_SRC = f"""{B.SQL_ARRAYS}, sa AS (SELECT pj || '-' || dyn AS lib, arr, CASE WHEN o_orderkey % 2 = 0 THEN 'unsigned char' END AS element_type, o_orderkey AS seq FROM na WHERE o_custkey % 7 = 0),
+_SRC = f"""{B.SQL_ARRAYS}, sa AS (SELECT pj || '-' || dyn AS lib, arr, CASE WHEN o_orderkey % 2 = 0 THEN 'unsigned char' END AS element_type, o_orderkey AS seq FROM na),
   da AS (SELECT lib, arr, arg_min(coalesce(element_type, ''), seq) AS element_type, count(*) AS n FROM sa WHERE len(arr) >= 3 AND len([x for x in arr if x <> 0]) > 0 GROUP BY ALL),
   dw AS (SELECT lib, arr, n, unnest(CASE WHEN element_type <> '' THEN [2] ELSE [w for w in [2, 4, 8, 16] if w = 16 OR power(16, w) > list_max(arr)] END) AS w FROM da),
   nd AS (SELECT lib, arr, n, {_NEEDLE} AS needle FROM dw),
@@ -39,16 +40,16 @@ def needle_build(spark, d):
 
 @query("needle_subsumption", f"WITH {_SRC} SELECT lib, array_to_string(arr, ',') AS arr, needle FROM nk")
 def needle_subsumption(spark, d):
-    return A.without_subsumed(needles_of(spark, d), "lib").select("lib", F.array_join(F.col("arr").cast("array<string>"), ",").alias("arr"), "needle")
+    return A.without_subsumed(staged(needles_of(spark, d), "needles"), "lib").select("lib", F.array_join(F.col("arr").cast("array<string>"), ",").alias("arr"), "needle")
 
 
 #: Binaries: the needles of a customer's own orders, one after the other; typed as bytes in one segment, wide in another.
-_BYTES = f"""hx AS (SELECT o_custkey % 61 AS c, o_orderkey, arr, unnest([2, 8]) AS w FROM na WHERE o_custkey % 7 = 0 AND o_orderkey % 3 <> 0), hn AS (SELECT c, o_orderkey, w, {_NEEDLE} AS h FROM hx),
+_BYTES = f"""hx AS (SELECT o_custkey % 61 AS c, o_orderkey, arr, unnest([2, 8]) AS w FROM na WHERE o_orderkey % 3 <> 0), hn AS (SELECT c, o_orderkey, w, {_NEEDLE} AS h FROM hx),
   bb AS (SELECT 'bin' || c AS bin_file, CASE WHEN w = 2 THEN '.rdata' ELSE '.data' END AS seg, string_agg(h, '' ORDER BY o_orderkey) AS hex FROM hn GROUP BY ALL)"""
 
 
 def segments_of(spark, d):
-    rows = B.order_arrays(spark, d).where("o_custkey % 7 = 0 AND o_orderkey % 3 <> 0").select((F.col("o_custkey") % 61).alias("c"), "o_orderkey", "arr", F.explode(F.array(F.lit(2), F.lit(8))).alias("w"))
+    rows = B.order_arrays(spark, d).where("o_orderkey % 3 <> 0").select((F.col("o_custkey") % 61).alias("c"), "o_orderkey", "arr", F.explode(F.array(F.lit(2), F.lit(8))).alias("w"))
     rows = rows.select("c", "w", F.struct("o_orderkey", E.needle(F.col("arr"), F.col("w")).alias("h")).alias("x"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["h"]), "")
     return rows.groupBy("c", "w").agg(joined.alias("hex")).select(F.concat(F.lit("bin"), "c").alias("bin_file"), F.when(F.col("w") == 2, ".rdata").otherwise(".data").alias("seg"), "hex")
@@ -60,7 +61,8 @@ _MATCH = """wb AS (SELECT bin_file, string_agg(hex, '' ORDER BY seg) AS hex FROM
 
 def _matched(spark, d):
     whole = segments_of(spark, d).groupBy("bin_file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg", "hex"))), lambda x: x["hex"]), "").alias("hex"))
-    return A.match_arrays(A.without_subsumed(needles_of(spark, d), "lib"), whole, "lib")
+    needles = staged(needles_of(spark, d), "needles")
+    return A.match_arrays(staged(A.without_subsumed(needles, "lib"), "needles"), whole, "lib")
 
 
 @query("num_match", f"""WITH {_SRC}, {_BYTES}, {_MATCH} SELECT lib, bin_file, round(success, 6) AS success, round(total, 6) AS total, round(success / total, 6) AS similarity,
@@ -77,7 +79,7 @@ def enum_match(spark, d):
 
 
 #: The index by SQL. Entropy is given: twelve for all arrays but those of a customer in five.
-_INDEX = f"""{B.SQL_ARRAYS}, en AS (SELECT pj, dyn, ver, CASE WHEN o_custkey % 5 = 0 THEN 5 ELSE 12 END AS entropy, [i for i in range(1, len(arr) + 1) if arr[i] <> 0] AS nz, arr FROM na WHERE o_custkey % 7 = 0),
+_INDEX = f"""{B.SQL_ARRAYS}, en AS (SELECT pj, dyn, ver, CASE WHEN o_custkey % 5 = 0 THEN 5 ELSE 12 END AS entropy, [i for i in range(1, len(arr) + 1) if arr[i] <> 0] AS nz, arr FROM na),
   tr AS (SELECT pj, dyn, ver, entropy, arr[nz[1]:nz[-1]] AS arr FROM en), fw AS (SELECT arr, count(DISTINCT pj) AS projects, max(entropy) AS entropy FROM tr GROUP BY arr),
   tk AS (SELECT arr FROM fw WHERE len(arr) >= 4 AND entropy >= 10 AND projects < 10 AND NOT {sql_continuous('arr')}), post AS (SELECT DISTINCT arr, pj, dyn, ver FROM tr SEMI JOIN tk USING (arr)),
   pv AS (SELECT pj, count(DISTINCT ver) AS ver_cnt FROM na GROUP BY pj), rp AS (SELECT arr, count(DISTINCT pj) AS rel FROM post GROUP BY arr), rv AS (SELECT arr, pj, dyn, count(*) AS rel_ver FROM post GROUP BY ALL),
@@ -87,7 +89,7 @@ _INDEX = f"""{B.SQL_ARRAYS}, en AS (SELECT pj, dyn, ver, CASE WHEN o_custkey % 5
 
 def index_of(spark, d):
     rows = B.order_arrays(spark, d)
-    some = rows.where("o_custkey % 7 = 0").select("pj", "dyn", "ver", "arr", F.when(F.col("o_custkey") % 5 == 0, 5).otherwise(12).alias("entropy"))
+    some = rows.select("pj", "dyn", "ver", "arr", F.when(F.col("o_custkey") % 5 == 0, 5).otherwise(12).alias("entropy"))
     return A.array_index(some, rows.select("pj", "ver"))
 
 
@@ -102,13 +104,13 @@ def array_totals(spark, d):
 
 
 _SEARCH = f"""sn AS (SELECT arr, unnest([w for w in [2, 4, 8, 16] if w = 16 OR power(16, w) > list_max(arr)]) AS w FROM (SELECT DISTINCT arr FROM ix)), sx AS (SELECT arr, {_NEEDLE} AS needle FROM sn),
-  fh AS (SELECT DISTINCT bin_file, seg, arr FROM bb JOIN sx ON contains(hex, needle) WHERE len([1 for p in range(1, length(hex) - length(needle) + 2, 2) if substr(hex, p, length(needle)) = needle]) > 0),
+  fh AS (SELECT DISTINCT bin_file, seg, arr FROM (SELECT bin_file, seg, regexp_replace(hex, '(..)', '\\1 ', 'g') AS bytes FROM bb) JOIN (SELECT arr, regexp_replace(needle, '(..)', '\\1 ', 'g') AS part FROM sx) ON contains(bytes, part)),
   sc AS (SELECT bin_file, pj, dyn, ver, sum(pj_score) AS pj_score, sum(ver_score) AS ver_score, count(*) AS matched_count, sum(len(arr)) AS matched_len FROM fh JOIN ix USING (arr) GROUP BY ALL)"""
 
 
 @query("array_match_index", f"""WITH {_INDEX}, {_BYTES}, {_SEARCH} SELECT bin_file, pj, dyn, ver, round(pj_score, 6) AS pj_score, round(ver_score, 6) AS ver_score, matched_count, CAST(matched_len AS BIGINT) AS matched_len FROM sc""")
 def array_match_index(spark, d):
-    index = index_of(spark, d)
+    index = staged(index_of(spark, d), "index")
     scores = A.array_scores(A.search_index(index, segments_of(spark, d)), index)
     return scores.select("bin_file", "pj", "dyn", "ver", *_r("pj_score", "ver_score"), "matched_count", "matched_len")
 
@@ -120,7 +122,7 @@ _RULE = """(total_count > 5 OR total_len > 50 OR total_pj_score > 50) AND pj_sco
   SELECT pj, dyn, ver, round(c, 6) AS count_sim, round(n, 6) AS len_sim, round(s, 6) AS score_sim FROM q WHERE {_RULE}""")
 def array_candidates(spark, d):
     """The rule on all binaries of one product together."""
-    index = index_of(spark, d)
+    index = staged(index_of(spark, d), "index")
     scores = A.array_scores(A.search_index(index, segments_of(spark, d)), index)
     product = scores.groupBy(F.lit("all").alias("bin_file"), "pj", "dyn", "ver").agg(*(F.sum(c).alias(c) for c in ("pj_score", "matched_count", "matched_len")))
     return A.array_candidates(product, A.array_totals(index)).select("pj", "dyn", "ver", *_r("count_sim", "len_sim", "score_sim"))
@@ -145,7 +147,7 @@ def passby_counts(spark, d):
     return inner.join(stored, "arr", "left_semi").groupBy("arr").agg(F.count("*").alias("inside")).select(F.array_join(F.col("arr").cast("array<string>"), ",").alias("arr"), "inside")
 
 
-@query("array_lookup", f"WITH {_INDEX} SELECT o_orderkey, pj, dyn, ver, round(pj_score, 6) AS pj_score FROM (SELECT o_orderkey, arr FROM na WHERE o_custkey % 11 = 0) JOIN ix USING (arr)")
+@query("array_lookup", f"WITH {_INDEX} SELECT o_orderkey, ix.pj, ix.dyn, ix.ver, round(pj_score, 6) AS pj_score FROM na JOIN ix USING (arr)")
 def array_lookup(spark, d):
-    asked = B.order_arrays(spark, d).where("o_custkey % 11 = 0").select("o_orderkey", "arr")
+    asked = B.order_arrays(spark, d).select("o_orderkey", "arr")
     return asked.join(index_of(spark, d), "arr").select("o_orderkey", "pj", "dyn", "ver", *_r("pj_score"))

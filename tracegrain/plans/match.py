@@ -11,6 +11,7 @@ from ..operators import arrays as A
 from ..operators import strings as S
 from ..operators import switches as W
 from ..operators import symbols as Y
+from ..staging import staged
 
 FAMILIES = ("export", "func_name", "string", "string_array", "const_enum_array", "const_num_array", "switch_case", "if_else")
 _COLUMNS = ("bin_file", "library", "dyn", "feature", "matched", "similarity", "score")
@@ -53,7 +54,8 @@ def match(libraries: dict[str, DataFrame], binaries: dict[str, DataFrame], featu
     for feature, table in (("const_enum_array", "enum_array"), ("const_num_array", "num_array")):
         if feature in features and has(libraries, table) and has(binaries, "bytes"):
             arrays = libraries[table].withColumn("lib", key)
-            needles = A.without_subsumed(A.needle_table(A.distinct_arrays(arrays, "lib", "seq"), "lib", wide), "lib")
+            needles = staged(A.needle_table(A.distinct_arrays(arrays, "lib", "seq"), "lib", wide), "needles")
+            needles = staged(A.without_subsumed(needles, "lib"), "needles")
             rows = A.match_arrays(needles, binaries["bytes"], "lib", byte_aligned, use_score)
             take(rows, feature, F.col("similarity"), F.col("success"), "lib")
     if "switch_case" in features and has(libraries, "switch") and has(binaries, "switch"):
