@@ -81,10 +81,14 @@ def string_normalize(spark, d):
     return S.binary_side(B.binary_strings(spark, d)).groupBy("bin_file", "value").agg(F.count("*").alias("n"))
 
 
-@query("string_match_pairwise", f"""WITH {B.SQL_WORDS}, u AS (SELECT pj, dyn, {_UNQUOTED.format('value')} AS value FROM src), lib AS (SELECT DISTINCT pj, dyn, value FROM u WHERE NOT {_ORDINARY.format('value')}),
+#: Pairs by strings: m (pj, dyn, bin_file, c, weights) with the totals t (pj, dyn, n, w).
+SQL_PAIRWISE = f"""u AS (SELECT pj, dyn, {_UNQUOTED.format('value')} AS value FROM src), lib AS (SELECT DISTINCT pj, dyn, value FROM u WHERE NOT {_ORDINARY.format('value')}),
   lw AS (SELECT *, CASE WHEN contains(value, ' ') THEN NULL ELSE {sql_word_weight('value', 'pj')} END AS weight FROM lib),
   t AS (SELECT pj, dyn, count(*) AS n, sum(weight) AS w FROM lw GROUP BY ALL), b AS (SELECT * FROM bin WHERE NOT starts_with(value, '?') AND NOT starts_with(value, '.?') AND NOT {_ORDINARY.format('value')}),
-  m AS (SELECT pj, dyn, bin_file, count(*) AS c, sum(weight) AS weights FROM lw JOIN b USING (value) GROUP BY ALL)
+  m AS (SELECT pj, dyn, bin_file, count(*) AS c, sum(weight) AS weights FROM lw JOIN b USING (value) GROUP BY ALL)"""
+
+
+@query("string_match_pairwise", f"""WITH {B.SQL_WORDS}, {SQL_PAIRWISE}
   SELECT pj, dyn, bin_file, round(c / n, 6) AS percent, round(weights, 6) AS weights, round(weights / w, 6) AS weight_percent, c / n > 0.5 OR (weights > 100 AND weights / w > 0.1) AS matched FROM m JOIN t USING (pj, dyn)""")
 def string_match_pairwise(spark, d):
     out = S.match_pairwise(B.source_strings(spark, d), B.binary_strings(spark, d))
@@ -92,7 +96,7 @@ def string_match_pairwise(spark, d):
 
 
 @query("string_array_match", f"""WITH {B.SQL_WORDS}, lns AS (SELECT doc_id, source AS pj, lang AS dyn, generate_subscripts(string_split(text, chr(10)), 1) AS ln, unnest(string_split(text, chr(10))) AS line FROM documents WHERE (doc_id // 20) % 5 <> 0),
-  a AS (SELECT doc_id, ln, pj, dyn, [{_UNQUOTED.format('x')} for x in string_split(line, ' ')[1:5]] AS arr FROM lns), l AS (SELECT * FROM a WHERE len(arr) >= 3),
+  a AS (SELECT doc_id, ln, pj, dyn, [{_UNQUOTED.format('x')} for x in string_split(line, ' ')] AS arr FROM lns), l AS (SELECT * FROM a WHERE len(arr) >= 3),
   t AS (SELECT pj, dyn, count(*) AS arrays, sum(len(arr)) AS items, sum(list_sum([length(x) for x in arr])) AS chars FROM l GROUP BY ALL),
   i AS (SELECT doc_id, ln, pj, dyn, len(arr) AS n, unnest(list_distinct(arr)) AS value FROM l), bd AS (SELECT DISTINCT bin_file, value FROM bin),
   e AS (SELECT doc_id, ln, pj, dyn, n, bin_file, count(*) AS hit, sum(length(value)) AS hc FROM i JOIN bd USING (value) GROUP BY ALL),
@@ -101,7 +105,7 @@ def string_match_pairwise(spark, d):
     ha / arrays >= 0.5 OR greatest(hs / items, hc / chars) >= 0.6 AS matched FROM f JOIN t USING (pj, dyn)""")
 def string_array_match(spark, d):
     docs = B.table(spark, d, "documents").where("(doc_id div 20) % 5 <> 0").select("doc_id", F.col("source").alias("pj"), F.col("lang").alias("dyn"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    arrays = docs.select(F.struct("doc_id", "at").alias("id"), "pj", "dyn", F.slice(F.split("line", " ", -1), 1, 5).alias("arr"))
+    arrays = docs.select(F.struct("doc_id", "at").alias("id"), "pj", "dyn", F.split("line", " ", -1).alias("arr"))
     out = S.match_string_arrays(arrays, B.binary_strings(spark, d))
     return out.select("pj", "dyn", "bin_file", *_r("array_percent", "string_percent", "char_percent"), "matched_strings", "matched")
 

@@ -28,18 +28,18 @@ def switch_normalize(spark, d):
     return rows.select("key", _text("case_value").alias("case_value"), F.array_join(S.case_pool(F.col("case_value")).cast("array<string>"), ",").alias("case_pool"))
 
 
-@query("switch_merge", f"""WITH {B.SQL_SWITCHES}, q AS (SELECT key, [[v // 25 for v in b] for b in case_value][1:2] AS case_value FROM sw)
+@query("switch_merge", f"""WITH {B.SQL_SWITCHES}, q AS (SELECT key, [[v // 25 for v in b] for b in case_value] AS case_value FROM sw)
   SELECT {_TEXT.format('case_value')} AS case_value, arg_min(key % 100, key) AS ncases, string_agg('f' || key, ',' ORDER BY key) AS functions FROM q GROUP BY case_value""")
 def switch_merge(spark, d):
     rows = B.source_switches(spark, d).select("key", F.when(F.col("key") % 3 == 0, F.transform("case_value", lambda b: F.transform(b, lambda v: v - 1))).otherwise(F.col("case_value")).alias("case_value"))
-    rows = rows.select(F.lit("all").alias("lib"), "key", F.concat(F.lit("f"), "key").alias("function"), (F.col("key") % 100).alias("ncases"), F.lit(2).alias("targets"), F.slice(F.transform("case_value", lambda b: F.transform(b, lambda v: F.floor(v / 25))), 1, 2).alias("case_value"))
+    rows = rows.select(F.lit("all").alias("lib"), "key", F.concat(F.lit("f"), "key").alias("function"), (F.col("key") % 100).alias("ncases"), F.lit(2).alias("targets"), F.transform("case_value", lambda b: F.transform(b, lambda v: F.floor(v / 25))).alias("case_value"))
     return S.merged_switches(rows, ["lib"], "key").select(_text("case_value").alias("case_value"), "ncases", F.array_join("functions", ",").alias("functions"))
 
 
-@query("switch_special", f"""WITH {B.SQL_SWITCHES}, q AS (SELECT key, case_value[1:key % 7 + 1] AS cv FROM ssw) SELECT key, len(cv) >= 4 AND (len(flatten(cv)) - len(cv) > 1 OR cv[-1][1] - cv[1][1] > len(cv) + 3) AS special_source,
+@query("switch_special", f"""WITH {B.SQL_SWITCHES}, q AS (SELECT key, case_value AS cv FROM ssw) SELECT key, len(cv) >= 4 AND (len(flatten(cv)) - len(cv) > 1 OR cv[-1][1] - cv[1][1] > len(cv) + 3) AS special_source,
   len(cv) >= 3 AND (len(flatten(cv)) - len(cv) > 1 OR cv[-1][1] - cv[1][1] > len(cv) + 3) AS special_binary FROM q""")
 def switch_special(spark, d):
-    rows = _full(B.source_switches(spark, d).select("key", F.slice("case_value", 1, (F.col("key") % 7 + 1).cast("int")).alias("case_value")))
+    rows = _full(B.source_switches(spark, d))
     test = lambda s: S.is_special(F.col("targets"), F.col("ncases"), F.col("case_value"), s)
     return rows.select("key", test(True).alias("special_source"), test(False).alias("special_binary"))
 
@@ -56,21 +56,25 @@ def delete_one(spark, d):
 _MOVED = "[[v - list_min(flatten(case_value)) for v in b] for b in case_value]"
 
 
-@query("rebase_match", f"""WITH {B.SQL_SWITCHES}, {_PAIRS}, s AS (SELECT key, [[v + 3 for v in b] for b in case_value] AS case_value FROM sw WHERE key % 5 = 0), b0 AS (SELECT key AS b_key, [[v - list_min(flatten(case_value)) for v in b] for b in case_value] AS c FROM sw),
+@query("rebase_match", f"""WITH {B.SQL_SWITCHES}, {_PAIRS}, s AS (SELECT key, [[v + 3 for v in b] for b in case_value] AS case_value FROM sw), b0 AS (SELECT key AS b_key, [[v - list_min(flatten(case_value)) for v in b] for b in case_value] AS c FROM sw),
   b1 AS (SELECT b_key, list_sort(list_append(c, [CAST(99 AS BIGINT)])) AS c FROM b0), bz AS (SELECT b_key, unnest(list_distinct([c[1:i - 1] || c[i + 1:] for i in range(1, len(c) + 1)])) AS k FROM b1)
   SELECT key, b_key FROM (SELECT key, {_MOVED} AS k FROM s) JOIN bz USING (k)""")
 def rebase_match(spark, d):
     plain = B.binary_switches(spark, d).where("key % 2 = 1").unionByName(B.binary_switches(spark, d).where("key % 2 = 0").select("key", F.filter("case_value", lambda b: b != F.array(F.lit(0).cast("long"))).alias("case_value")))
-    source = plain.where("key % 5 = 0").select("key", F.transform("case_value", lambda b: F.transform(b, lambda v: v + 3)).alias("case_value"))
+    source = plain.select("key", F.transform("case_value", lambda b: F.transform(b, lambda v: v + 3)).alias("case_value"))
     binary = plain.select("key", F.array_sort(F.concat(S.rebased(F.col("case_value")), F.array(F.array(F.lit(99).cast("long"))))).alias("case_value"))
     return S.delete_one_pairs(source, binary).where("rebased").select("key", "b_key")
 
 
-@query("switch_match", f"""WITH {B.SQL_SWITCHES}, {_PAIRS}, sp AS (SELECT key % 50 AS lib, case_value FROM ssw WHERE len(case_value) >= 4 AND (len(flatten(case_value)) - len(case_value) > 1 OR case_value[-1][1] - case_value[1][1] > len(case_value) + 3)),
+#: Switches: c (lib, bin, c) with n (lib, special).
+SQL_MATCHED = f"""{_PAIRS}, sp AS (SELECT key % 50 AS lib, case_value FROM ssw WHERE len(case_value) >= 4 AND (len(flatten(case_value)) - len(case_value) > 1 OR case_value[-1][1] - case_value[1][1] > len(case_value) + 3)),
   n AS (SELECT lib, count(*) AS special FROM sp GROUP BY 1), z AS (SELECT * FROM bv WHERE len([b for b in b_case_value if list_contains(b, 0)]) > 0),
   h AS (SELECT lib, case_value, b_key FROM sp JOIN bv ON case_value = k UNION SELECT lib, case_value, b_key FROM (SELECT lib, case_value, {_MOVED} AS k FROM sp WHERE len([b for b in case_value if list_contains(b, 0)]) = 0) JOIN z USING (k)),
-  c AS (SELECT lib, b_key % 20 AS bin, count(DISTINCT case_value) AS c FROM h GROUP BY ALL)
-  SELECT 'lib' || lib AS lib, 'bin' || bin AS bin_file, special, c AS count, special >= 5 AND ((c > 2 AND c / special * 100 >= 50) OR (c > 5 AND c / special * 100 >= 20)) AS matched FROM c JOIN n USING (lib)""")
+  c AS (SELECT lib, b_key % 20 AS bin, count(DISTINCT case_value) AS c FROM h GROUP BY ALL)"""
+_MATCHED = "special >= 5 AND ((c > 2 AND c / special * 100 >= 50) OR (c > 5 AND c / special * 100 >= 20))"
+
+
+@query("switch_match", f"""WITH {B.SQL_SWITCHES}, {SQL_MATCHED} SELECT 'lib' || lib AS lib, 'bin' || bin AS bin_file, special, c AS count, {_MATCHED} AS matched FROM c JOIN n USING (lib)""")
 def switch_match(spark, d):
     source = _full(B.source_switches(spark, d)).withColumn("lib", F.concat(F.lit("lib"), F.col("key") % 50))
     binary = _full(B.binary_switches(spark, d)).withColumn("bin_file", F.concat(F.lit("bin"), F.col("key") % 20))
@@ -98,7 +102,20 @@ def nested_if_overlap(spark, d):
     return S.chain_overlaps(*_sides(spark, d)).where("percent > 40").select("s_id", "b_id", "overlap", *_r("percent"))
 
 
-@query("nested_if_match")
+#: Sources in order, each with the binary chains that it would take, best first; what a pair has used up goes with the recursion.
+_GREEDY = """l AS (SELECT * FROM ch WHERE len(chain) >= 3),
+  s AS (SELECT 'lib' || (user_id % 40) AS lib, row_number() OVER (PARTITION BY user_id % 40 ORDER BY day, user_id) AS i, chain FROM l WHERE user_id % 2 = 0),
+  b AS (SELECT 'bin' || (user_id % 41) AS bin_file, row_number() OVER (PARTITION BY user_id % 41 ORDER BY day, user_id) AS j, chain FROM l WHERE user_id % 2 = 1),
+  ss AS (SELECT lib, i, unnest(list_distinct(chain)) AS step FROM s), bs AS (SELECT bin_file, j, unnest(list_distinct(chain)) AS step FROM b),
+  ov AS (SELECT lib, i, bin_file, j, count(*) AS n FROM ss JOIN bs USING (step) GROUP BY ALL), ns AS (SELECT lib, count(*) AS n FROM s GROUP BY lib HAVING count(*) >= 3),
+  cd AS (SELECT lib, i, bin_file, j, s.chain = b.chain AS same, n FROM ov JOIN s USING (lib, i) JOIN b USING (bin_file, j) WHERE s.chain = b.chain OR (n >= 3 AND n / greatest(len(s.chain), len(b.chain)) * 100 > 40)),
+  cl AS (SELECT lib, bin_file, i, list({'other': NOT same, 'less': CASE WHEN same THEN 0 ELSE -n END, 'j': j} ORDER BY NOT same, CASE WHEN same THEN 0 ELSE -n END, j) AS x FROM cd GROUP BY ALL),
+  g(lib, bin_file, i, used, taken, whole) AS (SELECT DISTINCT lib, bin_file, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM ov SEMI JOIN ns USING (lib)
+    UNION ALL SELECT lib, bin_file, i, CASE WHEN y IS NULL THEN used ELSE list_append(used, y.j) END, taken + CASE WHEN y IS NULL THEN 0 ELSE 1 END, whole + CASE WHEN y IS NOT NULL AND NOT y.other THEN 1 ELSE 0 END
+    FROM (SELECT g.lib, g.bin_file, g.i + 1 AS i, used, taken, whole, list_filter(cl.x, lambda z: NOT list_contains(used, z.j))[1] AS y FROM g JOIN ns ON g.lib = ns.lib AND g.i < ns.n LEFT JOIN cl ON cl.lib = g.lib AND cl.bin_file = g.bin_file AND cl.i = g.i + 1))"""
+
+
+@query("nested_if_match", f"""WITH RECURSIVE {B.SQL_CHAINS}, {_GREEDY} SELECT lib, bin_file, taken AS count, whole AS "full", round(taken / n * 100, 6) AS similarity, taken > 5 AND taken / n * 100 > 75 AS matched FROM g JOIN ns USING (lib) WHERE i = n""")
 def nested_if_match(spark, d):
     source, binary = _sides(spark, d)
     source = source.select(F.concat(F.lit("lib"), F.col("user_id") % 40).alias("lib"), F.struct("day", "user_id").alias("seq"), "chain")

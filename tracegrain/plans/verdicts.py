@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import strings as S
 from ..operators import verdicts as V
 from . import bindings as B
-from .arrays import _BYTES, _INDEX, _SEARCH
+from .arrays import _BYTES, _INDEX, _RULE, _SEARCH
 from .arrays import index_of as arrays_of
 from .arrays import segments_of
+from ..staging import staged
 from .registry import query
 from .strings import _WITH, candidates_of, index_of, _r
 from ..operators import arrays as A
@@ -44,37 +45,65 @@ def pair_overlap(spark, d):
     return V.pair_overlap(hits, "bin_file", keys, "value").select("bin_file", name("a"), name("b"), "overlap")
 
 
+def sql_greedy(strings: bool) -> str:
+    """k2 (bin_file, pj, dyn, ver): what two greedy passes leave of cd (with mc, tc) by the items it (with value)."""
+    first = "n / b.mc >= 0.85 AND n * 1.3 <= a.mc" if strings else "n / b.mc > 0.85 AND n * 1.3 < a.mc"
+    second = "n / a.mc >= 0.85 AND b.tc / a.tc >= 1.3" if strings else "n / a.mc > 0.85 AND b.tc / a.tc < 1.3"
+
+    def one(k: int, rows: str, order: str, gone: str) -> str:
+        return f"""o{k} AS (SELECT *, row_number() OVER (PARTITION BY bin_file ORDER BY {order}, pj, dyn, ver) AS i FROM {rows}),
+  v{k} AS (SELECT bin_file, value, i FROM it JOIN o{k} USING (bin_file, pj, dyn, ver)), n{k} AS (SELECT bin_file, a.i AS ai, b.i AS bi, count(*) AS n FROM v{k} a JOIN v{k} b USING (bin_file, value) WHERE a.i < b.i GROUP BY ALL),
+  x{k} AS (SELECT bin_file, bi, list(ai) AS killers FROM n{k} JOIN o{k} a USING (bin_file) JOIN o{k} b USING (bin_file) WHERE a.i = ai AND b.i = bi AND {gone} GROUP BY ALL),
+  r{k}(bin_file, i, kept) AS (SELECT DISTINCT bin_file, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM o{k} UNION ALL SELECT o.bin_file, o.i, CASE WHEN list_has_any(kept, coalesce(killers, [])) THEN kept ELSE list_append(kept, o.i) END
+    FROM r{k} r JOIN o{k} o ON o.bin_file = r.bin_file AND o.i = r.i + 1 LEFT JOIN x{k} x ON x.bin_file = o.bin_file AND x.bi = o.i),
+  k{k} AS (SELECT o.* EXCLUDE (i) FROM o{k} o JOIN (SELECT bin_file, unnest(arg_max(kept, i)) AS i FROM r{k} GROUP BY bin_file) USING (bin_file, i))"""
+
+    return f"{one(1, 'cd', 'mc DESC', first)},\n  {one(2, 'k1', 'mc', second)}"
+
+
+_STRINGS = f"""WITH RECURSIVE {_WITH[5:]}, cd AS (SELECT bin_file, pj, dyn, ver, matched_count AS mc, total_count AS tc FROM cand), it AS (SELECT DISTINCT bin_file, pj, dyn, ver, value FROM hit SEMI JOIN cand USING (bin_file, pj, dyn, ver)),
+  {sql_greedy(True)}"""
+
+
 def kept_strings(spark, d):
-    return V.greedy_dedup(candidates_of(spark, d), S.probe(index_of(spark, d), B.binary_strings(spark, d)), "value", True)
+    index = staged(index_of(spark, d), "index")
+    hits = staged(S.probe(index, B.binary_strings(spark, d)), "hits")
+    found = staged(S.string_candidates(S.score_tables(hits), S.score_totals(index)), "candidates")
+    return V.greedy_dedup(found, hits, "value", True)
 
 
-@query("greedy_dedup_string")
+@query("greedy_dedup_string", f"{_STRINGS} SELECT bin_file, pj, dyn, ver FROM k2")
 def greedy_dedup_string(spark, d):
     return kept_strings(spark, d)
 
 
-@query("string_verdict")
+@query("string_verdict", f"{_STRINGS}, {_SQL_ALIAS} SELECT DISTINCT bin_file, {_FOLD} AS name FROM k2 s LEFT JOIN al o ON o.pj = s.pj AND o.dyn = s.dyn LEFT JOIN al g ON g.pj = s.pj AND g.dyn = '' WHERE coalesce(o.alias_pj, '') <> '' OR g.alias_pj IS NULL OR g.alias_pj <> ''")
 def string_verdict(spark, d):
     return V.verdict(kept_strings(spark, d), alias_of(spark))
 
 
-@query("greedy_dedup_array")
+_ARRAYS = f"""WITH RECURSIVE {_INDEX}, {_BYTES}, {_SEARCH}, q AS (SELECT *, matched_count / total_count AS c, matched_len / total_len AS n, pj_score / total_pj_score AS s FROM (SELECT 'all' AS bin_file, pj, dyn, ver, sum(pj_score) AS pj_score, sum(matched_count) AS matched_count, sum(matched_len) AS matched_len
+    FROM sc GROUP BY ALL) JOIN tot USING (pj, dyn, ver) WHERE total_pj_score <> 0),
+  cd AS (SELECT bin_file, pj, dyn, ver, matched_count AS mc, total_count AS tc FROM q WHERE {_RULE}), it AS (SELECT DISTINCT 'all' AS bin_file, pj, dyn, ver, arr AS value FROM fh JOIN ix USING (arr)), {sql_greedy(False)}"""
+
+
+@query("greedy_dedup_array", f"{_ARRAYS} SELECT bin_file, pj, dyn, ver FROM k2")
 def greedy_dedup_array(spark, d):
-    index = arrays_of(spark, d)
-    hits = A.search_index(index, segments_of(spark, d)).withColumn("bin_file", F.lit("all"))
-    scores = A.array_scores(hits, index)
+    index = staged(arrays_of(spark, d), "index")
+    hits = staged(A.search_index(index, segments_of(spark, d)).withColumn("bin_file", F.lit("all")), "hits")
+    found = staged(A.array_candidates(A.array_scores(hits, index), A.array_totals(index)), "candidates")
     items = hits.join(index.select("arr", "pj", "dyn", "ver"), "arr").withColumn("item", F.concat_ws(",", F.col("arr").cast("array<string>")))
-    return V.greedy_dedup(A.array_candidates(scores, A.array_totals(index)), items, "item", False)
+    return V.greedy_dedup(found, items, "item", False)
 
 
 @query("merge_tables", f"""{_WITH}, p AS (SELECT bin_file, pj, dyn, ver, pj_score, value, CASE WHEN length(value) % 2 = 0 THEN 1 ELSE 2 END AS part FROM hit)
-  SELECT bin_file, pj, dyn, ver, round(sum(pj_score), 6) AS pj_score, count(*) AS n, array_to_string(list_sort(list(part || ':' || length(value)))[1:20], ' ') AS first_items FROM p GROUP BY ALL""")
+  SELECT bin_file, pj, dyn, ver, round(sum(pj_score), 6) AS pj_score, count(*) AS n, array_to_string(list_sort(list(part || ':' || length(value))), ' ') AS items FROM p GROUP BY ALL""")
 def merge_tables(spark, d):
     hits = S.probe(index_of(spark, d), B.binary_strings(spark, d)).withColumn("size", F.length("value"))
     keys = ["bin_file", "pj", "dyn", "ver"]
     table = lambda k: hits.where(F.col("size") % 2 == k).groupBy(*keys).agg(F.sum("pj_score").alias("pj_score"), F.count("*").alias("n"), F.collect_list("size").alias("items"))
     out = V.merged_tables([table(0), table(1)], keys, ["pj_score", "n"], ["items"])
-    return out.select(*keys, *_r("pj_score"), "n", F.array_join(F.slice("items", 1, 20), " ").alias("first_items"))
+    return out.select(*keys, *_r("pj_score"), "n", F.array_join("items", " ").alias("items"))
 
 
 @query("verdict_pivot", f"""WITH {B.SQL_SYMBOLS}, sh AS (SELECT lib, bin_file, count(*) AS score FROM (SELECT DISTINCT * FROM sexp) JOIN (SELECT DISTINCT * FROM bexp) USING (name) GROUP BY ALL), ns AS (SELECT lib, count(*) AS ns FROM sexp GROUP BY 1), nb AS (SELECT bin_file, count(*) AS nb FROM bexp GROUP BY 1),

@@ -8,7 +8,8 @@ from ..sources import features as T
 from . import bindings as B
 from .match import match
 from .registry import query
-from .strings import _EXPORTS, _r
+from .strings import _EXPORTS, SQL_PAIRWISE, _r
+from .switches import _MATCHED, SQL_MATCHED, _full
 
 
 @query("chosen_libraries", f"WITH {B.SQL_WORDS}, l AS (SELECT DISTINCT pj, ver FROM src) SELECT pj, min(ver) AS ver FROM l WHERE pj IN ('src1', 'src2', 'src19') GROUP BY pj")
@@ -23,11 +24,11 @@ def analysed_projects(spark, d):
     return T.analysed(rows).distinct().groupBy("pj").agg(F.count("*").alias("versions"))
 
 
-@query("feature_load", """WITH dy AS (SELECT o_orderpriority AS lib, o_orderstatus AS dyn, o_orderkey AS id FROM orders WHERE o_orderkey % 5 = 0), f AS (SELECT l_orderkey AS id, CAST(l_quantity AS BIGINT) AS v FROM lineitem)
+@query("feature_load", """WITH dy AS (SELECT o_orderpriority AS lib, o_orderstatus AS dyn, o_orderkey AS id FROM orders), f AS (SELECT l_orderkey AS id, CAST(l_quantity AS BIGINT) AS v FROM lineitem)
   SELECT lib, dyn, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM dy JOIN f USING (id) GROUP BY ALL""")
 def feature_load(spark, d):
     """Components' features by their source ids."""
-    ids = B.table(spark, d, "orders").where("o_orderkey % 5 = 0").groupBy(F.col("o_orderpriority").alias("lib"), F.col("o_orderstatus").alias("dyn")).agg(F.collect_list("o_orderkey").alias("src_source_ids"))
+    ids = B.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("lib"), F.col("o_orderstatus").alias("dyn")).agg(F.collect_list("o_orderkey").alias("src_source_ids"))
     features = B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src_source_id"), F.col("l_quantity").cast("long").alias("v"))
     return T.features_of(ids, features).groupBy("lib", "dyn").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 
@@ -46,11 +47,12 @@ def match_all(spark, d):
     return found.select("bin_file", "library", "dyn", "feature", "matched", *_r("similarity"), "score")
 
 
-@query("match_families")
+@query("match_families", f"""WITH {B.SQL_WORDS}, {B.SQL_SYMBOLS}, {B.SQL_SWITCHES}, {_EXPORTS}, {SQL_PAIRWISE}, {SQL_MATCHED}
+  SELECT bin_file, lib AS library, 'all' AS dyn, 'export' AS feature, matched, round(similarity, 6) AS similarity, CAST(score AS DOUBLE) AS score FROM em
+  UNION ALL SELECT bin_file, pj, dyn, 'string', c / t.n > 0.5 OR (weights > 100 AND weights / w > 0.1), round(c / t.n, 6), round(weights, 6) FROM m JOIN t USING (pj, dyn)
+  UNION ALL SELECT 'bin' || bin, 'lib' || lib, 'all', 'switch_case', {_MATCHED}, CAST(c AS DOUBLE), CAST(c AS DOUBLE) FROM c JOIN n USING (lib)""")
 def match_families(spark, d):
     """The call over exports, strings and switches of the bound tables."""
-    from .switches import _full
-
     strings = B.source_strings(spark, d).withColumnRenamed("pj", "lib")
     switches = _full(B.source_switches(spark, d)).select(F.concat(F.lit("lib"), F.col("key") % 50).alias("lib"), F.lit("all").alias("dyn"), "case_value", "case_pool", "ncases", "targets")
     binary = _full(B.binary_switches(spark, d)).withColumn("bin_file", F.concat(F.lit("bin"), F.col("key") % 20))
