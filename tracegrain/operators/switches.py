@@ -236,48 +236,94 @@ def jump_class(jump: Column) -> Column:
 
 def maximal_chains(chains: list[tuple]) -> list[tuple]:
     """Chains whose element sets are in no other's; of equal sets the first stays."""
-    sets = [frozenset(c) for c in chains]
-    return [c for i, c in enumerate(chains) if not any(sets[i] < sets[j] or (sets[i] == sets[j] and j < i) for j in range(len(chains)) if j != i)]
+    number: dict = {}
+    first: dict[int, int] = {}
+    for i, c in enumerate(chains):
+        mask = 0
+        for x in c:
+            mask |= 1 << number.setdefault(x, len(number))
+        first.setdefault(mask, i)
+    kept: list[tuple[int, int]] = []
+    larger = 0  # of ``kept``, those with more elements than the set at hand
+    size = None
+    for mask in sorted(first, key=int.bit_count, reverse=True):
+        if mask.bit_count() != size:
+            size, larger = mask.bit_count(), len(kept)
+        if not any(mask & m == mask for m, _ in kept[:larger]):
+            kept.append((mask, first[mask]))
+    return [chains[i] for i in sorted(i for _, i in kept)]
+
+
+def _ancestors(before: dict, blocks: set) -> dict:
+    """The blocks that lead to each block; a block on a cycle is its own ancestor."""
+    out = {}
+    for block in blocks:
+        found, open_ = set(), list(before.get(block, ()))
+        while open_:
+            p = open_.pop()
+            if p not in found:
+                found.add(p)
+                open_ += before.get(p, ())
+        out[block] = found
+    return out
 
 
 def chains_of_function(edges: list[tuple], conditions: dict) -> list[tuple]:
-    """Maximal chains of conditions on the paths into a function's last blocks, backwards, each block once a path."""
+    """Maximal chains of conditions on the paths into a function's last blocks, backwards, each block once a path.
+
+    A block's chains are found once, but for paths that a cycle cuts short. There can be as many chains as paths: two to the
+    power of the diamonds in a row, which is the size of the result, not of the search. Any depth of blocks is walked.
+    """
     before: dict = {}
     blocks, out_of = set(), set()
     for a, b in edges:
         before.setdefault(b, []).append(a)
         blocks |= {a, b}
         out_of.add(a)
-    done: dict = {}
+    above, done = _ancestors(before, blocks), {}
 
-    def walk(block, seen: frozenset) -> list[tuple]:
-        if block in done and not seen & done[block][1]:
-            return done[block][0]
+    def walk(block, seen: frozenset):
+        """Gives (block, seen) of what it needs first, and returns the chains that end in ``block``."""
+        free = not (seen & above[block] or block in above[block])
+        if free and block in done:
+            return done[block]
         own = (conditions[block],) if conditions.get(block) and conditions[block] != (0, 0) else ()
-        paths, reach = [own], {block}
-        for p in sorted(before.get(block, ())):
+        paths = {own}
+        on = frozenset() if free else seen | {block}  # what cannot be met again need not be remembered
+        for p in sorted(set(before.get(block, ()))):
             if p not in seen and p != block:
-                for path in walk(p, seen | {block}):
-                    paths.append(path + own)
-                reach.add(p)
-        found = maximal_chains(sorted(set(paths), key=lambda c: (-len(c), c)))
-        if not seen:
-            done[block] = (found, frozenset(reach))
+                paths.update(path + own for path in (yield p, on))
+        found = maximal_chains(sorted(paths, key=lambda c: (-len(c), c)))
+        if free:
+            done[block] = found
         return found
 
-    found = [c for block in sorted(blocks - out_of) for c in walk(block, frozenset())]
-    return [c for c in maximal_chains(sorted(set(found), key=lambda c: (-len(c), c))) if len(c) > 2]
+    def result(block) -> list[tuple]:
+        waiting, value = [walk(block, frozenset())], None
+        while waiting:
+            try:
+                waiting.append(walk(*waiting[-1].send(value)))
+                value = None
+            except StopIteration as end:
+                waiting.pop()
+                value = end.value
+        return value
 
+    found = {c for block in sorted(blocks - out_of) for c in result(block)}
+    return [c for c in maximal_chains(sorted(found, key=lambda c: (-len(c), c))) if len(c) > 2]
 
-def function_chains(edges: DataFrame, make: Callable = chains_of_function) -> DataFrame:
-    """function, chain from (function, block, succ, num, mark): the graph of one function is one group."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf.dropna(subset=["num"])
-        conditions = {int(b): (int(n), int(m)) for b, n, m in zip(known["block"], known["num"], known["mark"])}
-        links = [(int(a), int(b)) for a, b in zip(pdf["block"], pdf["succ"]) if pd.notna(b)]
-        found = make(links, conditions)
-        texts = pd.Series([[f"{n}, {m}" for n, m in c] for c in found], dtype=object)
-        return pd.DataFrame({"function": pd.Series([int(pdf["function"].iloc[0])] * len(found), dtype="int64"), "chain": texts})
+def function_chains(edges: DataFrame, make: Callable = chains_of_function) -> DataFrame:
+    """function, chain from (function, block, succ, num, mark): the graph of one function is one row, many functions a batch."""
+    graphs = edges.groupBy("function").agg(F.collect_list(F.struct("block", "succ", "num", "mark")).alias("edges"))
 
-    return edges.groupBy("function").applyInPandas(one, "function long, chain array<string>")
+    def each(batches):
+        for pdf in batches:
+            out = []
+            for function, rows in zip(pdf["function"], pdf["edges"]):
+                conditions = {r["block"]: (r["num"], r["mark"]) for r in rows if r["num"] is not None}
+                links = [(r["block"], r["succ"]) for r in rows if r["succ"] is not None]
+                out += [(function, [f"{n}, {m}" for n, m in c]) for c in make(links, conditions)]
+            yield pd.DataFrame(out, columns=["function", "chain"])
+
+    return graphs.mapInPandas(each, "function long, chain array<string>")

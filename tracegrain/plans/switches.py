@@ -173,10 +173,20 @@ def compare_instruction(spark, d):
     return B.table(spark, d, "part").select("p_partkey", S.compare_operand(text).alias("num"), S.jump_class(jump).alias("mark"))
 
 
-@query("cfg_chains")
+#: All paths, from blocks without a predecessor to blocks without a successor; of each function the maximal sets of conditions.
+_PATHS = """bl AS (SELECT l_orderkey AS f, CAST(l_linenumber AS BIGINT) AS b, max(CAST(l_quantity AS BIGINT)) AS q FROM lineitem GROUP BY ALL),
+  cn AS (SELECT f, b, CASE WHEN q % 7 = 0 AND q % 3 = 0 THEN [] ELSE [{'n': q % 7, 'm': q % 3}] END AS own FROM bl), ed AS (SELECT f, b, b + unnest([1, 2]) AS s FROM bl),
+  nx AS (SELECT DISTINCT f, s FROM ed), st AS (SELECT * FROM cn ANTI JOIN nx ON nx.f = cn.f AND nx.s = cn.b),
+  wk(f, b, c) AS (SELECT f, b, own FROM st UNION SELECT ed.f, ed.s, wk.c || coalesce(cn.own, []) FROM wk JOIN ed USING (f, b) LEFT JOIN cn ON cn.f = ed.f AND cn.b = ed.s),
+  ch AS (SELECT DISTINCT f, c, list_sort(list_distinct(c)) AS e FROM wk ANTI JOIN cn ON cn.f = wk.f AND cn.b = wk.b),
+  fs AS (SELECT f, e, arg_min(c, {'less': -len(c), 'c': c}) AS c FROM ch GROUP BY f, e),
+  mx AS (SELECT * FROM fs x WHERE NOT EXISTS (SELECT 1 FROM fs y WHERE x.f = y.f AND len(y.e) > len(x.e) AND list_has_all(y.e, x.e)))"""
+
+
+@query("cfg_chains", f"""WITH RECURSIVE {_PATHS} SELECT f AS function, array_to_string([x.n || ', ' || x.m for x in c], '; ') AS chain FROM mx WHERE len(c) > 2""")
 def cfg_chains(spark, d):
     """Each order's lines are a function's blocks, in a row with a jump over every other."""
     lines = B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("function"), F.col("l_linenumber").cast("long").alias("block"), F.col("l_quantity").cast("long").alias("num")).groupBy("function", "block").agg(F.max("num").alias("num"))
     step = F.explode(F.array(F.lit(1), F.lit(2)))
     edges = lines.withColumn("step", step).select("function", "block", (F.col("block") + F.col("step")).alias("succ"), (F.col("num") % 7).alias("num"), F.pmod("num", F.lit(3)).cast("int").alias("mark"))
-    return S.function_chains(edges)
+    return S.function_chains(edges).select("function", F.array_join("chain", "; ").alias("chain"))
