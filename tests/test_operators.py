@@ -48,22 +48,37 @@ def test_pairwise_counts_binary_occurrences(spark):
     assert row.matched
 
 
-def test_contained_equals_brute_force(spark):
+@pytest.mark.parametrize("block,sent", [(1 << 15, 1_000_000), (7, 1)])
+def test_contained_equals_brute_force(spark, monkeypatch, block, sent):
+    monkeypatch.setattr(A, "BLOCK", block)
+    monkeypatch.setattr(A, "SENT", sent)
     rng = random.Random(3)
     hay = [("".join(rng.choice("01ab") for _ in range(rng.randrange(0, 200))),) for _ in range(20)]
     needles = list({h[0][i : i + rng.randrange(6, 40)] for h in hay for i in rng.sample(range(180), 6)} | {"0" * 9, "abab01", "1111110"})
     needles = [n for n in needles if len(n) >= 6]
     h = spark.createDataFrame([(i, x[0]) for i, x in enumerate(hay)], "id int, hex string")
     n = spark.createDataFrame([(x,) for x in needles], "needle string")
-    got = {(r.id, r.needle) for r in A.contained(n, h, ["id"], False, 6).collect()}
+    got = {(r.id, r.needle) for r in A.contained(n, h, ["id"], False).collect()}
     assert got == {(i, x) for i, (t,) in enumerate(hay) for x in needles if x in t}
     even = [x for x in needles if len(x) % 2 == 0]
     h2 = h.where(F.length("hex") % 2 == 0)
-    got = {(r.id, r.needle) for r in A.contained(n.where(F.length("needle") % 2 == 0), h2, ["id"], True, 6).collect()}
+    got = {(r.id, r.needle) for r in A.contained(n.where(F.length("needle") % 2 == 0), h2, ["id"], True).collect()}
     want = {(i, x) for i, (t,) in enumerate(hay) if len(t) % 2 == 0 for x in even if any(t[k : k + len(x)] == x for k in range(0, len(t), 2))}
     assert got == want
 
 
+def test_long_haystacks_are_read_in_blocks(spark):
+    """Half a megabyte in one file: needles across the edges of blocks, of all seed lengths, are found, and others are not."""
+    rng = random.Random(6)
+    hay = "".join(rng.choices("0123456789abcdef", k=1_000_000))
+    needles = [hay[k * A.BLOCK - n // 2 : k * A.BLOCK + n // 2] for k, n in enumerate((8, 12, 20, 40, 100, 5000), 1)]
+    needles += [n[:-1] + ("0" if n[-1] != "0" else "1") for n in needles[2:]]
+    rows = spark.createDataFrame([("f", hay)], "id string, hex string")
+    got = {r.needle for r in A.contained(spark.createDataFrame([(n,) for n in needles], "needle string"), rows, ["id"], False).collect()}
+    assert got == {n for n in needles if n in hay} and len(got) >= 6
+    assert A.blocks(rows, ["id"], F.encode("hex", "US-ASCII"), 5000).agg(F.max(F.length("_part"))).first()[0] == A.BLOCK + 4999
+
+
 def test_subsumed_needles_go(spark):
     rows = spark.createDataFrame([("l", "aabbccdd"), ("l", "bbccdd"), ("l", "ddccbb"), ("m", "bbccdd")], "lib string, needle string")
     assert {(r.lib, r.needle) for r in A.without_subsumed(rows, "lib").collect()} == {("l", "aabbccdd"), ("l", "ddccbb"), ("m", "bbccdd")}
@@ -137,6 +152,17 @@ def test_chains_of_a_graph():
     assert found == [((5, 0), (6, 1), (7, 2))]
 
 
+def test_chains_of_deep_and_branching_graphs():
+    deep = W.chains_of_function([(i, i + 1) for i in range(1500)], {i: (i, 1) for i in range(1500)})
+    assert deep == [tuple((i, 1) for i in range(1500))]
+    edges, conditions = [], {}
+    for i in range(0, 33, 3):
+        edges += [(i, i + 1), (i, i + 2), (i + 1, i + 3), (i + 2, i + 3)]
+        conditions |= {i + 1: (i, 1), i + 2: (i, 2)}
+    assert len(set(W.chains_of_function(edges, conditions))) == 2**11
+    assert W.chains_of_function([(1, 2), (2, 3), (3, 1), (3, 4)], {1: (1, 1), 2: (2, 1), 3: (3, 1)}) == [((1, 1), (2, 1), (3, 1))]
+
+
 def test_random_chains_are_maximal():
     rng = random.Random(1)
     for _ in range(30):

@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Register all queries."""
-    from . import arrays, builds, kernels, strings, switches, verdicts, whole  # noqa: F401
+    from . import arrays, builds, executables, kernels, strings, switches, verdicts, whole  # noqa: F401

@@ -133,6 +133,27 @@ def funcname_match(spark, d):
     return Y.match_function_names(source, binary).select("lib", "bin_file", *_r("similarity"), F.col("score").cast("long").alias("score"), "matched")
 
 
+_EXPORTED = "SELECT DISTINCT p_type AS lib, 'e' || p_name AS name FROM part WHERE p_type = 'SMALL' OR (p_type = 'PROMO' AND p_partkey <= 30)"
+
+
+@query("funcname_gate", f"""WITH sf AS (SELECT DISTINCT p_type AS lib, 'core::' || p_name || '(int a)' AS name FROM part), se AS ({_EXPORTED}),
+  bx AS (SELECT p_brand AS bin_file, 'x::' || p_name AS name FROM part UNION ALL SELECT p_brand, 'e' || p_name FROM part WHERE p_size <= 25),
+  nx AS (SELECT bin_file, count(*) AS exports FROM bx GROUP BY 1), s AS (SELECT DISTINCT lib, string_split(string_split(name, '::')[-1], '(')[1] AS k FROM sf),
+  b AS (SELECT DISTINCT bin_file, string_split(name, '::')[-1] AS k FROM bx JOIN nx USING (bin_file) WHERE exports > 10), t AS (SELECT bin_file, count(*) AS names FROM b GROUP BY 1),
+  f AS (SELECT lib, bin_file, count(*) AS n FROM s JOIN b USING (k) GROUP BY ALL), ns AS (SELECT lib, count(*) AS ns FROM se GROUP BY 1),
+  sh AS (SELECT lib, bin_file, count(*) AS score FROM se JOIN (SELECT DISTINCT * FROM bx) USING (name) GROUP BY ALL),
+  em AS (SELECT lib, bin_file FROM sh JOIN ns USING (lib) JOIN nx USING (bin_file) WHERE (ns > 5 AND score / ns >= 0.8) OR score > 20 OR (ns > 10 AND score / exports + score / ns >= 1.2) OR score / exports + score / ns >= 1.5)
+  SELECT lib, bin_file, CASE WHEN n / names > 0.8 THEN round(n / names, 6) ELSE 0 END AS similarity, CASE WHEN n / names > 0.8 THEN n ELSE 0 END AS score, n / names > 0.8 AS matched FROM f JOIN t USING (bin_file)
+  WHERE lib NOT IN (SELECT lib FROM ns WHERE ns > 5) AND (lib, bin_file) NOT IN (SELECT (lib, bin_file) FROM em)""")
+def funcname_gate(spark, d):
+    """Function names, where exports decide nothing: libraries of at most five exports, pairs whose exports did not match."""
+    part = B.table(spark, d, "part")
+    source = part.selectExpr("p_type AS lib", "concat('core::', p_name, '(int a)') AS name").distinct()
+    exported = part.where("p_type = 'SMALL' OR (p_type = 'PROMO' AND p_partkey <= 30)").selectExpr("p_type AS lib", "concat('e', p_name) AS name").distinct()
+    binary = part.selectExpr("p_brand AS bin_file", "concat('x::', p_name) AS name").union(part.where("p_size <= 25").selectExpr("p_brand AS bin_file", "concat('e', p_name) AS name"))
+    return Y.match_function_names(source, binary, exported).select("lib", "bin_file", *_r("similarity"), F.col("score").cast("long").alias("score"), "matched")
+
+
 @query("signature_match", """WITH sf AS (SELECT DISTINCT p_type AS lib, replace(p_name, ' ', '_') AS k, p_size % 4 AS v FROM part), bx AS (SELECT DISTINCT p_brand AS bin_file, replace(p_name, ' ', '_') AS k, p_size % 3 AS v FROM part),
   s AS (SELECT lib, k, CASE v WHEN 0 THEN 'int,*' WHEN 1 THEN 'const char *' WHEN 2 THEN 'void' ELSE 'foo *' END AS parameters FROM sf),
   b AS (SELECT bin_file, k, CASE v WHEN 0 THEN 'const char *' WHEN 1 THEN 'void' ELSE '* foo' END AS parameters FROM bx)
