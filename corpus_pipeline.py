@@ -55,7 +55,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers
 
-    rows = mixing.mixed(docs).withColumnsRenamed({f"_{c}": c for c in MIXED}).orderBy("slot", "place")
+    rows = mixing.mixed(docs.select("doc_id", "source", "text")).withColumnsRenamed({f"_{c}": c for c in MIXED}).orderBy("slot", "place")
     return byte_bpe.encode_with_digests(rows, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=MIXED)
 
 

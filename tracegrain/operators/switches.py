@@ -179,8 +179,8 @@ def switch_report(lines: DataFrame) -> DataFrame:
     labels = F.filter(F.split(F.regexp_extract("line", r"^Cur_Case:(.*?)Target:", 1), r"\s+", -1), lambda t: t != "")
     rows = rows.withColumn("labels", F.when(F.col("line").startswith("Cur_Case:"), labels))
     per = rows.where("record > 0").groupBy("file", "record").agg(
-        F.max(F.when(F.col("line").startswith("Function:"), F.substring("line", 11, 100_000))).alias("function_name"),
-        F.max_by(F.when(F.col("line").startswith("ncases:"), F.substring("line", 9, 100).cast("int")), F.when(F.col("line").startswith("ncases:"), F.col("line_no"))).alias("targets"),
+        F.max(F.when(F.col("line").startswith("Function:"), F.expr("substring(line, 11)"))).alias("function_name"),
+        F.max_by(F.when(F.col("line").startswith("ncases:"), F.expr("substring(line, 9)").cast("int")), F.when(F.col("line").startswith("ncases:"), F.col("line_no"))).alias("targets"),
         F.coalesce(F.sum(F.size("labels")).cast("long"), F.lit(0).cast("long")).alias("ncases"), F.collect_list("labels").alias("all"),
     )
     branches = F.transform(F.filter("all", lambda b: b != F.array(F.lit("default"))), lambda b: F.transform(b, lambda x: x.cast("long")))
@@ -200,8 +200,8 @@ def condition_report(lines: DataFrame, mirror: bool = False) -> DataFrame:
     ``mirror`` names each chain after the next function and leaves the last out, as older tools did.
     """
     rows = _with_record(lines).where("record > 0")
-    names = rows.groupBy("file", "record").agg(F.max(F.when(F.col("line").startswith("Function:"), F.substring("line", 11, 100_000))).alias("function_name"))
-    info = F.substring("line", 12, 100_000)
+    names = rows.groupBy("file", "record").agg(F.max(F.when(F.col("line").startswith("Function:"), F.expr("substring(line, 11)"))).alias("function_name"))
+    info = F.expr("substring(line, 12)")
     number = F.split_part(info, F.lit(","), F.lit(1))
     steps = rows.where(F.col("line").startswith("CMP_INFOS:")).select("file", "record", "line_no", info.alias("step")).where((info != "0, 0") & ~number.isin("", "-1"))
     first = steps.groupBy("file", "record", "step").agg(F.min("line_no").alias("line_no"))
