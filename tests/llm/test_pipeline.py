@@ -58,3 +58,29 @@ def test_the_mixture_outlives_the_tables_between_stages(spark, tmp_path, monkeyp
     for n in (80, 400, 1600):  # before the smallest source has run out, a block beside its share at most, and a begun block
         for s, w in whole.items():
             assert abs(got[:n].count(s) - n * w / C.mixing.SLOTS) < 2 * C.mixing.BLOCK
+
+
+def test_every_stage_takes_odd_rows_and_none(spark):
+    """Nulls in any column, empty and long texts, repeated rows, columns with clashing names, and an empty table."""
+    from pyspark.sql import functions as F
+
+    word = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}x" for i in range(3000)]
+    rows = [(1, " ".join(word[:200]), "s"), (2, None, "s"), (3, "", None), (None, "no id at all", "s"), (None, None, None), (4, " ".join(word[300:420]), "t"), (4, " ".join(word[300:420]), "t"), (5, "é " * 40_000, "u"), (6, "\n" * 30_000, "u")]
+    clash = ["uid", "row", "rest", "spans", "sig", "n", "rep", "component", "score", "slot", "place", "block", "ids", "text_2"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(c) for c in clash}).repartition(3)
+    for table in (docs, docs.limit(0)):
+        for name, stage in C.STAGES:
+            out = stage(spark, table, SF)
+            got = out.collect()
+            if name == "bpe":
+                assert sorted(r.doc_id or 0 for r in got) == sorted(r.doc_id or 0 for r in table.collect())
+                continue
+            assert out.columns == table.columns
+            ids = sorted(r.doc_id or 0 for r in got)
+            if table is docs:  # these are clean and no near-duplicates; rows that repeat a row stay by one rule
+                assert ids == [0, 0, 1, 2, 3, 4, 4, 5, 6]
+                texts = {r.doc_id: r.text for r in got}
+                assert texts[1] == rows[0][1] and texts[5] is not None
+                assert all(r[c] == c for r in got for c in clash)
+            else:
+                assert not got
