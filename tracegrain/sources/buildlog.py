@@ -137,22 +137,24 @@ def commands(lines: DataFrame) -> DataFrame:
 
 
 def with_cwd(cmds: DataFrame, start: Column | None = None) -> DataFrame:
-    """Commands with cwd, the directory each runs in: the last entered one, and the `cd`s since."""
+    """Commands with cwd, the directory each runs in: the last entered one, and the `cd`s since.
+
+    Paths are put together at commands that change the directory only, and carried on to the others.
+    """
     w = Window.partitionBy("file").orderBy("line_no", "part")
+    begin = start if start is not None else F.lit("/")
     entered = F.regexp_replace(F.try_element_at("words", F.lit(4)), "^.(.*).$", "$1")
     target = F.when(F.col("kind") == "entering", entered).when(F.col("kind") == "cd", F.try_element_at("words", F.lit(2)))
-    rows = cmds.withColumn("_to", target).withColumn("_abs", F.col("_to").startswith("/") | (F.col("kind") == "entering"))
-    rows = rows.withColumn("_since", F.sum(F.coalesce(F.col("_abs"), F.lit(False)).cast("int")).over(w))
-    within = Window.partitionBy("file", "_since").orderBy("line_no", "part").rowsBetween(Window.unboundedPreceding, -1)
+    rows = cmds.withColumn("_to", target).withColumn("_abs", F.coalesce(F.col("_to").startswith("/") | (F.col("kind") == "entering"), F.lit(False)))
+    rows = rows.withColumn("_since", F.sum(F.col("_abs").cast("int")).over(w))
+    within = Window.partitionBy("file", "_since").orderBy("line_no", "part").rowsBetween(Window.unboundedPreceding, 0)
     after = F.array_join(F.collect_list("_to").over(within), "/")
-    base = F.when(F.col("_since") == 0, F.concat(start if start is not None else F.lit("/"), F.lit("/"), after)).otherwise(after)
-    path = F.when(F.coalesce(F.col("_abs"), F.lit(False)), F.col("_before")).otherwise(F.col("_path"))
-    rows = rows.withColumn("_path", normalized_path(base))
+    base = F.when(F.col("_since") == 0, F.concat(begin, F.lit("/"), after)).otherwise(after)
+    moving = rows.where("_to IS NOT NULL").withColumn("_in", normalized_path(base))
+    rest = rows.where("_to IS NULL").withColumn("_in", F.lit(None).cast("string"))
     # a command that enters a directory itself still runs in the one before
-    last = Window.partitionBy("file").orderBy("line_no", "part")
-    moved = normalized_path(F.when(F.coalesce(F.col("_abs"), F.lit(False)), F.col("_to")).when(F.col("_to").isNotNull(), F.concat("_path", F.lit("/"), "_to")).otherwise(F.col("_path")))
-    rows = rows.withColumn("_moved", moved).withColumn("_before", F.coalesce(F.lag("_moved").over(last), normalized_path(start if start is not None else F.lit("/"))))
-    return rows.withColumn("cwd", path).drop("_to", "_abs", "_since", "_path", "_moved", "_before")
+    before = F.last("_in", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return moving.unionByName(rest).withColumn("cwd", F.coalesce(before, normalized_path(begin))).drop("_to", "_abs", "_since", "_in")
 
 
 def is_source(path: Column) -> Column:
