@@ -147,7 +147,7 @@ def passage_rows(seed=5):
     return rows + extra
 
 
-@pytest.mark.parametrize("hot,hotter", [(2000, 40_000), (5, 40_000), (2, 5)])
+@pytest.mark.parametrize("hot,hotter", [(10_000, 1_000_000), (5, 1_000_000), (2, 5)])
 def test_suffixes_equal_brute_force(spark, monkeypatch, hot, hotter):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "HOTTER", hotter)

@@ -38,7 +38,7 @@ LENGTH, GRAM = 400, 64
 #: Bytes of the strings that make up passages, and the words from which a run of them is a passage, whatever its bytes.
 PASSAGE, WORDS = 256, 50
 #: Anchor hashes at more places than this are dealt out in so many spans of offsets; beyond the third, by whole strings.
-HOT, SPANS, HOTTER = 10_000, 8, 40_000
+HOT, SPANS, HOTTER = 10_000, 8, 1_000_000
 #: Suffixes that a merge task gets, on average.
 SUFFIXES = 20_000
 #: Ends the bytes to the right in a key. UTF-8 never holds it.
