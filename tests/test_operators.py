@@ -67,6 +67,27 @@ def test_contained_equals_brute_force(spark, monkeypatch, block, sent):
     assert got == want
 
 
+def test_needles_of_any_length_and_many_lengths(spark, monkeypatch):
+    """Two digits and more, by two levels for eleven lengths; copies of a haystack keep their keys."""
+    monkeypatch.setattr(A, "LEVELS", 2)
+    rng = random.Random(5)
+    hay = ["".join(rng.choice("01f") for _ in range(150)) for _ in range(6)]
+    needles = sorted({h[i : i + k] for h in hay[:3] for i in (0, 40, 150 - 22) for k in range(2, 24, 2)} | {"ff0011ffee"})
+    h = spark.createDataFrame([(i, x) for i, x in enumerate(hay + hay[:2])], "id int, hex string")
+    got = [(r.id, r.needle, r.tag) for r in A.contained(spark.createDataFrame([(n, "t" + n) for n in needles], "needle string, tag string"), h, ["id"], False, carry=("tag",)).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(i, n, "t" + n) for i, t in enumerate(hay + hay[:2]) for n in needles if n in t}
+
+
+def test_needles_are_never_sent_whole(spark):
+    """The driver holds the sieve alone, however many needles there are (array_candidates)."""
+    index = spark.createDataFrame([([1, 2, 3, i], "p", "d", "1") for i in range(50)], "arr array<bigint>, pj string, dyn string, ver string")
+    segments = spark.createDataFrame([("f", ".data", "01020307")], "bin_file string, seg string, hex string")
+    found = A.search_index(index, segments)
+    assert "strategy=broadcast" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.bin_file, r.seg, r.arr) for r in found.collect()] == [("f", ".data", [1, 2, 3, 7])]
+
+
 def test_long_haystacks_are_read_in_blocks(spark):
     """Half a megabyte in one file: needles across the edges of blocks, of all seed lengths, are found, and others are not."""
     rng = random.Random(6)

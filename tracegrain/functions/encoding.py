@@ -97,7 +97,8 @@ def without_outer_zeros(arr: Column) -> Column:
     marks = F.transform(arr, lambda x: F.when(x != 0, 1).otherwise(0))
     first = F.array_position(marks, 1)
     last = F.size(arr) + 1 - F.array_position(F.reverse(marks), 1)
-    return F.when(first == 0, F.slice(arr, 1, 0)).otherwise(F.slice(arr, first.cast("int"), (last - first + 1).cast("int")))
+    none = (F.try_element_at(arr, F.lit(1)) != 0) & (F.try_element_at(arr, F.lit(-1)) != 0)
+    return F.when(none, arr).when(first == 0, F.slice(arr, 1, 0)).otherwise(F.slice(arr, first.cast("int"), (last - first + 1).cast("int")))
 
 
 def is_admitted(arr: Column, entropy: Column, projects: Column) -> Column:

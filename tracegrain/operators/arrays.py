@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import encoding as E
 from ..functions import lexical as L
+from ..functions import places
 from ..staging import staged
 from .strings import score_totals, with_scores
 
-#: Digits of a needle by which it is looked up in haystacks: the most of these that it has. The least is that of three
-#: numbers of a byte.
-SEEDS = (6, 10, 16, 32, 64)
-#: Bytes of a haystack's block, without the overlap, and needles that are sent to every task at most.
-BLOCK, SENT = 1 << 15, 1_000_000
+#: Bytes of a haystack's block, without the overlap; lengths by which needles are looked up, and needles up to which the sieve
+#: grows, both at most.
+BLOCK, LEVELS, SENT = 1 << 15, 48, 4_000_000
 
 
 def distinct_arrays(arrays: DataFrame, key: str, seq: str) -> DataFrame:
@@ -34,56 +32,95 @@ def needle_table(distinct: DataFrame, key: str, wide: bool = False) -> DataFrame
     return rows.select(key, "arr", "count", "score", E.needle(F.col("arr"), F.col("width")).alias("needle"))
 
 
-def _seed(data: Column, at, n: int) -> Column:
-    """Hash of ``n`` bytes from a place on."""
-    return F.xxhash64(F.lit(n), F.substring(data, at, F.lit(n)))
-
-
-def _seeds(data: Column, n: int) -> Column:
-    """The hashes at every place of a block, in order."""
-    last = F.least(F.length(data) - n + 1, F.lit(BLOCK))
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda at: _seed(data, at, n)))
-
-
 def blocks(haystacks: DataFrame, keys: list[str], data: Column, longest: int) -> DataFrame:
     """``keys``, _block, _part: each haystack's bytes in overlapping parts, so that a needle of ``longest`` bytes at most stands
     whole in the part where it begins."""
     rows = haystacks.select(*keys, data.alias("_all"))
-    rows = rows.select(*keys, "_all", F.explode(F.sequence(F.lit(0), F.greatest(F.length("_all") - 1, F.lit(0)), F.lit(BLOCK))).alias("_block"))
-    return rows.select(*keys, "_block", F.substring("_all", F.col("_block") + 1, F.lit(BLOCK + longest - 1)).alias("_part"))
+    starts = F.sequence(F.lit(0), F.greatest(F.length("_all") - 1, F.lit(0)), F.lit(BLOCK))
+    cut = F.transform(starts, lambda at: F.struct(at.alias("at"), F.substring("_all", at + 1, F.lit(BLOCK + longest - 1)).alias("part")))
+    return rows.select(*keys, F.explode(cut).alias("_cut")).select(*keys, F.col("_cut.at").alias("_block"), F.col("_cut.part").alias("_part"))
+
+
+def _levels(sizes: list[int]) -> list[int]:
+    """The needles' own lengths, or LEVELS of them spread evenly, the least among them."""
+    if len(sizes) <= LEVELS:
+        return sizes
+    return sorted({sizes[i * len(sizes) // LEVELS] for i in range(LEVELS)})
 
 
-def contained(needles: DataFrame, haystacks: DataFrame, keys: list[str], byte_aligned: bool, same: tuple[str, ...] = ()) -> DataFrame:
-    """(``same``, ``keys``, needle) where ``needle`` stands in ``hex``, the haystack of ``keys``.
+def contained(needles: DataFrame, haystacks: DataFrame, keys: list[str], byte_aligned: bool, same: tuple[str, ...] = (), carry: tuple[str, ...] = (), longer: bool = False) -> DataFrame:
+    """(``same``, ``keys``, needle, ``carry``) where ``needle`` stands in ``hex``, the haystack of ``keys``; ``carry`` are further
+    columns of the needles. ``longer`` leaves out the needle that is the whole haystack.
 
-    Haystacks are cut into overlapping blocks. The hash of a needle's first digits, as many of SEEDS as it has, meets the
-    hashes at all places of the blocks by an equi-join (needles are sent to every task if a count shows that they are
-    few); where they meet, the bytes from that place on are compared. No haystack, and no list of places or needles, is
-    ever one row. ``byte_aligned`` counts even places only: both sides are then compared as bytes, else as digits.
+    Haystacks are cut into overlapping blocks. A needle is looked up by its whole length (or the longest of the LEVELS that
+    it has): a block is read once, and what stands at a place goes on if the sieve, a bit map of the needles' hashes, lets it
+    pass. These bytes meet the needles by an equi-join, so the sieve decides nothing. The driver holds the sieve only, and no
+    haystack, and no list of places or needles, is ever one row. ``byte_aligned`` counts even places only: both
+    sides are then compared as bytes, else as digits.
     """
     raw = (lambda c: F.unhex(c)) if byte_aligned else (lambda c: F.encode(c, "US-ASCII"))
-    sizes = [n // 2 for n in SEEDS] if byte_aligned else list(SEEDS)
-    bytes_, size = F.col("_bytes"), F.length("_bytes")
-    asked = needles.select(*same, "needle").distinct().withColumn("_bytes", raw("needle")).where(size >= sizes[0])
-    level = F.coalesce(*(F.when(size >= n, F.lit(n)) for n in reversed(sizes)))
-    own = F.coalesce(*(F.when(size >= n, _seed(bytes_, F.lit(1), n)) for n in reversed(sizes)))
-    asked = staged(asked.select(*same, "needle", "_bytes", level.alias("_level"), own.alias("_seed")), "needles")
-    few = asked.agg(F.collect_set("_level").alias("levels"), F.max(size).alias("longest"), F.count("*").alias("n")).first()
-    parts = staged(blocks(haystacks, [*same, *keys], raw("hex"), few.longest or sizes[0]), "blocks")
-    places = [parts.select(*same, *keys, "_block", F.posexplode(_seeds(F.col("_part"), n)).alias("_at", "_seed")) for n in sorted(few.levels)]
-    if not places:
-        return parts.where(F.lit(False)).select(*same, *keys, F.lit("").alias("needle"))
-    asked = asked.drop("_level")
-    hits = reduce(DataFrame.unionByName, places).join(F.broadcast(asked) if few.n <= SENT else asked, [*same, "_seed"])
-    there = F.substring("_part", F.col("_at") + 1, size) == bytes_
-    return hits.join(parts, [*same, *keys, "_block"]).where(there).select(*same, *keys, "needle").distinct()
+    size = F.length("_bytes")
+    salt = F.xxhash64(*same) if same else F.lit(0).cast("long")
+    asked = needles.select(*same, "needle", *carry).distinct().withColumn("_bytes", raw(F.col("needle"))).where(size > 0)
+    asked = staged(asked, "needles")
+    rows = asked.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect()
+    sizes = sorted(r.size for r in rows)
+    if not sizes:
+        return haystacks.where(F.lit(False)).select(*same, *keys).join(needles.select(*same, "needle", *carry).where(F.lit(False)), list(same))
+    levels = _levels(sizes)
+    longest = [max(s for s in sizes if s < high) for high in [*levels[1:], sizes[-1] + 1]]
+    bits = max(16, (64 * min(sum(r.n for r in rows), SENT)).bit_length())
+    sent = _sieve(asked.select("_bytes", salt.alias("_salt")), levels, bits)
+    parts = blocks(haystacks.withColumns({"_salt": salt, "_size": F.length(raw(F.col("hex")))}), [*same, *keys, "_salt", "_size"], raw(F.col("hex")), sizes[-1])
+    kept = [*same, *keys]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in parts.select(*kept).schema]
+    found = parts.drop("_block").mapInArrow(scan(kept, levels, longest, bits, sent, BLOCK, longer), ", ".join([*fields, "_seed binary", "_rest binary"]))
+    level = F.coalesce(*(F.when(size >= n, F.lit(n)) for n in reversed(levels)))
+    asked = asked.withColumn("_seed", F.substring("_bytes", F.lit(1), level))
+    found = found.repartition(*same, "_seed").distinct().join(asked, [*same, "_seed"])
+    found = found.where(F.substring(F.coalesce("_rest", "_seed"), F.lit(1), size) == F.col("_bytes")).select(*kept, "needle", *carry)
+    return found if levels == longest else found.distinct()
+
+
+def _sieve(rows: DataFrame, levels: list[int], bits: int):
+    """The bit map of the needles (_bytes, _salt), for all tasks."""
+
+    def build(batches):
+        table = None
+        for batch in batches:
+            table = places.Sieve(bits, levels) if table is None else table
+            table.add(batch.column("_bytes"), batch.column("_salt"))
+        if table is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([table.packed()], pa.binary())], ["sieve"])
+
+    whole = places.Sieve(bits, levels)
+    for row in rows.coalesce(8).mapInArrow(build, "sieve binary").toLocalIterator():
+        whole.merge(row.sieve)
+    return rows.sparkSession.sparkContext.broadcast(whole.packed())
+
+
+def scan(kept: list[str], levels: list[int], longest: list[int], bits: int, sent, block: int, longer: bool):
+    """What of blocks (``kept``, _salt, _size, _part) passes the sieve: ``kept``, _seed (as long as a level) and, where
+    needles are longer, _rest; once for each block."""
+
+    def run(batches):
+        sieve = places.Sieve(bits, levels, sent.value)
+        for batch in batches:
+            for at, rows in places.chunks(batch.column("_part")):
+                some = batch.slice(at, rows)
+                origin, seeds, rests = sieve.search(some.column("_part"), some.column("_salt"), some.column("_size"), longest, block, longer)
+                if not len(origin):
+                    continue
+                out = [some.column(k).take(pa.array(origin)) for k in kept]
+                yield pa.RecordBatch.from_arrays([*out, pa.array(seeds, pa.binary()), pa.array(rests, pa.binary())], [*kept, "_seed", "_rest"])
+
+    return run
 
 
 def without_subsumed(needles: DataFrame, key: str) -> DataFrame:
     """Needles that no strictly longer needle of the same ``key`` contains."""
     every = needles.select(key, "needle").distinct()
-    inside = contained(every, every.select(key, F.col("needle").alias("hex"), F.col("needle").alias("_long")), ["_long"], False, (key,))
-    gone = inside.where(F.length("needle") < F.length("_long")).select(key, "needle").distinct()
+    gone = contained(every, every.select(key, F.col("needle").alias("hex")), [], False, (key,), longer=True).select(key, "needle").distinct()
     return needles.join(gone, [key, "needle"], "left_anti")
 
 
@@ -94,11 +131,14 @@ def match_arrays(needles: DataFrame, binaries: DataFrame, key: str, byte_aligned
     rule needs half of a large total, or 70 % of a smaller one; ``matched_simple`` is half alone.
     """
     score = L.occurrence_score(F.col("count"), F.size("arr"), F.col("score"), use_score)
-    arrays = needles.select(key, "arr", score.alias("points")).distinct()
+    arrays = needles.groupBy(key, "arr").agg(F.collect_set("needle").alias("needles"), F.collect_set(score).alias("scores"))
+    points = F.aggregate("scores", F.lit(0.0) if use_score else F.lit(0).cast("long"), lambda a, x: a + x)
+    arrays = arrays.select(key, "needles", F.when(F.size("scores") > 0, points).alias("points"))
+    arrays = staged(arrays.withColumn("_id", F.monotonically_increasing_id()), "arrays")
     totals = arrays.groupBy(key).agg(F.sum("points").alias("total"))
-    found = contained(needles.select("needle"), binaries.select("bin_file", "hex"), ["bin_file"], byte_aligned)
-    hits = needles.select(key, "arr", "needle").join(found, "needle").select(key, "arr", "bin_file").distinct()
-    found = hits.join(arrays, [key, "arr"]).groupBy(key, "bin_file").agg(F.sum("points").alias("success"))
+    asked = arrays.select("_id", F.explode("needles").alias("needle"))
+    hits = contained(asked, binaries.select("bin_file", "hex"), ["bin_file"], byte_aligned, carry=("_id",)).select("_id", "bin_file")
+    found = hits.repartition("_id").distinct().join(arrays.select("_id", key, "points"), "_id").groupBy(key, "bin_file").agg(F.sum("points").alias("success"))
     rows = found.join(totals, key).withColumn("similarity", F.try_divide("success", "total"))
     rule = ((F.col("total") >= 50) & (F.col("similarity") >= 0.5)) | ((F.col("total") > 5) & (F.col("total") < 50) & (F.col("similarity") >= 0.7))
     return rows.select(key, "bin_file", "success", "total", "similarity", rule.alias("matched"), (F.col("similarity") >= 0.5).alias("matched_simple"))
@@ -106,7 +146,8 @@ def match_arrays(needles: DataFrame, binaries: DataFrame, key: str, byte_aligned
 
 def array_index(arrays: DataFrame, projects: DataFrame) -> DataFrame:
     """arr, pj, dyn, ver, weight, pj_score, ver_score, trie_no; the weight is the natural logarithm of the length."""
-    trimmed = arrays.withColumn("arr", E.without_outer_zeros(F.col("arr")))
+    once = lambda rows: rows.groupBy("arr", "pj", "dyn", "ver").agg(F.max("entropy").alias("entropy"))
+    trimmed = staged(once(once(arrays).withColumn("arr", E.without_outer_zeros(F.col("arr")))), "postings")
     few = trimmed.groupBy("arr").agg(F.count_distinct("pj").alias("projects"), F.max("entropy").alias("entropy"))
     taken = few.where(E.is_admitted(F.col("arr"), F.col("entropy"), F.col("projects"))).select("arr")
     rows = with_scores(trimmed.join(taken, "arr", "left_semi"), projects, "arr", lambda a: F.log(F.size(a)))
@@ -122,8 +163,8 @@ def search_index(index: DataFrame, segments: DataFrame) -> DataFrame:
     """bin_file, seg, arr: arrays of the index whose bytes, in any width, stand in a segment's (byte aligned)."""
     arrays = index.select("arr").distinct()
     needles = arrays.select("arr", F.explode(E.needles(F.col("arr"))).alias("needle"))
-    found = contained(needles.select("needle"), segments.select("bin_file", "seg", "hex"), ["bin_file", "seg"], True)
-    return found.join(needles, "needle").select("bin_file", "seg", "arr").distinct()
+    found = contained(needles, segments.select("bin_file", "seg", "hex"), ["bin_file", "seg"], True, carry=("arr",))
+    return found.select("bin_file", "seg", "arr").repartition("arr").distinct()
 
 
 def array_scores(hits: DataFrame, index: DataFrame) -> DataFrame:

@@ -15,9 +15,12 @@ from .strings import _r
 _NEEDLE = f"array_to_string([{sql_packed('x', 'w')} for x in arr], '')"
 
 
-def _sources(spark, d):
+def orders_of(spark, d):
+    return staged(B.order_arrays(spark, d), "orders")
+
+
+def _sources(rows):
     """lib, arr, element_type, score, seq: arrays of all orders, half with a type"""
-    rows = B.order_arrays(spark, d)
     kind = F.when(F.col("o_orderkey") % 2 == 0, F.lit("unsigned char"))
     return rows.select(F.concat_ws("-", "pj", "dyn").alias("lib"), "arr", kind.alias("element_type"), F.lit(1.0).alias("score"), F.col("o_orderkey").alias("seq"))
 
@@ -29,18 +32,18 @@ _SRC = f"""{B.SQL_ARRAYS}, sa AS (SELECT pj || '-' || dyn AS lib, arr, CASE WHEN
   nk AS (SELECT * FROM nd a WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT lib, needle FROM nd) b WHERE a.lib = b.lib AND length(b.needle) > length(a.needle) AND contains(b.needle, a.needle)))"""
 
 
-def needles_of(spark, d):
-    return A.needle_table(A.distinct_arrays(_sources(spark, d), "lib", "seq"), "lib")
+def needles_of(rows):
+    return A.needle_table(A.distinct_arrays(_sources(rows), "lib", "seq"), "lib")
 
 
 @query("needle_build", f"WITH {_SRC} SELECT lib, array_to_string(arr, ',') AS arr, n AS count, needle FROM nd")
 def needle_build(spark, d):
-    return needles_of(spark, d).select("lib", F.array_join(F.col("arr").cast("array<string>"), ",").alias("arr"), "count", "needle")
+    return needles_of(B.order_arrays(spark, d)).select("lib", F.array_join(F.col("arr").cast("array<string>"), ",").alias("arr"), "count", "needle")
 
 
 @query("needle_subsumption", f"WITH {_SRC} SELECT lib, array_to_string(arr, ',') AS arr, needle FROM nk")
 def needle_subsumption(spark, d):
-    return A.without_subsumed(staged(needles_of(spark, d), "needles"), "lib").select("lib", F.array_join(F.col("arr").cast("array<string>"), ",").alias("arr"), "needle")
+    return A.without_subsumed(staged(needles_of(B.order_arrays(spark, d)), "needles"), "lib").select("lib", F.array_join(F.col("arr").cast("array<string>"), ",").alias("arr"), "needle")
 
 
 #: Binaries: the needles of a customer's own orders, one after the other; typed as bytes in one segment, wide in another.
@@ -48,11 +51,11 @@ _BYTES = f"""hx AS (SELECT o_custkey % 61 AS c, o_orderkey, arr, unnest([2, 8])
   bb AS (SELECT 'bin' || c AS bin_file, CASE WHEN w = 2 THEN '.rdata' ELSE '.data' END AS seg, string_agg(h, '' ORDER BY o_orderkey) AS hex FROM hn GROUP BY ALL)"""
 
 
-def segments_of(spark, d):
-    rows = B.order_arrays(spark, d).where("o_orderkey % 3 <> 0").select((F.col("o_custkey") % 61).alias("c"), "o_orderkey", "arr", F.explode(F.array(F.lit(2), F.lit(8))).alias("w"))
-    rows = rows.select("c", "w", F.struct("o_orderkey", E.needle(F.col("arr"), F.col("w")).alias("h")).alias("x"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["h"]), "")
-    return rows.groupBy("c", "w").agg(joined.alias("hex")).select(F.concat(F.lit("bin"), "c").alias("bin_file"), F.when(F.col("w") == 2, ".rdata").otherwise(".data").alias("seg"), "hex")
+def segments_of(rows):
+    mine = rows.where("o_orderkey % 3 <> 0").groupBy((F.col("o_custkey") % 61).alias("c")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "arr"))).alias("xs"))
+    of = lambda w: F.array_join(F.transform("xs", lambda x: E.needle(x["arr"], F.lit(w))), "")
+    segments = F.explode(F.array(F.struct(F.lit(".rdata").alias("seg"), of(2).alias("hex")), F.struct(F.lit(".data").alias("seg"), of(8).alias("hex"))))
+    return mine.select(F.concat(F.lit("bin"), "c").alias("bin_file"), segments.alias("s")).select("bin_file", "s.seg", "s.hex")
 
 
 _MATCH = """wb AS (SELECT bin_file, string_agg(hex, '' ORDER BY seg) AS hex FROM bb GROUP BY 1), ar AS (SELECT DISTINCT lib, arr, n * (log2(len(arr)) + 1) AS points FROM nk), tt AS (SELECT lib, sum(points) AS total FROM ar GROUP BY 1),
@@ -60,8 +63,9 @@ _MATCH = """wb AS (SELECT bin_file, string_agg(hex, '' ORDER BY seg) AS hex FROM
 
 
 def _matched(spark, d):
-    whole = segments_of(spark, d).groupBy("bin_file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg", "hex"))), lambda x: x["hex"]), "").alias("hex"))
-    needles = staged(needles_of(spark, d), "needles")
+    rows = orders_of(spark, d)
+    whole = segments_of(rows).groupBy("bin_file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg", "hex"))), lambda x: x["hex"]), "").alias("hex"))
+    needles = staged(needles_of(rows), "needles")
     return A.match_arrays(staged(A.without_subsumed(needles, "lib"), "needles"), whole, "lib")
 
 
@@ -87,20 +91,19 @@ _INDEX = f"""{B.SQL_ARRAYS}, en AS (SELECT pj, dyn, ver, CASE WHEN o_custkey % 5
   tot AS (SELECT pj, dyn, ver, sum(pj_score) AS total_pj_score, sum(ver_score) AS total_ver_score, count(*) AS total_count, sum(len(arr)) AS total_len FROM ix GROUP BY ALL)"""
 
 
-def index_of(spark, d):
-    rows = B.order_arrays(spark, d)
+def index_of(rows):
     some = rows.select("pj", "dyn", "ver", "arr", F.when(F.col("o_custkey") % 5 == 0, 5).otherwise(12).alias("entropy"))
     return A.array_index(some, rows.select("pj", "ver"))
 
 
 @query("admission", f"WITH {_INDEX} SELECT array_to_string(arr, ',') AS arr FROM tk")
 def admission(spark, d):
-    return index_of(spark, d).select(F.array_join(F.col("arr").cast("array<string>"), ",").alias("arr")).distinct()
+    return index_of(B.order_arrays(spark, d)).select(F.array_join(F.col("arr").cast("array<string>"), ",").alias("arr")).distinct()
 
 
 @query("array_totals", f"WITH {_INDEX} SELECT pj, dyn, ver, round(total_pj_score, 6) AS total_pj_score, round(total_ver_score, 6) AS total_ver_score, total_count, CAST(total_len AS BIGINT) AS total_len FROM tot")
 def array_totals(spark, d):
-    return A.array_totals(index_of(spark, d)).select("pj", "dyn", "ver", *_r("total_pj_score", "total_ver_score"), "total_count", "total_len")
+    return A.array_totals(index_of(B.order_arrays(spark, d))).select("pj", "dyn", "ver", *_r("total_pj_score", "total_ver_score"), "total_count", "total_len")
 
 
 _SEARCH = f"""sn AS (SELECT arr, unnest([w for w in [2, 4, 8, 16] if w = 16 OR power(16, w) > list_max(arr)]) AS w FROM (SELECT DISTINCT arr FROM ix)), sx AS (SELECT arr, {_NEEDLE} AS needle FROM sn),
@@ -110,8 +113,9 @@ _SEARCH = f"""sn AS (SELECT arr, unnest([w for w in [2, 4, 8, 16] if w = 16 OR p
 
 @query("array_match_index", f"""WITH {_INDEX}, {_BYTES}, {_SEARCH} SELECT bin_file, pj, dyn, ver, round(pj_score, 6) AS pj_score, round(ver_score, 6) AS ver_score, matched_count, CAST(matched_len AS BIGINT) AS matched_len FROM sc""")
 def array_match_index(spark, d):
-    index = staged(index_of(spark, d), "index")
-    scores = A.array_scores(A.search_index(index, segments_of(spark, d)), index)
+    rows = orders_of(spark, d)
+    index = staged(index_of(rows), "index")
+    scores = A.array_scores(A.search_index(index, segments_of(rows)), index)
     return scores.select("bin_file", "pj", "dyn", "ver", *_r("pj_score", "ver_score"), "matched_count", "matched_len")
 
 
@@ -122,8 +126,9 @@ _RULE = """(total_count > 5 OR total_len > 50 OR total_pj_score > 50) AND pj_sco
   SELECT pj, dyn, ver, round(c, 6) AS count_sim, round(n, 6) AS len_sim, round(s, 6) AS score_sim FROM q WHERE {_RULE}""")
 def array_candidates(spark, d):
     """The rule on all binaries of one product together."""
-    index = staged(index_of(spark, d), "index")
-    scores = A.array_scores(A.search_index(index, segments_of(spark, d)), index)
+    rows = orders_of(spark, d)
+    index = staged(index_of(rows), "index")
+    scores = A.array_scores(A.search_index(index, segments_of(rows)), index)
     product = scores.groupBy(F.lit("all").alias("bin_file"), "pj", "dyn", "ver").agg(*(F.sum(c).alias(c) for c in ("pj_score", "matched_count", "matched_len")))
     return A.array_candidates(product, A.array_totals(index)).select("pj", "dyn", "ver", *_r("count_sim", "len_sim", "score_sim"))
 
@@ -149,5 +154,5 @@ def passby_counts(spark, d):
 
 @query("array_lookup", f"WITH {_INDEX} SELECT o_orderkey, ix.pj, ix.dyn, ix.ver, round(pj_score, 6) AS pj_score FROM na JOIN ix USING (arr)")
 def array_lookup(spark, d):
-    asked = B.order_arrays(spark, d).select("o_orderkey", "arr")
-    return asked.join(index_of(spark, d), "arr").select("o_orderkey", "pj", "dyn", "ver", *_r("pj_score"))
+    rows = B.order_arrays(spark, d)
+    return rows.select("o_orderkey", "arr").join(index_of(rows), "arr").select("o_orderkey", "pj", "dyn", "ver", *_r("pj_score"))

@@ -43,9 +43,10 @@ na AS (SELECT o_orderkey, o_custkey, o_orderpriority AS pj, o_orderstatus AS dyn
 
 
 def order_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """o_orderkey, o_custkey, pj, dyn, ver, arr: the quantities of each order in a total order of its lines"""
+    """o_orderkey, o_custkey, pj, dyn, ver, arr: the quantities of each order in a total order of its lines; lines that are equal
+    up to the quantity give the same array in any order"""
     lines = table(spark, sf_dir, "lineitem")
-    rows = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")))
+    rows = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")))
     arrays = lines.groupBy("l_orderkey").agg(F.transform(rows, lambda x: x["l_quantity"].cast("long")).alias("arr"))
     orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", "o_orderpriority AS pj", "o_orderstatus AS dyn", "CAST(year(o_orderdate) AS STRING) AS ver")
     return arrays.join(orders, arrays.l_orderkey == orders.o_orderkey).select("o_orderkey", "o_custkey", "pj", "dyn", "ver", "arr")

@@ -9,7 +9,7 @@ from ..operators import verdicts as V
 from . import bindings as B
 from .arrays import _BYTES, _INDEX, _RULE, _SEARCH
 from .arrays import index_of as arrays_of
-from .arrays import segments_of
+from .arrays import orders_of, segments_of
 from ..staging import staged
 from .registry import query
 from .strings import _WITH, candidates_of, index_of, _r
@@ -89,10 +89,11 @@ _ARRAYS = f"""WITH RECURSIVE {_INDEX}, {_BYTES}, {_SEARCH}, q AS (SELECT *, matc
 
 @query("greedy_dedup_array", f"{_ARRAYS} SELECT bin_file, pj, dyn, ver FROM k2")
 def greedy_dedup_array(spark, d):
-    index = staged(arrays_of(spark, d), "index")
-    hits = staged(A.search_index(index, segments_of(spark, d)).withColumn("bin_file", F.lit("all")), "hits")
+    rows = orders_of(spark, d)
+    index = staged(arrays_of(rows), "index")
+    hits = staged(A.search_index(index, segments_of(rows)).withColumn("bin_file", F.lit("all")), "hits")
     found = staged(A.array_candidates(A.array_scores(hits, index), A.array_totals(index)), "candidates")
-    items = hits.join(index.select("arr", "pj", "dyn", "ver"), "arr").withColumn("item", F.concat_ws(",", F.col("arr").cast("array<string>")))
+    items = hits.select("bin_file", "arr").distinct().join(index.select("arr", "pj", "dyn", "ver"), "arr").withColumn("item", F.concat_ws(",", F.col("arr").cast("array<string>")))
     return V.greedy_dedup(found, items, "item", False)
 
 
