@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Callable
+from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -123,47 +127,147 @@ def chain_overlaps(source: DataFrame, binary: DataFrame, least: int = 3) -> Data
     return both.select("s_id", "b_id", "overlap", (F.col("overlap") / F.greatest("s_n", "b_n") * 100).alias("percent"))
 
 
+#: Chains up to this many distinct steps are looked up by their subsets; longer ones are compared one by one.
+FEW = 8
+
+
+class Binaries:
+    """Chains of one binary, by equality and by subsets of their steps, for greedy assignments that use them up."""
+
+    def __init__(self, chains: list[tuple]):
+        self.chains = chains
+        self.number: dict = {}
+        self.equal: dict[tuple, list[int]] = {}
+        self.subsets: dict[tuple, list[int]] = {}
+        self.long: list[int] = []
+        self.sets = [frozenset(self.number.setdefault(x, len(self.number)) for x in c) for c in chains]
+        of: dict[tuple, list] = {}
+        for j, c in enumerate(chains):
+            self.equal.setdefault(c, []).append(j)
+            if len(self.sets[j]) > FEW:
+                self.long.append(j)
+                continue
+            key = (self.sets[j], len(c))
+            if key not in of:
+                of[key] = [self.subsets.setdefault(x, []) for n in range(3, len(key[0]) + 1) if n / len(c) * 100 > 40 for x in combinations(sorted(key[0]), n)]
+            for posting in of[key]:
+                posting.append(j)
+        self.ranked: dict[tuple, tuple] = {}
+
+    def ranks(self, chain: tuple) -> tuple:
+        """(places of equal chains, postings by falling overlap) of a source chain; overlaps of three at least, over 40 % of
+        the longer chain."""
+        if chain not in self.ranked:
+            own = sorted({self.number[x] for x in chain if x in self.number})
+            tiers: dict[int, list] = {}
+            one_by_one = self.long
+            if len(own) > FEW:
+                one_by_one = range(len(self.chains))
+            else:
+                for n in range(3, len(own) + 1):
+                    if n / len(chain) * 100 > 40:
+                        tiers[n] = [self.subsets[x] for x in combinations(own, n) if x in self.subsets]
+            single: dict[int, list[int]] = {}
+            mine = frozenset(own)
+            for j in one_by_one:
+                n = len(mine & self.sets[j])
+                if n >= 3 and n / max(len(chain), len(self.chains[j])) * 100 > 40:
+                    single.setdefault(n, []).append(j)
+            for n, places in single.items():
+                tiers.setdefault(n, []).append(places)
+            self.ranked[chain] = (self.equal.get(chain), [tiers[n] for n in sorted(tiers, reverse=True) if tiers[n]])
+        return self.ranked[chain]
+
+    def assign(self, chains: list[tuple], order) -> tuple[int, int]:
+        """(matches, full matches) of sources, ``chains`` in ``order``. A chain that finds nothing finds nothing later."""
+        used, at, left = bytearray(len(self.chains)), {}, len(self.chains)
+        ranks = [self.ranks(c) for c in chains]
+        done = bytearray(len(chains))
+        matches = full = 0
+
+        def first(posting):
+            k = id(posting)
+            i, n = at.get(k, 0), len(posting)
+            while i < n and used[posting[i]]:
+                i += 1
+            at[k] = i
+            return posting[i] if i < n else -1
+
+        for c in order:
+            if done[c]:
+                continue
+            if not left:
+                break
+            equal, tiers = ranks[c]
+            best = first(equal) if equal else -1
+            if best >= 0:
+                full += 1
+                if len(chains[c]) < 3:
+                    continue
+            else:
+                for postings in tiers:
+                    heads = [j for j in map(first, postings) if j >= 0]
+                    if heads:
+                        best = min(heads)
+                        break
+            if best < 0:
+                done[c] = 1
+                continue
+            matches += 1
+            used[best] = 1
+            left -= 1
+        return matches, full
+
+
 def greedy_assignment(sources: list[tuple], binaries: list[tuple]) -> tuple[int, int]:
     """(matches, full matches): each source takes an equal binary chain, else the one with the largest overlap over 40 % of
     the longer; with three steps or more in common it counts, and the binary chain is used up. First come, first served."""
-    left = list(binaries)
-    sets = [set(b) for b in left]
-    matches = full = 0
-    for s in sources:
-        own, best, most = set(s), None, 0
-        for i, b in enumerate(left):
-            if s == b:
-                best, most = i, len(s)
-                full += 1
-                break
-            n = len(own & sets[i])
-            if n > most and n / max(len(s), len(b)) * 100 > 40:
-                best, most = i, n
-        if most >= 3:
-            matches += 1
-            del left[best], sets[best]
-    return matches, full
+    return Binaries(binaries).assign(sources, range(len(sources)))
+
+
+def _packed(rows: DataFrame, key: str, chains: str) -> DataFrame:
+    """``key``, n, ``chains``: a list of chains as its distinct ones and their order, compressed."""
+
+    def pack(batches):
+        for pdf in batches:
+            out = []
+            for x in pdf[chains]:
+                number: dict[tuple, int] = {}
+                order = np.array([number.setdefault(tuple(c), len(number)) for c in x], np.uint32)
+                out.append(zlib.compress(pickle.dumps((list(number), order)), 1))
+            yield pd.DataFrame({key: pdf[key], "n": [len(x) for x in pdf[chains]], chains: out})
+
+    return rows.mapInPandas(pack, f"{key} string, n long, {chains} binary")
 
 
 def match_chains(source: DataFrame, binary: DataFrame) -> DataFrame:
     """lib, bin_file, count, full, similarity, matched for every pair with a step in common.
 
     Order decides, so a pair of a library and a binary is one group; both sides are single files' chains. Pairs without
-    a common step never meet. Columns: lib or bin_file, seq (the order), chain (an array of texts).
+    a common step never meet. What a source chain would take is looked up by subsets of its steps, in an index of the
+    binary's chains. Columns: lib or bin_file, seq (the order), chain (an array of texts).
     """
     libs = source.select("lib", F.explode("chain").alias("step")).distinct()
     bins = binary.select("bin_file", F.explode("chain").alias("step")).distinct()
     pairs = libs.join(bins, "step").select("lib", "bin_file").distinct()
-    s = source.groupBy("lib").agg(F.sort_array(F.collect_list(F.struct("seq", "chain"))).alias("s")).where(F.size("s") >= 3)
-    b = binary.groupBy("bin_file").agg(F.sort_array(F.collect_list(F.struct("seq", "chain"))).alias("b"))
-    rows = pairs.join(s.select("lib", F.transform("s", lambda x: x["chain"]).alias("s")), "lib").join(b.select("bin_file", F.transform("b", lambda x: x["chain"]).alias("b")), "bin_file")
+    chains = F.transform(F.sort_array(F.collect_list(F.struct("seq", "chain"))), lambda x: x["chain"])
+    s = _packed(source.groupBy("lib").agg(chains.alias("s")).where(F.size("s") >= 3), "lib", "s")
+    b = _packed(binary.groupBy("bin_file").agg(chains.alias("b")), "bin_file", "b").drop("n")
+    parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pairs.join(s, "lib").join(b, "bin_file").repartition(parts, "bin_file", F.pmod(F.xxhash64("lib"), F.lit(4))).sortWithinPartitions("bin_file")
 
     def assign(batches):
+        name = index = None
         for pdf in batches:
-            got = [greedy_assignment([tuple(c) for c in x], [tuple(c) for c in y]) for x, y in zip(pdf["s"], pdf["b"])]
-            n = pdf["s"].map(len)
+            got = []
+            for lib, bin_file, x, y in zip(pdf["lib"], pdf["bin_file"], pdf["s"], pdf["b"]):
+                if index is None or bin_file != name:
+                    kinds, order = pickle.loads(zlib.decompress(y))
+                    name, index = bin_file, Binaries([kinds[i] for i in order.tolist()])
+                kinds, order = pickle.loads(zlib.decompress(x))
+                got.append(index.assign(kinds, order.tolist()))
             count = pd.Series([g[0] for g in got], index=pdf.index, dtype="int64")
-            share = count / n * 100
+            share = count / pdf["n"] * 100
             yield pd.DataFrame({"lib": pdf["lib"], "bin_file": pdf["bin_file"], "count": count, "full": [g[1] for g in got], "similarity": share, "matched": (count > 5) & (share > 75)})
 
     return rows.mapInPandas(assign, "lib string, bin_file string, count long, full long, similarity double, matched boolean")
