@@ -12,6 +12,7 @@ from tracegrain.operators import strings as S
 from tracegrain.operators import switches as W
 from tracegrain.operators import symbols as Y
 from tracegrain.operators import verdicts as V
+from tracegrain.staging import staged
 
 
 def exports(spark, src, binary):
@@ -247,3 +248,16 @@ def test_every_function_has_its_chains(spark):
     from tracegrain.plans.switches import cfg_chains
 
     assert {r.function % 10 for r in cfg_chains(spark, "/root/testdata/sf0.001").select("function").distinct().collect()} == set(range(10))
+
+
+def test_copies_of_chains_meet_as_classes(spark, monkeypatch):
+    """300 copies on either side are one pair of classes until rows are written (nested_if_overlap)."""
+    monkeypatch.setattr(W, "MEMBERS", 7)
+    kept = []
+    monkeypatch.setattr(W, "staged", lambda df, name: kept.append((name, df.count())) or staged(df, name))
+    rows = spark.createDataFrame([(f"{k}@{i}", c) for i in range(300) for k, c in (("a", ["1", "2", "3"]), ("z", ["7", "8", "9"]))], "id string, chain array<string>")
+    more = spark.createDataFrame([(f"b@{i}", ["3", "2", "1", "1"]) for i in range(300)], "id string, chain array<string>")
+    got = W.chain_overlaps(rows, more, over=40, digits=6).collect()
+    assert sorted((r.s_id, r.b_id, r.overlap, r.percent) for r in got) == sorted((f"a@{i}", f"b@{j}", 3, 75.0) for i in range(300) for j in range(300))
+    assert dict(kept)["classes"] == 1
+    assert not W.chain_overlaps(rows, more, over=75).collect()

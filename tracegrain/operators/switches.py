@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
+
 
 def normalized_cases(cases: Column) -> Column:
     """Labels sorted in each branch, branches sorted."""
@@ -100,31 +102,50 @@ def _triples(steps: Column) -> Column:
     return F.flatten(F.transform(at(one, n - 2), lambda i: F.flatten(F.transform(at(i + 1, n - 1), lambda j: F.transform(at(j + 1, n), lambda k: F.array(steps[i - 1], steps[j - 1], steps[k - 1]))))))
 
 
-def chain_overlaps(source: DataFrame, binary: DataFrame, least: int = 3) -> DataFrame:
-    """s_id, b_id, overlap, percent of the longer, for chains with ``least`` steps in common.
+#: Chains of a class that travel as one row, about.
+MEMBERS = 1000
+
+
+def _classes(rows: DataFrame, x: str) -> tuple[DataFrame, DataFrame]:
+    """Classes of chains with the same distinct steps and length (``x``_c, _n, _steps), and their members (``x``_c, _ids) in lists
+    of about MEMBERS."""
+    each = rows.select("id", F.size("chain").alias("n"), F.array_sort(F.array_distinct("chain")).alias("steps"))
+    kinds = each.groupBy("n", "steps").agg(F.count("*").alias("many")).withColumn("c", F.monotonically_increasing_id())
+    kinds = staged(kinds, "chains")
+    parts = F.pmod(F.xxhash64("id"), F.ceil(F.col("many") / MEMBERS))
+    members = each.join(kinds, ["n", "steps"]).groupBy("c", parts.alias("part")).agg(F.collect_list("id").alias("ids"))
+    return kinds.select(F.col("c").alias(f"{x}_c"), F.col("n").alias(f"{x}_n"), F.col("steps").alias(f"{x}_steps")), members.select(F.col("c").alias(f"{x}_c"), F.col("ids").alias(f"{x}_ids"))
+
+
+def chain_overlaps(source: DataFrame, binary: DataFrame, least: int = 3, over: float = 0, digits: int | None = None) -> DataFrame:
+    """s_id, b_id, overlap, percent of the longer, for chains with ``least`` steps in common, where that is over ``over`` percent;
+    rounded to ``digits`` last.
 
-    With three and more, short chains meet by combinations of three of their distinct steps, which few pairs share by
-    chance; a pair with a long chain, or any pair with ``least`` under three, meets by single steps. No pair is lost.
+    Chains of the same distinct steps and length are one class: classes are compared, and only what holds is written out for
+    their members, where it is made. With three and more, short chains meet by combinations of three of their distinct
+    steps, which few pairs share by chance; a pair with a long chain, or any pair with ``least`` under three, meets by
+    single steps. No pair is lost.
     """
-    sides = []
-    for rows, x in ((source, "s"), (binary, "b")):
-        sides.append(rows.select(F.col("id").alias(f"{x}_id"), F.size("chain").alias(f"{x}_n"), F.array_sort(F.array_distinct("chain")).alias(f"{x}_steps")))
-    s, b = sides
-    single = lambda rows, x: rows.select(f"{x}_id", f"{x}_n", F.explode(f"{x}_steps").alias("key"))
+    (s, s_members), (b, b_members) = _classes(source, "s"), _classes(binary, "b")
+    single = lambda rows, x: rows.select(f"{x}_c", f"{x}_n", F.explode(f"{x}_steps").alias("key"))
 
     def counted(left: DataFrame, right: DataFrame) -> DataFrame:
-        return single(left, "s").join(single(right, "b"), "key").groupBy("s_id", "b_id", "s_n", "b_n").agg(F.count("*").alias("overlap"))
+        return single(left, "s").join(single(right, "b"), "key").groupBy("s_c", "b_c", "s_n", "b_n").agg(F.count("*").alias("overlap"))
 
     if least < 3:
         both = counted(s, b).where(F.col("overlap") >= least)
     else:
         is_short = lambda x: F.size(f"{x}_steps") <= SHORT
-        keyed = [rows.where(is_short(x)).select(f"{x}_id", F.explode(_triples(F.col(f"{x}_steps"))).alias("key")) for rows, x in ((s, "s"), (b, "b"))]
-        pairs = keyed[0].join(keyed[1], "key").select("s_id", "b_id").distinct()
-        short = pairs.join(s, "s_id").join(b, "b_id").select("s_id", "b_id", "s_n", "b_n", F.size(F.array_intersect("s_steps", "b_steps")).cast("long").alias("overlap"))
+        keyed = [rows.where(is_short(x)).select(f"{x}_c", F.explode(_triples(F.col(f"{x}_steps"))).alias("key")) for rows, x in ((s, "s"), (b, "b"))]
+        pairs = keyed[0].join(keyed[1], "key").select("s_c", "b_c").distinct()
+        short = pairs.join(s, "s_c").join(b, "b_c").select("s_c", "b_c", "s_n", "b_n", F.size(F.array_intersect("s_steps", "b_steps")).cast("long").alias("overlap"))
         long = counted(s.where(~is_short("s")), b).unionByName(counted(s.where(is_short("s")), b.where(~is_short("b"))))
         both = short.unionByName(long).where(F.col("overlap") >= least)
-    return both.select("s_id", "b_id", "overlap", (F.col("overlap") / F.greatest("s_n", "b_n") * 100).alias("percent"))
+    both = both.select("s_c", "b_c", "overlap", (F.col("overlap") / F.greatest("s_n", "b_n") * 100).alias("percent")).where(F.col("percent") > over)
+    if digits is not None:
+        both = both.withColumn("percent", F.round("percent", digits))
+    both = staged(both, "classes").join(s_members, "s_c").join(b_members, "b_c")
+    return both.select(F.explode("s_ids").alias("s_id"), "b_ids", "overlap", "percent").select("s_id", F.explode("b_ids").alias("b_id"), "overlap", "percent")
 
 
 #: Chains up to this many distinct steps are looked up by their subsets; longer ones are compared one by one.

@@ -99,7 +99,7 @@ def _sides(spark, d):
 @query("nested_if_overlap", f"""WITH {B.SQL_CHAINS}, l AS (SELECT user_id, user_id || '@' || day AS id, len(chain) AS n, unnest(list_distinct(chain)) AS step FROM ch WHERE len(chain) >= 3), j AS (SELECT s.id AS s_id, b.id AS b_id, s.n AS sn, b.n AS bn, count(*) AS overlap
   FROM l s JOIN l b USING (step) WHERE s.user_id % 2 = 0 AND b.user_id % 2 = 1 GROUP BY ALL) SELECT s_id, b_id, overlap, round(overlap / greatest(sn, bn) * 100, 6) AS percent FROM j WHERE overlap / greatest(sn, bn) * 100 > 40 AND overlap >= 3""")
 def nested_if_overlap(spark, d):
-    return S.chain_overlaps(*_sides(spark, d)).where("percent > 40").select("s_id", "b_id", "overlap", *_r("percent"))
+    return S.chain_overlaps(*_sides(spark, d), over=40, digits=6)
 
 
 #: Sources in order, each with the binary chains that it would take, best first; what a pair has used up goes with the recursion.
