@@ -261,3 +261,27 @@ def test_copies_of_chains_meet_as_classes(spark, monkeypatch):
     assert sorted((r.s_id, r.b_id, r.overlap, r.percent) for r in got) == sorted((f"a@{i}", f"b@{j}", 3, 75.0) for i in range(300) for j in range(300))
     assert dict(kept)["classes"] == 1
     assert not W.chain_overlaps(rows, more, over=75).collect()
+
+
+def test_string_arrays_in_many_packs(spark, monkeypatch):
+    """Arrays with repeated, missing and unknown items, in packs of any size, equal a plain count (string_array_match); items are
+    not joined one by one."""
+    monkeypatch.setattr(S, "ITEMS", 7)
+    monkeypatch.setattr(S, "CELLS", 5)
+    rng = random.Random(4)
+    word = lambda: rng.choice(["", None, "x y", *"abcdefghij"])
+    rows = [(i, rng.choice("pq"), rng.choice(["d", None]), [word() for _ in range(rng.randrange(0, 9))]) for i in range(120)]
+    held = {(f"b{rng.randrange(4)}", rng.choice(["x y", *"abcdefgh"])) for _ in range(24)}
+    arrays = spark.createDataFrame(rows, "id int, pj string, dyn string, arr array<string>")
+    strings = spark.createDataFrame(sorted(held) * 2, "bin_file string, value string")
+    made = []
+    monkeypatch.setattr(S, "staged", lambda df, name: made.append(name) or staged(df, name))
+    got = {(r.pj, r.dyn, r.bin_file): (r.array_percent, r.string_percent, r.matched_strings) for r in S.match_string_arrays(arrays, strings).collect()}
+    want = {}
+    for pj in "pq":
+        mine = [a for _, p, d, a in rows if p == pj and d == "d" and len(a) >= 3]
+        for b in sorted({b for b, _ in held}):
+            hits = [len({x for x in a if (b, x) in held}) for a in mine]
+            if sum(hits):
+                want[pj, "d", b] = (sum(h / len(a) >= 0.8 for h, a in zip(hits, mine)) / len(mine), sum(hits) / sum(map(len, mine)), sum(hits))
+    assert got == want and "arrays" in made

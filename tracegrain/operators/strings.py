@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import pickle
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexical as L
+from ..staging import staged
 
 
 def binary_side(strings: DataFrame) -> DataFrame:
@@ -38,18 +46,95 @@ def match_pairwise(source: DataFrame, binary: DataFrame, use_score: bool = True)
     return out.withColumn("matched", (F.col("percent") > 0.5) | ((F.col("weights") > 100) & (F.col("weight_percent") > 0.1)))
 
 
+#: Items of arrays that are packed together, about; cells of a table of arrays by binaries that are counted together.
+ITEMS, CELLS = 1 << 21, 1 << 20
+
+
+def _packed_arrays(batches):
+    """_chunk, _no, value for each distinct item of about ITEMS, and one row with the arrays in these numbers: each item once."""
+    chunk = TaskContext.get().partitionId() << 32
+    schema = pa.schema([("_chunk", pa.int64()), ("_no", pa.int32()), ("value", pa.string()), ("_arrays", pa.binary())])
+
+    def pack(batch):
+        n = pa.compute.list_value_length(batch.column("arr")).to_numpy(zero_copy_only=False)
+        coded = batch.column("arr").flatten().dictionary_encode()
+        values = coded.dictionary.cast(pa.string())
+        row, no = np.repeat(np.arange(len(n)), n), pa.compute.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        pairs = np.unique((row * (len(values) + 1) + no)[no >= 0])
+        keys = list(zip(batch.column("pj").to_pylist(), batch.column("dyn").to_pylist()))
+        number = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+        arrays = (list(number), np.array([number[k] for k in keys], np.int32), n.astype(np.int32), (pairs // (len(values) + 1)).astype(np.int32), (pairs % (len(values) + 1)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([-1], pa.int32()), pa.nulls(1, pa.string()), pa.array([zlib.compress(pickle.dumps(arrays), 1)], pa.binary())], schema=schema)
+        if len(values):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), chunk)), pa.array(np.arange(len(values), dtype=np.int32)), values, pa.nulls(len(values), pa.binary())], schema=schema)
+
+    held, items = [], 0
+    for batch in batches:
+        held.append(batch)
+        items += len(batch.column("arr").flatten())
+        if items >= ITEMS:
+            yield from pack(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            held, items, chunk = [], 0, chunk + 1
+    if items:
+        yield from pack(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+
+def _count_arrays(arrays: pa.Table, found: pa.Table) -> pa.Table:
+    """pj, dyn, _bin, hit_arrays, matched_strings, hit_chars of packed arrays, from the binaries that hold their items."""
+    names = ["pj", "dyn", "_bin", "hit_arrays", "matched_strings", "hit_chars"]
+    schema = pa.schema([(c, pa.string() if i < 2 else pa.int64()) for i, c in enumerate(names)])
+    if not found.num_rows or not arrays.num_rows:
+        return schema.empty_table()
+    keys, group, n, row, no = pickle.loads(zlib.decompress(arrays["_arrays"][0].as_py()))
+    places = found["_no"].to_numpy().astype(np.int64)
+    held = np.frombuffer(b"".join(b for c in found["_bins"].chunks for b in c.to_pylist()), ">u4")
+    many = np.zeros(max(int(no.max(initial=0)), int(places.max())) + 1, np.int64)
+    size, start = many.copy(), many.copy()
+    each = pa.compute.binary_length(found["_bins"]).to_numpy().astype(np.int64) // 4
+    many[places], start[places], size[places] = each, np.cumsum(each) - each, found["_size"].to_numpy()
+    files, bins = np.unique(held, return_inverse=True)
+    width = len(files)
+    sums = np.zeros((3, len(keys) * width), np.int64)
+    low = 0
+    before = np.concatenate([[0], np.cumsum(many[no])])
+    first = np.searchsorted(row, np.arange(len(n) + 1))  # where each array's items begin
+    while low < len(n):
+        # so many arrays that neither their table nor the places in it grow beyond CELLS, one at least
+        high = min(low + max(1, CELLS // width), max(low + 1, int(np.searchsorted(before[first], before[first[low]] + CELLS, "right")) - 1), len(n))
+        a, b = first[low], first[high]
+        times = many[no[a:b]]
+        at = np.repeat(start[no[a:b]] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        of, to = np.repeat(row[a:b], times).astype(np.int64), bins[at]
+        hits = np.bincount((of - low) * width + to, minlength=(high - low) * width).reshape(high - low, width)
+        r, c = np.nonzero(hits / n[low:high, None] >= 0.8)
+        cell = group[of].astype(np.int64) * width + to
+        sums[0] += np.bincount(group[low + r].astype(np.int64) * width + c, minlength=sums.shape[1])
+        sums[1] += np.bincount(cell, minlength=sums.shape[1])
+        sums[2] += np.bincount(cell, weights=np.repeat(size[no[a:b]], times), minlength=sums.shape[1]).astype(np.int64)
+        low = high
+    hit = np.flatnonzero(sums[1])
+    own = [keys[k // width] for k in hit]
+    return pa.Table.from_arrays([pa.array([k[0] for k in own], pa.string()), pa.array([k[1] for k in own], pa.string()), pa.array(files[hit % width].astype(np.int64)), *(pa.array(x[hit]) for x in sums)], schema=schema)
+
+
 def match_string_arrays(arrays: DataFrame, strings: DataFrame) -> DataFrame:
     """pj, dyn, bin_file, array_percent, string_percent, char_percent, matched_strings, matched.
 
     ``arrays``: id, pj, dyn, arr; those of fewer than three items do not count. An array matches if a binary holds 80 % of
-    its items. Distinct items meet distinct strings by an equi-join; arrays without any keep their place in the totals.
+    its items. Arrays are packed where they are read, and each distinct item of a pack meets the strings once, by an
+    equi-join; numbers of the binaries that hold it go back to its pack, where arrays are counted. Arrays without
+    any keep their place in the totals.
     """
-    long = arrays.where(F.size("arr") >= 3).select("id", "pj", "dyn", F.transform("arr", L.unquoted).alias("arr"))
+    long = arrays.where(F.size("arr") >= 3).select("pj", "dyn", F.transform("arr", L.unquoted).alias("arr")).where("pj IS NOT NULL AND dyn IS NOT NULL")
     chars = F.aggregate("arr", F.lit(0), lambda a, x: a + F.length(x))
     totals = long.groupBy("pj", "dyn").agg(F.count("*").alias("arrays"), F.sum(F.size("arr")).alias("items"), F.sum(chars).alias("chars"))
-    items = long.select("id", "pj", "dyn", F.size("arr").alias("n"), F.explode(F.array_distinct("arr")).alias("value"))
-    each = items.join(strings.select("bin_file", "value").distinct(), "value").groupBy("id", "pj", "dyn", "n", "bin_file").agg(F.count("*").alias("hit"), F.sum(F.length("value")).alias("hit_chars"))
-    found = each.groupBy("pj", "dyn", "bin_file").agg(F.count_if(F.col("hit") / F.col("n") >= 0.8).alias("hit_arrays"), F.sum("hit").alias("matched_strings"), F.sum("hit_chars").alias("hit_chars"))
+    packed = staged(long.mapInArrow(_packed_arrays, "_chunk long, _no int, value string, _arrays binary"), "arrays")
+    names = staged(strings.select("bin_file").distinct().coalesce(1).withColumn("_bin", F.monotonically_increasing_id()), "binaries")  # from 0 on
+    held = strings.select("bin_file", "value").distinct().join(names, "bin_file").groupBy("value").agg(F.unhex(F.array_join(F.transform(F.collect_list("_bin"), lambda k: F.lpad(F.hex(k), 8, "0")), "")).alias("_bins"))
+    found = packed.where("_no >= 0").select("_chunk", "_no", "value").join(held, "value").select(F.col("_chunk").alias("_of"), "_no", F.length("value").alias("_size"), "_bins")
+    each = packed.where("_no < 0").select("_chunk", "_arrays").groupBy("_chunk").cogroup(found.groupBy("_of"))
+    counted = each.applyInArrow(_count_arrays, "pj string, dyn string, _bin long, hit_arrays long, matched_strings long, hit_chars long")
+    found = counted.groupBy("pj", "dyn", "_bin").agg(*(F.sum(c).alias(c) for c in ("hit_arrays", "matched_strings", "hit_chars"))).join(names, "_bin")
     out = found.join(totals, ["pj", "dyn"]).select(
         "pj", "dyn", "bin_file", (F.col("hit_arrays") / F.col("arrays")).alias("array_percent"), (F.col("matched_strings") / F.col("items")).alias("string_percent"),
         F.try_divide("hit_chars", "chars").alias("char_percent"), "matched_strings",
