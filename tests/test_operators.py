@@ -285,3 +285,14 @@ def test_string_arrays_in_many_packs(spark, monkeypatch):
             if sum(hits):
                 want[pj, "d", b] = (sum(h / len(a) >= 0.8 for h, a in zip(hits, mine)) / len(mine), sum(hits) / sum(map(len, mine)), sum(hits))
     assert got == want and "arrays" in made
+
+
+def test_scores_of_the_index_send_nothing_whole(spark):
+    """Hits meet the index, and needles the segments, without a broadcast of either (array_match_index)."""
+    rows = spark.createDataFrame([([0, 7, 9, 2, i, 0], p, "d", v, 12) for i in range(20) for p, v in (("p", "1"), ("q", "2"))], "arr array<bigint>, pj string, dyn string, ver string, entropy int")
+    index = A.array_index(rows, rows.select("pj", "ver"))
+    segments = spark.createDataFrame([("f", ".data", "0709020e"), ("f", ".rdata", "ff0709020e"), ("g", ".data", "070902")], "bin_file string, seg string, hex string")
+    scores = A.array_scores(A.search_index(index, segments), index.select("arr", "pj", "dyn", "ver", "pj_score", "ver_score"))
+    hits = A.search_index(index, segments)
+    assert "strategy=broadcast" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.bin_file, r.pj, r.matched_count, r.matched_len) for r in scores.collect()} == {("f", "p", 2, 8), ("f", "q", 2, 8)}
