@@ -296,3 +296,15 @@ def test_scores_of_the_index_send_nothing_whole(spark):
     hits = A.search_index(index, segments)
     assert "strategy=broadcast" not in hits._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.bin_file, r.pj, r.matched_count, r.matched_len) for r in scores.collect()} == {("f", "p", 2, 8), ("f", "q", 2, 8)}
+
+
+def test_greedy_arrays_read_the_orders_once(spark, monkeypatch):
+    """Postings, projects and segments come from one staged table of arrays (greedy_dedup_array)."""
+    from tracegrain.plans import arrays as plan
+    from tracegrain.plans import load, registry
+
+    made = []
+    load()
+    monkeypatch.setattr(plan.B, "order_arrays", lambda *a, f=plan.B.order_arrays: made.append(1) or f(*a))
+    registry.QUERIES["greedy_dedup_array"](spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
