@@ -308,3 +308,9 @@ def test_greedy_arrays_read_the_orders_once(spark, monkeypatch):
     monkeypatch.setattr(plan.B, "order_arrays", lambda *a, f=plan.B.order_arrays: made.append(1) or f(*a))
     registry.QUERIES["greedy_dedup_array"](spark, "/root/testdata/sf0.001")
     assert len(made) == 1
+
+
+def test_short_needles_are_subsumed_too(spark):
+    """Needles under six digits, and equal ones of other keys, are looked up like all others (needle_subsumption)."""
+    rows = spark.createDataFrame([("l", "aabb"), ("l", "aabbcc"), ("m", "aabb"), ("m", "bbaa"), ("m", "0bbaa0")], "lib string, needle string")
+    assert {(r.lib, r.needle) for r in A.without_subsumed(rows, "lib").collect()} == {("l", "aabbcc"), ("m", "aabb"), ("m", "0bbaa0")}
