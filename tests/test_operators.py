@@ -314,3 +314,14 @@ def test_short_needles_are_subsumed_too(spark):
     """Needles under six digits, and equal ones of other keys, are looked up like all others (needle_subsumption)."""
     rows = spark.createDataFrame([("l", "aabb"), ("l", "aabbcc"), ("m", "aabb"), ("m", "bbaa"), ("m", "0bbaa0")], "lib string, needle string")
     assert {(r.lib, r.needle) for r in A.without_subsumed(rows, "lib").collect()} == {("l", "aabbcc"), ("m", "aabb"), ("m", "0bbaa0")}
+
+
+def test_arrays_count_once_and_needles_are_not_sent(spark):
+    """Two widths of an array in one binary are one success; no needle is broadcast (num_match)."""
+    rows = [("l", [1, 2, 3], 2, 1.0, n) for n in ("010203", "010002000300")] + [("l", [4, 5, 6], 1, 1.0, "040506")]
+    needles = spark.createDataFrame(rows, "lib string, arr array<bigint>, count bigint, score double, needle string")
+    found = A.match_arrays(needles, spark.createDataFrame([("b", "010203aa010002000300"), ("c", "00405060")], "bin_file string, hex string"), "lib")
+    assert "strategy=broadcast" not in found._jdf.queryExecution().optimizedPlan().toString()
+    point = pytest.approx(2.584962500721156)
+    assert sorted((r.bin_file, r.success / r.total * 3) for r in found.collect()) == [("b", pytest.approx(2)), ("c", pytest.approx(1))]
+    assert found.where("bin_file = 'c'").first().success == point
