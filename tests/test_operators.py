@@ -325,3 +325,10 @@ def test_arrays_count_once_and_needles_are_not_sent(spark):
     point = pytest.approx(2.584962500721156)
     assert sorted((r.bin_file, r.success / r.total * 3) for r in found.collect()) == [("b", pytest.approx(2)), ("c", pytest.approx(1))]
     assert found.where("bin_file = 'c'").first().success == point
+
+
+def test_short_enums_are_found(spark):
+    """Two values of a byte are four digits, which were too few to be looked up (enum_match)."""
+    needles = spark.createDataFrame([("l", [1, 2], 1, 1.0, "0102")], "lib string, arr array<bigint>, count bigint, score double, needle string")
+    (row,) = A.match_arrays(needles, spark.createDataFrame([("b", "ff0102"), ("c", "ff0201")], "bin_file string, hex string"), "lib").collect()
+    assert (row.bin_file, row.success, row.matched_simple) == ("b", 2.0, True)
